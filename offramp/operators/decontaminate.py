@@ -24,28 +24,30 @@ from pyspark.sql import functions as F
 
 from offramp.functions.columns import let
 from offramp.functions.text import normalize_text
+from offramp.session import filter_spread
 
 # The row-local plan holds the benchmark as a literal of the plan: bounds of that literal.
 MAX_LOCAL_ITEMS = 4_096
 MAX_LOCAL_BYTES = 8 << 20
 
 
-def _shingles(parts: Column, length: int, kind: int) -> Column:
-    """Hash of every run of ``length`` parts (none when there are fewer)."""
-    return F.when(F.size(parts) >= length, F.transform(
-        F.sequence(F.lit(1), F.size(parts) - length + 1),
-        lambda i: F.xxhash64(F.lit(kind), F.slice(parts, i, length)))
+def _shingles(hashes: Column, length: int, kind: int) -> Column:
+    """Hash of every run of ``length`` part hashes (none when there are fewer)."""
+    return F.when(F.size(hashes) >= length, F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - length),
+        lambda i: F.xxhash64(F.lit(kind), *[F.get(hashes, i + j) for j in range(length)]))
     ).otherwise(F.array().cast("array<bigint>"))
 
 
 def text_shingles(text: Column, kinds: list[int]) -> Column:
     """Hashes of a normalised text for the shingle kinds the benchmark uses.
 
-    A positive kind is a number of words, a negative one a number of characters. The kind is
-    part of the hash.
+    A positive kind is a number of words, a negative one a number of characters. Each part
+    is hashed once, and a shingle is the hash of its part hashes.
     """
     def of(parts: Column, wanted: list[int]) -> Column:
-        return let(parts, lambda p: F.concat(*[_shingles(p, abs(k), k) for k in wanted]))
+        return let(F.transform(parts, lambda p: F.xxhash64(p)),
+                   lambda h: F.concat(*[_shingles(h, abs(k), k) for k in wanted]))
 
     by_word = [k for k in kinds if k > 0]
     by_char = [k for k in kinds if k < 0]
@@ -67,14 +69,15 @@ def benchmark_anchors(bench: DataFrame, text: str = "text", ngram: int = 8) -> D
     kind = F.when(inner >= 1, F.least(inner, F.lit(ngram))).otherwise(
         -F.least(F.length("item"), F.lit(ngram))).cast("int")
     kinds = items.withColumn("kind", kind)
-    # Hash arguments have the types text_shingles uses, or equal runs would hash apart.
-    inner_words = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    word_runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - 1 - F.col("kind"), F.lit(1))),
-        lambda i: F.xxhash64(F.col("kind"), F.slice(inner_words, i, F.col("kind"))))
-    first_chars = F.array(F.xxhash64(F.col("kind"), F.slice(F.split("item", ""), F.lit(1), F.abs("kind"))))
-    options = kinds.select("item", "kind", F.posexplode(
-        F.when(F.col("kind") > 0, word_runs).otherwise(first_chars)).alias("at", "anchor"))
+    parts = (F.when(F.col("kind") > 0, F.slice("w", F.lit(2), F.greatest(inner, F.lit(0))))
+             .otherwise(F.slice(F.split("item", ""), F.lit(1), F.abs("kind"))))
+    length = F.abs("kind")
+    # The hash of an array runs on from element to element as the hash of several columns does,
+    # so these are the hashes _shingles takes of the same parts.
+    runs = let(F.transform(parts, lambda p: F.xxhash64(p)), lambda h: F.transform(
+        F.sequence(F.lit(1), F.size(h) - length + 1),
+        lambda i: F.xxhash64(F.col("kind"), F.slice(h, i, length))))
+    options = kinds.select("item", "kind", F.posexplode(runs).alias("at", "anchor"))
     shared = Window.partitionBy("kind", "anchor")
     rated = options.withColumn("sharing", F.count(F.lit(1)).over(shared))
     return (rated.groupBy("item")
@@ -98,17 +101,16 @@ class Benchmark:
 def load_benchmark(bench: DataFrame, text: str = "text", ngram: int = 8,
                    max_local_items: int = MAX_LOCAL_ITEMS,
                    max_local_bytes: int = MAX_LOCAL_BYTES) -> Benchmark:
-    """Derive the anchors and measure the benchmark, in one small job.
+    """Measure the benchmark and derive its anchors.
 
     Only a benchmark within both bounds comes to the driver; of a larger one only
     the shingle kinds do (at most two per ``ngram``).
     """
     anchors = benchmark_anchors(bench, text, ngram)
-    head = anchors.limit(max_local_items + 1)
-    size = head.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("bytes")).first()
+    size = bench.agg(F.count(F.lit(1)).alias("n"),
+                     F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     if size["n"] <= max_local_items and size["bytes"] <= max_local_bytes:
-        rows = head.collect()
+        rows = anchors.collect()
         return Benchmark(anchors, sorted({r["kind"] for r in rows}),
                          [(r["item"], r["anchor"]) for r in rows])
     kinds = [r["kind"] for r in anchors.select("kind").distinct().collect()]
@@ -121,14 +123,16 @@ def contains_benchmark(text: Column | str, benchmark: Benchmark) -> Column:
         raise ValueError("the benchmark is too large for the row-local test: use flag_contaminated")
     if not benchmark.items:
         return F.lit(False)
-    anchors = F.lit(sorted({anchor for _, anchor in benchmark.items})).cast("array<bigint>")
-    items = F.array(*[F.struct(F.lit(item).alias("item"), F.lit(anchor).alias("anchor"))
-                      for item, anchor in sorted(benchmark.items)])
+    items = sorted(benchmark.items)
+    # Each list is one literal cut at plan time; a normalised item has no line break.
+    texts = F.split(F.lit("\n".join(item for item, _ in items)), "\n")
+    anchors = F.split(F.lit(",".join(str(anchor) for _, anchor in items)), ",").cast("array<bigint>")
 
     def compare(norm: Column) -> Column:
         return let(F.array_intersect(text_shingles(norm, benchmark.kinds), anchors),
-                   lambda hits: (F.size(hits) > 0) & F.exists(
-                       items, lambda i: F.array_contains(hits, i["anchor"]) & F.contains(norm, i["item"])))
+                   lambda hits: (F.size(hits) > 0) & (F.size(F.filter(
+                       texts, lambda item, i: F.array_contains(hits, F.get(anchors, i))
+                       & F.contains(norm, item))) > 0))
 
     return F.coalesce(let(normalize_text(text), compare), F.lit(False))
 
@@ -161,7 +165,10 @@ def flag_contaminated(df: DataFrame, bench: DataFrame | Benchmark, text: str = "
 def decontaminate(df: DataFrame, bench: DataFrame | Benchmark, text: str = "text", key: str = "doc_id",
                   ngram: int = 8, **bounds: int) -> DataFrame:
     """Drop the rows whose normalised text contains a normalised benchmark text."""
-    flagged = flag_contaminated(df, bench, text, key, ngram, "_contaminated", **bounds)
+    benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
+    if benchmark.is_local:
+        return filter_spread(df, ~contains_benchmark(text, benchmark), key)
+    flagged = flag_contaminated(df, benchmark, text, key, ngram, "_contaminated")
     return flagged.where(~F.col("_contaminated")).drop("_contaminated")
 
 

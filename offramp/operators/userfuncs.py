@@ -44,5 +44,5 @@ def filter_batches(df: DataFrame, predicate: Callable[..., Sequence[bool]],
             raise ValueError("the predicate must return one answer per row")
         return pd.Series(answer, dtype=bool)
 
-    keep = F.pandas_udf(test, "boolean", F.PandasUDFType.SCALAR)
+    keep = F.pandas_udf(test, "boolean")
     return df.where(keep(*columns))

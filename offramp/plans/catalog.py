@@ -149,7 +149,7 @@ def normalize(spark, d):
 
 
 def decontaminate(spark, d):
-    kept = decon.decontaminate(_documents(spark, d), table(spark, d, "benchmark"))
+    kept = decon.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return kept.select("doc_id", "lang", "n_chars")
 
 

@@ -44,13 +44,15 @@ def exit_hidden(embeddings: DataFrame) -> DataFrame:
 def exit_heads(hidden: DataFrame) -> DataFrame:
     """A head per exit: for each label the mean of its normalised hidden states.
 
-    All dimensions are averaged in one aggregation of a row per exit and label.
+    The dimensions are exploded into an average that is combined before the shuffle: what is
+    exchanged is one row per task, exit, label and dimension, however many vectors there are.
     """
-    normed = hidden.select("exit_layer", F.col("label").alias("token_id"), rms_norm("h").alias("n"))
-    means = normed.groupBy("exit_layer", "token_id").agg(
-        *[F.avg(F.get("n", F.lit(i))).alias(f"w{i}") for i in range(FULL_LAYER)])
-    weights = F.slice(F.array(*[f"w{i}" for i in range(FULL_LAYER)]), F.lit(1), F.col("exit_layer"))
-    return means.select("exit_layer", "token_id", weights.alias("w"))
+    entries = hidden.select("exit_layer", F.col("label").alias("token_id"),
+                            F.posexplode(rms_norm("h")).alias("i", "v"))
+    means = entries.groupBy("exit_layer", "token_id", "i").agg(F.avg("v").alias("v"))
+    weights = F.array_sort(F.collect_list(F.struct("i", "v")))
+    return means.groupBy("exit_layer", "token_id").agg(
+        F.transform(weights, lambda e: e["v"]).alias("w"))
 
 
 def token_labels(embeddings: DataFrame) -> DataFrame:

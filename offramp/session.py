@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library is tuned for. All of them are ordinary session settings, so a
 # cluster's own values (partition counts above all) take precedence where it sets them.
@@ -50,18 +51,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/offramp/{name}-{uuid.uuid4().hex}"
 
 
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input enough partitions to use every core.
+def is_small(df: DataFrame) -> bool:
+    """True below one default split per core, by the optimiser's size estimate (no job is run).
 
-    A file with one row group is read by one task, whatever the core count. Below one
-    default split per core the rows are hashed over the shuffle partitions on ``keys``
-    (cheap at that size); a larger input already has a task per split and is returned
-    as it is, so no shuffle is added at scale. The size comes from file statistics, not
-    from a job.
+    Such an input may be read by fewer tasks than there are cores: a file with one row group is
+    read by one task. A stream is never small.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return False
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if cores > 1 and size < cores * (128 << 20):
-        return df.repartition(cores, *keys)
+    return cores > 1 and size < cores * (128 << 20)
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small input over all cores; return a larger one as it is, without a shuffle."""
+    if is_small(df):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
     return df
+
+
+def filter_spread(df: DataFrame, condition: Column, *keys: str) -> DataFrame:
+    """Filter by a predicate that is expensive per row.
+
+    A small input is spread first. A plain predicate would be moved below that exchange again,
+    into the few reading tasks; one that names the partition stays above. A larger input is
+    filtered where it is read.
+    """
+    if is_small(df):
+        return spread_small(df, *keys).where(F.when(F.spark_partition_id() >= 0, condition))
+    return df.where(condition)
