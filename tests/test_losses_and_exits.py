@@ -1,0 +1,184 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from offramp.functions import vectors as V
+from offramp.functions.kernels import kl_kernel, logit_summary
+from offramp.operators import exits as E
+from offramp.operators import losses as L
+from offramp.plans.inputs import EXITS, FULL_LAYER, exit_logits, table, token_labels
+
+SCHEMA = "batch_id long, seq_id long, pos int, exit_layer int, target int, logits array<float>"
+LN2, LN4 = math.log(2), math.log(4)
+
+
+@pytest.fixture(scope="module")
+def paper(spark):
+    """Two sequences of 3 and 2 positions, exits 2 and 4 (full), 4 tokens; worked out on paper.
+
+    Exit 2 is uniform everywhere. The full model puts 1/2 on token 0 and 1/6 on the others.
+    """
+    uniform, full = [0.0] * 4, [math.log(3), 0.0, 0.0, 0.0]
+    rows = []
+    for seq, size in ((0, 3), (1, 2)):
+        for pos in range(size):
+            target = -100 if (seq, pos) == (0, 2) else (0 if pos == 0 else 1)
+            rows += [(0, seq, pos, 2, target, uniform), (0, seq, pos, 4, target, full)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+CE_FULL = (2 * LN2 + 2 * math.log(6)) / 4
+KL_POSITION = 0.5 * math.log(0.5 / 0.25) + 3 * (1 / 6) * math.log((1 / 6) / 0.25)
+
+
+def test_ce_on_paper(paper):
+    rows = {r["exit_layer"]: r for r in L.exit_ce_loss(paper).collect()}
+    assert rows[2]["ce_loss"] == pytest.approx(LN4) and rows[2]["ce_positions"] == 4
+    assert rows[4]["ce_loss"] == pytest.approx(CE_FULL, abs=1e-6)
+
+
+def test_kl_on_paper(paper):
+    row = L.exit_kl_loss(paper, 4).collect()
+    assert len(row) == 1 and row[0]["exit_layer"] == 2
+    assert row[0]["kl_loss"] == pytest.approx(5 * KL_POSITION / 2, abs=1e-6)  # 5 positions, 2 sequences
+    per_token = L.exit_kl_loss(paper, 4, reduction="token_mean").first()["kl_loss"]
+    assert per_token == pytest.approx(KL_POSITION, abs=1e-6)
+    masked = paper.withColumn("m", F.when(F.col("seq_id") == 1, 0).otherwise(1))
+    value = L.exit_kl_loss(masked, 4, mask="m").first()["kl_loss"]
+    assert value == pytest.approx(3 * KL_POSITION / 2, abs=1e-6)  # still two sequences in the batch
+    with pytest.raises(ValueError):
+        L.exit_kl_loss(paper, 4, reduction="other")
+
+
+def test_means_and_total_on_paper(paper):
+    losses = L.exit_losses(paper, 4)
+    kl = 5 * KL_POSITION / 2
+    row = L.mean_over_exits(losses, 4).first()
+    assert row["ce_mean"] == pytest.approx((LN4 + CE_FULL) / 2, abs=1e-6)
+    assert row["kl_mean"] == pytest.approx(kl, abs=1e-6)
+    assert L.mean_over_exits(losses, 4, include_full=False).first()["ce_mean"] == pytest.approx(LN4)
+    total = L.distill_loss(paper, 4, kl_weight=0.1, ce_weight=1.0).first()
+    assert total["loss"] == pytest.approx(0.1 * kl + (LN4 + CE_FULL) / 2, abs=1e-6)
+    for weight in (0.0, -1.0):
+        off = L.distill_loss(paper, 4, kl_weight=weight, ce_weight=2.0)
+        assert off.first()["loss"] == pytest.approx(LN4 + CE_FULL, abs=1e-6) and off.first()["kl_mean"] == 0
+        assert "Join" not in off._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_separate_teacher(paper):
+    student = paper.where("exit_layer = 2")
+    teacher = paper.where("exit_layer = 4")
+    assert L.exit_kl_loss(student, 4, teacher=teacher).first()["kl_loss"] == pytest.approx(
+        5 * KL_POSITION / 2, abs=1e-6)
+
+
+def test_teacher_against_itself_is_zero(paper):
+    same = paper.where("exit_layer = 4").withColumn("exit_layer", F.lit(9)).unionByName(
+        paper.where("exit_layer = 4"))
+    assert L.exit_kl_loss(same, 4).first()["kl_loss"] == pytest.approx(0, abs=1e-12)
+
+
+def test_kernels_agree_with_expressions(paper):
+    expr = {(r["exit_layer"],): (r["ce_loss"], r["kl_loss"]) for r in L.exit_losses(paper, 4).collect()}
+    arrow = {(r["exit_layer"],): (r["ce_loss"], r["kl_loss"])
+             for r in L.exit_losses(paper, 4, vocab_size=10**6).collect()}
+    for key, (ce, kl) in expr.items():
+        assert arrow[key][0] == pytest.approx(ce) and (kl is None) == (arrow[key][1] is None)
+        assert kl is None or arrow[key][1] == pytest.approx(kl)
+
+
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(0, 200, n)], [float(x) for x in rng.normal(0, 200, n)])
+            for i, n in enumerate([1, 7, 7, 3000, 3000, 2])]
+    rows.append((99, [-math.inf, 0.0, 1.0], [0.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "i int, a array<double>, b array<double>").coalesce(1)
+    out = df.select("i", "a", V.kl_divergence("a", "b").alias("kl"), kl_kernel("a", "b").alias("kl2"),
+                    V.logsumexp("a").alias("z"), V.argmax("a").alias("t"), logit_summary("a").alias("s"),
+                    F.aggregate(V.softmax("a"), F.lit(0.0), lambda x, y: x + y).alias("one")).collect()
+    for r in out:
+        assert r["kl"] >= -1e-9 and r["kl2"] == pytest.approx(r["kl"])
+        assert r["s"]["lse"] == pytest.approx(r["z"]) and r["s"]["token"] == r["t"] == int(np.argmax(r["a"]))
+        assert r["one"] == pytest.approx(1.0)
+
+
+def test_bad_inputs_fail(spark, paper):
+    uneven = spark.createDataFrame([([0.0], [0.0, 1.0])], "a array<double>, b array<double>")
+    for fn in (V.kl_divergence, kl_kernel):
+        with pytest.raises(PySparkException):
+            uneven.select(fn("a", "b")).collect()
+    with pytest.raises(PySparkException):
+        L.exit_ce_loss(paper.withColumn("target", F.lit(4))).collect()
+
+
+def test_shifted_targets(spark):
+    rows = spark.createDataFrame([(0, p) for p in range(4)] + [(1, 0)], "seq_id long, pos int")
+    labels = spark.createDataFrame([(0, 0, 7), (0, 1, 8), (0, 2, -100), (0, 3, 9), (1, 0, 5)],
+                                   "seq_id long, pos int, label int")
+    got = {(r["seq_id"], r["pos"]): r["target"] for r in L.attach_targets(rows, labels).collect()}
+    assert got == {(0, 0): 8, (0, 1): None, (0, 2): 9, (0, 3): None, (1, 0): None}
+    same = {(r["seq_id"], r["pos"]): r["target"] for r in L.attach_targets(rows, labels, shift=False).collect()}
+    assert same == {(0, 0): 7, (0, 1): 8, (0, 2): None, (0, 3): 9, (1, 0): 5}
+
+
+def test_known_losses(spark, medium):
+    logits = exit_logits(spark, medium)
+    ce = {r["exit_layer"]: round(r["ce_loss"], 6) for r in L.exit_ce_loss(logits, by=()).collect()}
+    assert ce == {16: 2.150999, 32: 2.011777, 48: 1.856233, 64: 1.718766}
+    alone = logits.withColumn("seq_id", F.col("seq_id") * 8 + F.col("pos"))
+    kl = {r["exit_layer"]: round(r["kl_loss"], 6) for r in L.exit_kl_loss(alone, 64, by=()).collect()}
+    assert kl == {16: 0.388258, 32: 0.267590, 48: 0.127300}
+    shifted = L.exit_ce_loss(logits.drop("target"), token_labels(table(spark, medium, "embeddings")), by=())
+    rows = {r["exit_layer"]: r for r in shifted.collect()}
+    assert {k: round(r["ce_loss"], 4) for k, r in rows.items()} == {16: 2.4880, 32: 2.6427, 48: 2.7828, 64: 2.9527}
+    assert rows[16]["ce_positions"] == 397
+
+
+def test_known_exit_counts(spark, medium):
+    preds = E.exit_prediction(exit_logits(spark, medium))
+    want = {0.25: [91, 209, 104, 96], 0.3: [34, 136, 125, 205], 0.4: [3, 45, 70, 382], 0.5: [0, 13, 33, 454],
+            0.6: [0, 2, 17, 481], 0.9: [0, 0, 0, 500], 1.0: [0, 0, 0, 500], -1.0: [500, 0, 0, 0]}
+    rows = E.threshold_sweep(preds, list(want), FULL_LAYER).collect()
+    for threshold, counts in want.items():
+        got = {r["chosen_exit"]: r["positions"] for r in rows if r["threshold"] == threshold}
+        assert [got.get(k, 0) for k in (*EXITS, FULL_LAYER)] == counts
+    once = E.early_exit_policy(preds, 0.3, FULL_LAYER)
+    assert once.count() == once.select("seq_id", "pos").distinct().count() == 500
+
+
+def test_threshold_is_exclusive_and_order_is_by_depth(spark):
+    preds = spark.createDataFrame(
+        [(0, 0, 8, 1, 0.5), (0, 0, 4, 2, 0.5), (0, 0, 12, 3, 0.1), (0, 1, 4, 5, 0.6), (0, 1, 8, 6, 0.9), (0, 1, 12, 7, 1.0)],
+        "seq_id long, pos int, exit_layer int, token int, confidence double")
+    got = {r["pos"]: (r["chosen_exit"], r["token"]) for r in E.early_exit_policy(preds, 0.5, 12).collect()}
+    assert got == {0: (12, 3), 1: (4, 5)}
+    stats = {r["chosen_exit"]: r for r in E.exit_stats(E.early_exit_policy(preds, 0.5, 12), 12, None).collect()}
+    assert stats[4]["mean_layers"] == 8 and stats[4]["compute_saved"] == pytest.approx(1 / 3)
+
+
+def test_prediction_ties_and_top_k(spark):
+    df = spark.createDataFrame([(0, [1.0, 3.0, 3.0, 2.0])], "seq_id long, logits array<float>")
+    for vocab in (None, 10**6):
+        row = E.exit_prediction(df, k=3, vocab_size=vocab).first()
+        assert row["token"] == 1 and [t["token"] for t in row["top"]] == [1, 2, 3]
+        assert row["confidence"] == pytest.approx(row["top"][0]["confidence"])
+        assert row["confidence"] == pytest.approx(math.exp(3) / sum(math.exp(x) for x in (1, 3, 3, 2)))
+
+
+def test_exit_validation(spark):
+    assert E.validate_exit_layers(12, [4, 8, 12]) == [12]
+    with pytest.raises(ValueError, match="5"):
+        E.validate_exit_layers([4, 5], [4, 8, 12])
+    with pytest.raises(ValueError, match="no built exits"):
+        E.validate_exit_layers([4], None)
+    df = spark.createDataFrame([(4,), (8,), (32,)], "exit_layer int")
+    assert [r[0] for r in E.fixed_exit(df, 8, [4, 8]).collect()] == [8]
+    assert sorted(r[0] for r in E.fixed_exit(df, [4], [4, 8], full=True, full_layer=32).collect()) == [4, 32]
+    with pytest.raises(ValueError):
+        E.fixed_exit(df, [], [4, 8])
+    with pytest.raises(ValueError):
+        E.fixed_exit(df, 4, [4], full=True)
+    assert [r[0] for r in E.invalid_exits(df, df.where("exit_layer < 32")).collect()] == [32]
