@@ -22,5 +22,12 @@ def doubles(col: Column | str) -> Column:
     return F.col(col).cast("array<double>") if isinstance(col, str) else col.cast("array<double>")
 
 
+def int_div(a: Column, b: Column | int) -> Column:
+    """Whole-number quotient in 64-bit arithmetic. ``/`` would go through doubles, which cannot
+    hold large ids and offsets."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
+
+
 def as_column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offramp.functions.columns import int_div
 from offramp.functions.text import py_trim
 
 MESSAGE = "struct<role:string,content:string>"
@@ -40,7 +41,7 @@ def collect_turns(df: DataFrame, conv: str = "conv_id", order: str = "turn", rol
     """
     if max_messages < 1:
         raise ValueError("max_messages must be at least 1")
-    part = F.floor(F.col(order) / F.lit(max_messages)).cast("bigint")
+    part = int_div(F.col(order), max_messages)
     entry = F.struct(F.col(order).alias("position"), F.col(role).alias("role"),
                      F.col(content).alias("content"))
     own = F.struct(part.alias("part"), entry.alias("entry"))

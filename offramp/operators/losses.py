@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offramp.functions.kernels import kl_kernel, logit_summary
@@ -60,11 +60,21 @@ def exit_ce_loss(logits: DataFrame, labels: DataFrame | None = None, shift: bool
 
 def _pair_with_teacher(logits: DataFrame, teacher_layer: int, keep_teacher: bool,
                        teacher: DataFrame | None) -> DataFrame:
-    source = logits if teacher is None else teacher
-    teacher_rows = (source.where(F.col("exit_layer") == teacher_layer)
-                    .select("seq_id", "pos", F.col("logits").alias("_teacher")))
-    students = logits if keep_teacher else logits.where(F.col("exit_layer") != teacher_layer)
-    return students.join(teacher_rows, ["seq_id", "pos"])
+    """Put the teacher's logits of a position beside each exit's. Positions without a teacher drop.
+
+    Within one table this is a window over the few rows of a position: one scan and one exchange
+    for all exits, and whatever produced the logits runs once. Two tables are joined.
+    """
+    is_teacher = F.col("exit_layer") == teacher_layer
+    if teacher is None:
+        position = Window.partitionBy("seq_id", "pos")
+        paired = logits.withColumn("_teacher", F.first(
+            F.when(is_teacher, F.col("logits")), ignorenulls=True).over(position))
+        paired = paired.where(F.col("_teacher").isNotNull())
+    else:
+        paired = logits.join(teacher.where(is_teacher).select(
+            "seq_id", "pos", F.col("logits").alias("_teacher")), ["seq_id", "pos"])
+    return paired if keep_teacher else paired.where(~is_teacher)
 
 
 def _kl(vocab_size: int | None) -> Column:
@@ -147,7 +157,7 @@ def distill_loss(logits: DataFrame, teacher_layer: int, kl_weight: float = 0.1,
                  vocab_size: int | None = None) -> DataFrame:
     """``kl_weight * kl_mean + ce_weight * ce_mean`` per group.
 
-    With a KL weight of zero or less the divergence is 0 and its join is not planned at all.
+    With a KL weight of zero or less the divergence is 0 and its exchange is not planned at all.
     """
     if kl_weight > 0:
         losses = exit_losses(logits, teacher_layer, by, target, vocab_size=vocab_size)

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offramp.functions.columns import int_div
+
 
 def dataset_summary(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
-    """Rows per group and their share of all rows."""
+    """Rows per group and their share of all rows (counted apart, without reading a column)."""
     by = [by] if isinstance(by, str) else list(by)
     grouped = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    total = grouped.agg(F.sum("rows")).scalar()
+    total = df.agg(F.count(F.lit(1))).scalar()
     return grouped.select(*by, "rows", (F.col("rows") / total).alias("share"))
 
 
@@ -51,7 +53,7 @@ def metric_columns(exits: Sequence[int], full_layer: int | None = None) -> list[
 def window_of(step: str = "step", every: int = 10) -> Column:
     if every < 1:
         raise ValueError("every must be at least 1")
-    return F.floor(F.col(step) / every).cast("bigint")
+    return int_div(F.col(step), every)
 
 
 def log_window(df: DataFrame, every: int = 10, by: Sequence[str] = ("metric",)) -> DataFrame:

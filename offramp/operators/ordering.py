@@ -74,7 +74,8 @@ def prefix_sum(df: DataFrame, key: str, weight: Column, name: str, splits: list
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum("_weight").over(inside), F.lit(0)))
-    return (local.join(F.broadcast(offsets), "_bucket")
+    # Every bucket has a total; a left join only saves the null test an inner one would add.
+    return (local.join(F.broadcast(offsets), "_bucket", "left")
             .withColumn(name, F.col("_local") + F.col("_offset"))
             .drop("_bucket", "_weight", "_local", "_offset"))
 

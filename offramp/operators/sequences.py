@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offramp.functions.columns import as_column, let
+from offramp.functions.columns import as_column, int_div, let
 from offramp.functions.kernels import token_encoder
 from offramp.functions.text import words
 from offramp.operators.ordering import prefix_sum, row_index
@@ -81,7 +81,7 @@ def pack_sequences(df: DataFrame, key: str, max_len: int, eos: int, ids: str = "
                       F.array(F.lit(eos).cast("int")))
     width = F.lit(max_len).cast("bigint")
     start, end = F.col("_start"), F.col("_start") + F.col("_n")
-    first, last = F.floor(start / width), F.floor((end - 1) / width)
+    first, last = int_div(start, width), int_div(end - 1, width)
 
     def piece(block: Column, all_tokens: Column) -> Column:
         low = F.greatest(block * width, start)
@@ -90,7 +90,6 @@ def pack_sequences(df: DataFrame, key: str, max_len: int, eos: int, ids: str = "
                         F.slice(all_tokens, (low - start + 1).cast("int"),
                                 (high - low).cast("int")).alias("tokens"))
 
-    first, last = first.cast("bigint"), last.cast("bigint")
     pieces = let(tokens, lambda t: F.transform(F.sequence(first, last), lambda b: piece(b, t)))
     return (placed.select(F.explode(pieces).alias("p")).select("p.*")
             .groupBy("seq_id")
@@ -157,9 +156,9 @@ def batch_plan(df: DataFrame, key: str, per_device: int, accum: int, world: int
     i = F.col("index")
     return (row_index(df.select(key), key, "index", splits)
             .select(key, i,
-                    F.floor(i / (world * per_device * accum)).cast("bigint").alias("step"),
-                    (F.floor(i / (world * per_device)) % accum).cast("bigint").alias("micro_step"),
-                    (F.floor(i / per_device) % world).cast("bigint").alias("rank"),
+                    int_div(i, world * per_device * accum).alias("step"),
+                    (int_div(i, world * per_device) % accum).alias("micro_step"),
+                    (int_div(i, per_device) % world).alias("rank"),
                     (i % per_device).cast("bigint").alias("slot")))
 
 
@@ -184,7 +183,7 @@ def token_budget(df: DataFrame, per_device: int, accum: int, world: int = 8,
     n = F.count(F.lit(1))
     slots = F.coalesce(F.sum(size), F.lit(0))
     tokens = F.coalesce(F.sum(real.cast("bigint")), F.lit(0))
-    available = F.floor(n / step).cast("bigint")
+    available = int_div(n, step)
     used = F.least(available, F.lit(max_steps).cast("bigint")) if max_steps is not None else available
     return df.agg(
         n.alias("sequences"), slots.alias("token_slots"), tokens.alias("tokens"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offramp.functions.columns import int_div
 from offramp.functions.vectors import rms_norm
 from offramp.operators.heads import exit_head_logits
 from offramp.operators.sequences import IGNORE_LABEL
@@ -33,10 +34,10 @@ def exit_hidden(embeddings: DataFrame) -> DataFrame:
     """Hidden states of every exit, eight vectors to a sequence, eight sequences to a batch."""
     states = F.array(*[F.struct(F.lit(k).alias("exit_layer"),
                                 F.slice("embedding", 1, k).alias("h")) for k in LAYERS])
-    seq_id = F.floor(F.col("vec_id") / POSITIONS).cast("bigint")
+    seq_id = int_div(F.col("vec_id"), POSITIONS)
     return (embeddings.select(
                 seq_id.alias("seq_id"), (F.col("vec_id") % POSITIONS).cast("int").alias("pos"),
-                F.floor(seq_id / SEQUENCES_PER_BATCH).cast("bigint").alias("batch_id"),
+                int_div(seq_id, SEQUENCES_PER_BATCH).alias("batch_id"),
                 F.col("label"), F.explode(states).alias("s"))
             .select("seq_id", "pos", "batch_id", "label", "s.exit_layer", "s.h"))
 
@@ -58,7 +59,7 @@ def exit_heads(hidden: DataFrame) -> DataFrame:
 def token_labels(embeddings: DataFrame) -> DataFrame:
     """``(seq_id, pos, label)`` with every eleventh label ignored."""
     return embeddings.select(
-        F.floor(F.col("vec_id") / POSITIONS).cast("bigint").alias("seq_id"),
+        int_div(F.col("vec_id"), POSITIONS).alias("seq_id"),
         (F.col("vec_id") % POSITIONS).cast("int").alias("pos"),
         F.when(F.col("vec_id") % IGNORE_EVERY == 0, F.lit(IGNORE_LABEL))
         .otherwise(F.col("label")).alias("label"))

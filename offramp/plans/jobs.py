@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offramp.operators.chat import BOS, apply_chat_template, build_messages, insert_empty_system
@@ -13,7 +13,7 @@ from offramp.operators.decontaminate import Benchmark, decontaminate
 from offramp.operators.exits import (early_exit_policy, exit_prediction, fixed_exit,
                                      validate_exit_layers)
 from offramp.operators.heads import exit_head_logits, prune_depth
-from offramp.operators.losses import exit_losses, mean_over_exits
+from offramp.operators.losses import exit_losses
 from offramp.operators.metrics import loss_metrics, metric_columns, metric_log
 from offramp.sources.tables import mix_datasets, prepare_or_load
 
@@ -82,17 +82,23 @@ def score_exits(hidden: DataFrame, heads: DataFrame, settings: DistillSettings)
     return exit_head_logits(kept, heads, settings.tie_exit_lm_head)
 
 
-def evaluate_step(logits: DataFrame, settings: DistillSettings,
-                  by: Sequence[str] = ("batch_id",)) -> DataFrame:
-    """One row per group: the step's loss, its two means and every named metric."""
+def evaluate_step(logits: DataFrame, settings: DistillSettings, batch: str = "batch_id") -> DataFrame:
+    """One row per batch: the step's loss, its two means and every named metric."""
     full = settings.full_layer
     exits = validate_exit_layers(settings.output_exit_layers or [], settings.exit_layer_indices)
-    losses = exit_losses(logits, full, by)
-    means = mean_over_exits(losses, full, by)
-    kl = F.coalesce("kl_mean", F.lit(0.0)) * max(settings.kl_weight, 0.0)
-    wide = metric_log(loss_metrics(losses, by[0]), metric_columns(exits, full))
-    return (means.withColumn("loss", kl + F.col("ce_mean") * settings.ce_weight)
-            .join(wide.withColumnRenamed("step", by[0]), by[0]))
+    names = metric_columns(exits, full)
+    losses = exit_losses(logits, full, (batch,))
+    wide = metric_log(loss_metrics(losses, batch), names).withColumnRenamed("step", batch)
+
+    def mean(prefix: str) -> Column:
+        """Mean over the exits that have a value: the row holds them all already."""
+        values = F.array_compact(F.array(*[name for name in names if name.startswith(prefix)]))
+        total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(F.size(values) > 0, total / F.size(values))
+
+    return (wide.withColumn("ce_mean", mean("ce_")).withColumn("kl_mean", mean("kl_"))
+            .withColumn("loss", F.coalesce("kl_mean", F.lit(0.0)) * max(settings.kl_weight, 0.0)
+                        + F.col("ce_mean") * settings.ce_weight))
 
 
 def decide_exits(logits: DataFrame, settings: DistillSettings, threshold: float | None = None,
