@@ -29,6 +29,8 @@ from offramp.session import filter_spread
 # The row-local plan holds the benchmark as a literal of the plan: bounds of that literal.
 MAX_LOCAL_ITEMS = 4_096
 MAX_LOCAL_BYTES = 8 << 20
+# The join plan broadcasts the anchors (8 bytes each) up to this many; beyond it they are joined.
+MAX_BROADCAST_ANCHORS = 5_000_000
 
 
 def _shingles(hashes: Column, length: int, kind: int) -> Column:
@@ -92,6 +94,7 @@ class Benchmark:
     anchors: DataFrame
     kinds: list[int]
     items: list[tuple[str, int]] | None
+    count: int
 
     @property
     def is_local(self) -> bool:
@@ -112,9 +115,9 @@ def load_benchmark(bench: DataFrame, text: str = "text", ngram: int = 8,
     if size["n"] <= max_local_items and size["bytes"] <= max_local_bytes:
         rows = anchors.collect()
         return Benchmark(anchors, sorted({r["kind"] for r in rows}),
-                         [(r["item"], r["anchor"]) for r in rows])
+                         [(r["item"], r["anchor"]) for r in rows], size["n"])
     kinds = [r["kind"] for r in anchors.select("kind").distinct().collect()]
-    return Benchmark(anchors, sorted(kinds), None)
+    return Benchmark(anchors, sorted(kinds), None, size["n"])
 
 
 def contains_benchmark(text: Column | str, benchmark: Benchmark) -> Column:
@@ -145,15 +148,19 @@ def flag_contaminated(df: DataFrame, bench: DataFrame | Benchmark, text: str = "
     A benchmark within the bounds is tested in the row, without any shuffle. A larger one is joined
     on anchors: each row's distinct shingles (without its text) meet the anchors, the few
     matching items are gathered per key, and one join brings them back to the rows for the exact
-    comparison. Spark chooses the join by the measured size of its sides. ``key`` must not be
+    comparison. Spark chooses these joins by the measured size of their sides. ``key`` must not be
     null in the second case; several rows may share one.
     """
     benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
     if benchmark.is_local:
         return df.withColumn(name, contains_benchmark(text, benchmark))
     shingles = F.array_distinct(let(normalize_text(text), lambda n: text_shingles(n, benchmark.kinds)))
-    found = (df.select(F.col(key), F.explode(shingles).alias("anchor"))
-             .join(benchmark.anchors.select("anchor", "item"), "anchor")
+    candidates = df.select(F.col(key), F.explode(shingles).alias("anchor"))
+    if benchmark.count <= MAX_BROADCAST_ANCHORS:
+        # Shingles that are no anchor end here, before any shuffle, however common they are.
+        known = benchmark.anchors.select("anchor").distinct()
+        candidates = candidates.join(F.broadcast(known), "anchor", "left_semi")
+    found = (candidates.join(benchmark.anchors.select("anchor", "item"), "anchor")
              .groupBy(key).agg(F.collect_set("item").alias("_items")))
     hit = let(normalize_text(text),
               lambda n: F.exists(F.col("_items"), lambda item: F.contains(n, item)))

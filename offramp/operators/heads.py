@@ -75,36 +75,32 @@ def _stats_schema(df: DataFrame) -> StructType:
 
 
 def exit_head_stats(hidden: DataFrame, heads: DataFrame, target: str | None = None,
-                    eps: float = 1e-6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    eps: float = 1e-6, block_bytes: int = BLOCK_BYTES, tied: bool = False) -> DataFrame:
     """What losses and decisions need from the logits, for heads of large vocabularies.
 
     Replaces ``h`` by ``lse`` (log-sum-exp), ``top`` (largest logit), ``token`` (its id, lowest on a
     tie) and ``target_logit`` (logit of the ``target`` column's token, null when ignored).
-    The logits themselves are never stored or shuffled. Head rows ``(exit_layer, token_id, w)``
-    are taken in vocabulary blocks of at most ``block_bytes``; a block's weights travel as a
-    broadcast value and each Arrow batch of hidden states is one matrix product. With
-    more than one block the partial results merge associatively in one aggregation over
-    ``(seq_id, pos, exit_layer)``, so those must identify a row.
+    The logits themselves are never stored or shuffled. Head rows ``(exit_layer, token_id, w)``, or
+    ``(token_id, w)`` when ``tied``, are taken in vocabulary blocks of at most ``block_bytes``;
+    a block's weights travel as a broadcast value and each Arrow batch of hidden states is
+    one matrix product. With more than one block the partial results merge
+    associatively in one aggregation over ``(seq_id, pos, exit_layer)``, so those must identify a row.
     """
     spark = hidden.sparkSession
+    if tied:
+        heads = heads.withColumn("exit_layer", F.lit(None).cast("int"))
+    heads = heads.select("exit_layer", "token_id", doubles("w").alias("w"))
     shape = heads.agg(F.max(F.size("w")).alias("dim"), F.min("token_id").alias("low"),
                       F.max("token_id").alias("high"),
                       F.countDistinct("exit_layer").alias("exits")).first()
     if shape["dim"] is None:
         raise ValueError("no head rows")
-    width = max(1, block_bytes // (8 * shape["dim"] * shape["exits"]))
+    width = max(1, block_bytes // (8 * shape["dim"] * max(1, shape["exits"])))
     schema = _stats_schema(hidden)
     parts = []
     for low in range(shape["low"], shape["high"] + 1, width):
-        block = {}
         rows = heads.where((F.col("token_id") >= low) & (F.col("token_id") < low + width))
-        for row in rows.select("exit_layer", "token_id", "w").toLocalIterator():
-            block.setdefault(row["exit_layer"], []).append((row["token_id"], row["w"]))
-        weights = {}
-        for exit_layer, entries in block.items():
-            entries.sort()
-            weights[exit_layer] = (np.array([t for t, _ in entries], np.int32),
-                                   np.array([w for _, w in entries], np.float64).T)
+        weights = _block_weights(rows.toArrow())
         parts.append(hidden.mapInArrow(
             _block_scorer(spark.sparkContext.broadcast(weights), target, eps), schema))
     if len(parts) == 1:
@@ -128,6 +124,19 @@ def exit_head_stats(hidden: DataFrame, heads: DataFrame, target: str | None = No
                     "target_logit"))
 
 
+def _block_weights(rows: pa.Table) -> dict:
+    """Token ids (ascending) and the weight matrix, a column per token, for each exit."""
+    rows = rows.sort_by([("exit_layer", "ascending"), ("token_id", "ascending")])
+    exits = rows["exit_layer"].to_pylist()
+    ids = rows["token_id"].to_numpy().astype(np.int32)
+    weights = {}
+    for exit_layer in set(exits):
+        at = [i for i, e in enumerate(exits) if e == exit_layer]
+        w = rows["w"].slice(at[0], len(at)).combine_chunks()
+        weights[exit_layer] = (ids[at], w.flatten().to_numpy().reshape(len(at), -1).T)
+    return weights
+
+
 def _block_scorer(weights, target: str | None, eps: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = weights.value
@@ -139,11 +148,12 @@ def _block_scorer(weights, target: str | None, eps: float):
             n = batch.num_rows
             lse, top = np.full(n, np.nan), np.full(n, np.nan)
             token, at = np.zeros(n, np.int32), np.full(n, np.nan)
-            known = np.isin(exits, list(heads))
+            tied = None in heads
+            known = np.ones(n, bool) if tied else np.isin(exits, list(heads))
             offsets = h.offsets.to_numpy() - h.offsets[0].as_py()
             flat = h.flatten().to_numpy(zero_copy_only=False)
             for exit_layer, (ids, w) in heads.items():
-                wide = np.flatnonzero(exits == exit_layer)
+                wide = np.arange(n) if tied else np.flatnonzero(exits == exit_layer)
                 step = max(1, (4 << 20) // max(1, len(ids)))
                 for i in range(0, len(wide), step):
                     rows = wide[i:i + step]

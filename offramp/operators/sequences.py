@@ -40,20 +40,23 @@ def fit_vocab(df: DataFrame, text: str = "text", size: int = 32_000,
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, unk: int = 0, text: str = "text",
                   key: str = "doc_id", out: str = "input_ids",
-                  max_local_vocab: int = MAX_LOCAL_VOCAB) -> DataFrame:
+                  max_local_vocab: int = MAX_LOCAL_VOCAB, salts: int = 32) -> DataFrame:
     """Add the token ids of a text as ``ARRAY<INT>``.
 
     The vocabulary is fetched first, up to the bound. Within it, each row is encoded where it
     is, one hash lookup per word over Arrow batches and no shuffle. Beyond it, the words
     are joined with the vocabulary and gathered again by ``key`` (unique); the words of a row
-    are never more than its own text.
+    are never more than its own text. The join is salted by the row's key, so that the most
+    frequent word is spread over ``salts`` tasks, and adaptive execution can split these again.
     """
     rows = vocab.select("token", "token_id").limit(max_local_vocab + 1).collect()
     if len(rows) <= max_local_vocab:
         encode = token_encoder([r["token"] for r in rows], [r["token_id"] for r in rows], unk)
         return df.withColumn(out, encode(words(text)))
-    exploded = df.select(key, F.posexplode(words(text)).alias("pos", "token"))
-    ids = (exploded.join(vocab.select("token", "token_id"), "token", "left")
+    exploded = df.select(key, F.pmod(F.hash(key), F.lit(salts)).alias("_salt"),
+                         F.posexplode(words(text)).alias("pos", "token"))
+    copies = vocab.select("token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    ids = (exploded.join(copies, ["token", "_salt"], "left")
            .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
                "pos", F.coalesce("token_id", F.lit(unk)).alias("id")))).alias("_ids"))
            .select(key, F.transform("_ids", lambda e: e["id"].cast("int")).alias(out)))

@@ -95,3 +95,28 @@ def test_row_filters(spark):
     assert given.count() == 3 and "Join" not in given._jdf.queryExecution().optimizedPlan().toString()
     rest = H.drop_virtual_tokens(df, 2)
     assert sorted({tuple(r) for r in rest.select("seq_id", "pos").collect()}) == [(0, 0), (0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize("block_bytes", [5 * 6 * 8, 1 << 20])
+def test_tied_block_stats(spark, block_bytes):
+    hidden, heads, _ = _data(spark)
+    one = heads.where("exit_layer = 8").drop("exit_layer")
+    logits = H.exit_head_logits(hidden, one, tied=True).collect()
+    want = {(r["seq_id"], r["pos"], r["exit_layer"]): np.array(r["logits"]) for r in logits}
+    rows = H.exit_head_stats(hidden, one, "target", block_bytes=block_bytes, tied=True).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        x = want[r["seq_id"], r["pos"], r["exit_layer"]]
+        assert r["token"] == x.argmax() and r["lse"] == pytest.approx(np.log(np.exp(x).sum()))
+        assert r["target_logit"] == pytest.approx(x[r["target"]])
+
+
+def test_heads_of_different_width(spark):
+    """Each exit may have its own number of dimensions and tokens."""
+    hidden = spark.createDataFrame([(0, 0, 4, [1.0, 2.0]), (0, 0, 8, [1.0, 2.0, 3.0]), (0, 0, 9, [1.0])],
+                                   "seq_id long, pos int, exit_layer int, h array<float>")
+    heads = spark.createDataFrame([(4, 0, [1.0, 0.0]), (4, 2, [0.0, 1.0]), (8, 1, [1.0, 1.0, 1.0])],
+                                  "exit_layer int, token_id int, w array<double>")
+    for block_bytes in (1, 1 << 20):
+        got = {r["exit_layer"]: r["token"] for r in H.exit_head_stats(hidden, heads, block_bytes=block_bytes).collect()}
+        assert got == {4: 2, 8: 1}
