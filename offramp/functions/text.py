@@ -27,6 +27,11 @@ def normalize_text(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(as_column(col)), WORD_SPACE_RUN, " "))
 
 
+def normalized_words(col: Column | str) -> Column:
+    """The words of ``normalize_text``: joined by single spaces they are that text again."""
+    return F.split(F.btrim(F.lower(as_column(col)), F.lit(WORD_SPACE)), WORD_SPACE_RUN)
+
+
 def words(col: Column | str) -> Column:
     """The whitespace-separated words of a text; an empty array for a blank text."""
     trimmed = F.btrim(as_column(col), F.lit(WORD_SPACE))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offramp.functions.columns import let
-from offramp.functions.text import normalize_text
+from offramp.functions.text import normalize_text, normalized_words
 from offramp.session import filter_spread
 
 # The row-local plan holds the benchmark as a literal of the plan: bounds of that literal.
@@ -41,8 +41,8 @@ def _shingles(hashes: Column, length: int, kind: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def text_shingles(text: Column, kinds: list[int]) -> Column:
-    """Hashes of a normalised text for the shingle kinds the benchmark uses.
+def text_shingles(words: Column, kinds: list[int]) -> Column:
+    """Hashes of a text, given by its normalised words, for the shingle kinds the benchmark uses.
 
     A positive kind is a number of words, a negative one a number of characters. Each part
     is hashed once, and a shingle is the hash of its part hashes.
@@ -55,9 +55,9 @@ def text_shingles(text: Column, kinds: list[int]) -> Column:
     by_char = [k for k in kinds if k < 0]
     found = []
     if by_word:
-        found.append(of(F.split(text, " "), by_word))
+        found.append(of(words, by_word))
     if by_char:
-        found.append(of(F.split(text, ""), by_char))
+        found.append(of(F.split(F.array_join(words, " "), ""), by_char))
     return F.concat(*found) if found else F.array().cast("array<bigint>")
 
 
@@ -131,13 +131,17 @@ def contains_benchmark(text: Column | str, benchmark: Benchmark) -> Column:
     texts = F.split(F.lit("\n".join(item for item, _ in items)), "\n")
     anchors = F.split(F.lit(",".join(str(anchor) for _, anchor in items)), ",").cast("array<bigint>")
 
-    def compare(norm: Column) -> Column:
-        return let(F.array_intersect(text_shingles(norm, benchmark.kinds), anchors),
-                   lambda hits: (F.size(hits) > 0) & (F.size(F.filter(
-                       texts, lambda item, i: F.array_contains(hits, F.get(anchors, i))
-                       & F.contains(norm, item))) > 0))
+    def compare(words: Column) -> Column:
+        def holds_item(hits: Column) -> Column:
+            return let(F.array_join(words, " "), lambda norm: F.size(F.filter(
+                texts, lambda item, i: F.array_contains(hits, F.get(anchors, i))
+                & F.contains(norm, item))) > 0)
 
-    return F.coalesce(let(normalize_text(text), compare), F.lit(False))
+        # Only a text that has an anchor is put together again and compared.
+        return let(F.array_intersect(text_shingles(words, benchmark.kinds), anchors),
+                   lambda hits: F.when(F.size(hits) > 0, holds_item(hits)).otherwise(F.lit(False)))
+
+    return F.coalesce(let(normalized_words(text), compare), F.lit(False))
 
 
 def flag_contaminated(df: DataFrame, bench: DataFrame | Benchmark, text: str = "text",
@@ -154,7 +158,7 @@ def flag_contaminated(df: DataFrame, bench: DataFrame | Benchmark, text: str = "
     benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
     if benchmark.is_local:
         return df.withColumn(name, contains_benchmark(text, benchmark))
-    shingles = F.array_distinct(let(normalize_text(text), lambda n: text_shingles(n, benchmark.kinds)))
+    shingles = F.array_distinct(let(normalized_words(text), lambda w: text_shingles(w, benchmark.kinds)))
     candidates = df.select(F.col(key), F.explode(shingles).alias("anchor"))
     if benchmark.count <= MAX_BROADCAST_ANCHORS:
         # Shingles that are no anchor end here, before any shuffle, however common they are.

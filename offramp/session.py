@@ -53,7 +53,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True below one default split per core, by the optimiser's size estimate (no job is run).
+    """True below one default split per core and one file per core, by the optimiser's size
+    estimate and the file list (no job is run).
 
     Such an input may be read by fewer tasks than there are cores: a file with one row group is
     read by one task. A stream is never small.
@@ -62,7 +63,7 @@ def is_small(df: DataFrame) -> bool:
         return False
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return cores > 1 and size < cores * (128 << 20)
+    return cores > 1 and size < cores * (128 << 20) and len(df.inputFiles()) < cores
 
 
 def spread_small(df: DataFrame, *keys: str) -> DataFrame:
