@@ -179,6 +179,8 @@ def decontaminate(df: DataFrame, bench: DataFrame | Benchmark, text: str = "text
     benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
     if benchmark.is_local:
         return filter_spread(df, ~contains_benchmark(text, benchmark), key)
+    if df.isStreaming:
+        raise ValueError("the benchmark is too large for the row-local test a stream needs")
     flagged = flag_contaminated(df, benchmark, text, key, ngram, "_contaminated")
     return flagged.where(~F.col("_contaminated")).drop("_contaminated")
 

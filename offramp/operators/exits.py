@@ -62,6 +62,11 @@ def exit_prediction(logits: DataFrame, k: int = 1, vocab_size: int | None = None
             .drop("_p", "logits"))
 
 
+def predictions_from_stats(stats: DataFrame) -> DataFrame:
+    """``exit_prediction`` from the rows of ``exit_head_stats``: adds ``confidence`` to ``token``."""
+    return stats.withColumn("confidence", F.exp(F.col("top") - F.col("lse")))
+
+
 def fixed_exit(df: DataFrame, exits: int | Sequence[int], built: Sequence[int] | None,
                full: bool = False, full_layer: int | None = None) -> DataFrame:
     """Rows of the configured exits, and of the full model when ``full``."""

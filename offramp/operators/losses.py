@@ -129,6 +129,21 @@ def exit_losses(logits: DataFrame, teacher_layer: int, by: Sequence[str] = ("bat
         value = F.when(F.col(mask) == 1, value)
     rows = paired.select(*by, "exit_layer", "seq_id", value.alias("_kl"),
                          cross_entropy(target, vocab_size=vocab_size).alias("_ce"))
+    return _reduced_losses(rows, teacher_layer, by, reduction)
+
+
+def exit_losses_from_stats(stats: DataFrame, teacher_layer: int, by: Sequence[str] = ("batch_id",),
+                           reduction: str = "batchmean", mask: str | None = None) -> DataFrame:
+    """``exit_losses`` from the rows of ``exit_head_stats``, whose ``kl`` is null for the teacher."""
+    value = F.col("kl")
+    if mask is not None:
+        value = F.when(F.col(mask) == 1, value)
+    rows = stats.select(*by, "exit_layer", "seq_id", value.alias("_kl"),
+                        (F.col("lse") - F.col("target_logit")).alias("_ce"))
+    return _reduced_losses(rows, teacher_layer, by, reduction)
+
+
+def _reduced_losses(rows: DataFrame, teacher_layer: int, by: Sequence[str], reduction: str) -> DataFrame:
     per_sequence = rows.groupBy(*by, "exit_layer", "seq_id").agg(
         F.sum("_kl").alias("_kl"), F.count("_kl").alias("_kl_n"),
         F.sum("_ce").alias("_ce"), F.count("_ce").alias("_ce_n"))

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from offramp.functions.text import normalize_text, py_trim, word_count
 from offramp.functions.vectors import log_softmax, rms_norm
-from offramp.operators import chat, decontaminate as decon, exits, heads, losses, metrics
+from offramp.operators import chat, decontaminate as decon, exits, head_blocks, heads, losses, metrics
 from offramp.operators import ordering, sequences, userfuncs
 from offramp.plans import jobs
 from offramp.plans.inputs import (EXITS, FULL_LAYER, event_metrics, examples, exit_heads,
@@ -288,11 +288,28 @@ def exit_logits_tied(spark, d):
                         "seq_id", "pos", "exit_layer")
 
 
-def exit_head_stats(spark, d):
+def _head_stats(spark, d):
+    """Scored in three vocabulary blocks, to exercise their merging."""
     hidden = _hidden(spark, d).withColumn("target", F.col("label"))
-    stats = heads.exit_head_stats(hidden, exit_heads(_hidden(spark, d)), "target", block_bytes=4 * 64 * 4 * 8)
-    return stats.select("seq_id", "pos", "exit_layer", "token", _rounded("lse"), _rounded("top"),
-                        _rounded("target_logit"))
+    return head_blocks.exit_head_stats(hidden, exit_heads(_hidden(spark, d)), "target",
+                                       block_bytes=4 * 64 * 4 * 8, teacher_layer=FULL_LAYER)
+
+
+def exit_head_stats(spark, d):
+    return _head_stats(spark, d).select(
+        "seq_id", "pos", "exit_layer", "token", _rounded("lse"), _rounded("top"),
+        _rounded("target_logit"), _rounded("kl"))
+
+
+def exit_losses_stats(spark, d):
+    return losses.exit_losses_from_stats(_head_stats(spark, d), FULL_LAYER).select(
+        "batch_id", "exit_layer", _rounded("ce_loss"), _rounded("kl_loss"))
+
+
+def early_exit_stats(spark, d):
+    preds = exits.predictions_from_stats(_head_stats(spark, d))
+    return exits.early_exit_policy(preds, 0.3, FULL_LAYER).select(
+        "seq_id", "pos", "chosen_exit", "token", _rounded("confidence"))
 
 
 def prune_depth(spark, d):
@@ -497,7 +514,8 @@ QUERIES = {
     "pad_mask": pad_mask, "labels_shift": labels_shift, "positions": positions,
     "batch_plan": batch_plan, "token_budget": token_budget, "rms_norm": rms_norm_rows,
     "exit_logits": exit_logits_rows, "exit_logits_tied": exit_logits_tied,
-    "exit_head_stats": exit_head_stats, "prune_depth": prune_depth,
+    "exit_head_stats": exit_head_stats, "exit_losses_stats": exit_losses_stats,
+    "early_exit_stats": early_exit_stats, "prune_depth": prune_depth,
     "last_positions": last_positions, "virtual_tokens": virtual_tokens,
     "log_softmax": log_softmax_rows, "exit_ce": exit_ce, "exit_ce_shifted": exit_ce_shifted,
     "exit_kl": exit_kl, "exit_kl_masked": exit_kl_masked, "mean_exit_loss": mean_exit_loss,

@@ -114,7 +114,10 @@ DECONTAMINATED = f"""WITH {HITS} SELECT doc_id, lang, n_chars FROM documents
     WHERE doc_id NOT IN (SELECT doc_id FROM hits)"""
 ENCODE = f"""WITH {ENCODED} SELECT doc_id, count(*) AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY i)) AS ids_md5
     FROM enc GROUP BY doc_id"""
-SPLIT = f"SELECT doc_id, lang, CASE WHEN {_hash('doc_id')} < {int(0.1 * 2 ** 32)} THEN 'test' ELSE 'train' END AS split FROM documents"
+EARLY_EXIT = f"""WITH {DECIDED} SELECT seq_id, pos, chosen_exit, token, round(confidence, 4) AS confidence
+    FROM dec WHERE threshold = 0.3"""
+SPLIT = f"""SELECT doc_id, lang, CASE WHEN {_hash('doc_id')} < {int(0.1 * 2 ** 32)} THEN 'test' ELSE 'train' END
+    AS split FROM documents"""
 
 ORACLE = {
     "scan_project": "SELECT doc_id, lang, n_chars FROM documents",
@@ -190,10 +193,15 @@ ORACLE = {
         SELECT seq_id, pos, n.exit_layer, token_id AS i,
         round(list_dot_product(h, w[1:n.exit_layer]) * r, 4) AS logit
         FROM wide n, head WHERE head.exit_layer = {FULL_LAYER}""",
-    "exit_head_stats": f"""WITH {LOGITS} SELECT seq_id, pos, exit_layer,
-        arg_min(token_id, (-logit, token_id)) AS token, round(max(lse), 4) AS lse, round(max(logit), 4) AS top,
-        round(max(logit) FILTER (token_id = label), 4) AS target_logit
-        FROM lp GROUP BY seq_id, pos, exit_layer""",
+    "exit_head_stats": f"""WITH {KL_ROWS}, s AS (SELECT seq_id, pos, exit_layer,
+        arg_min(token_id, (-logit, token_id)) AS token, max(lse) AS lse, max(logit) AS top,
+        max(logit) FILTER (token_id = label) AS target_logit FROM lp GROUP BY seq_id, pos, exit_layer)
+        SELECT seq_id, pos, exit_layer, token, round(lse, 4) AS lse, round(top, 4) AS top,
+        round(target_logit, 4) AS target_logit, round(kl, 4) AS kl FROM s
+        LEFT JOIN (SELECT seq_id, pos, exit_layer, kl FROM klr) USING (seq_id, pos, exit_layer)""",
+    "exit_losses_stats": f"""WITH {LOSSES} SELECT batch_id, exit_layer, round(ce_loss, 4) AS ce_loss,
+        round(kl_loss, 4) AS kl_loss FROM losses""",
+    "early_exit_stats": EARLY_EXIT,
     "prune_depth": f"WITH {HIDDEN} SELECT exit_layer, count(*) AS n FROM hid WHERE exit_layer <= 32 GROUP BY exit_layer",
     "last_positions": f"""WITH {HIDDEN} SELECT seq_id, pos, exit_layer FROM hid
         QUALIFY pos >= max(pos) OVER (PARTITION BY seq_id) - 1""",
@@ -226,8 +234,7 @@ ORACLE = {
         FROM r WHERE i < 3""",
     "fixed_exit": f"""WITH {PREDICTED} SELECT seq_id, pos, exit_layer, token, round(confidence, 4) AS confidence
         FROM pred WHERE exit_layer IN (32, {FULL_LAYER})""",
-    "early_exit": f"""WITH {DECIDED} SELECT seq_id, pos, chosen_exit, token, round(confidence, 4) AS confidence
-        FROM dec WHERE threshold = 0.3""",
+    "early_exit": EARLY_EXIT,
     "exit_stats": f"WITH {DECIDED} SELECT * EXCLUDE (threshold) FROM stats WHERE threshold = 0.3",
     "exit_sweep": f"WITH {DECIDED} SELECT * FROM stats",
     "invalid_exits": f"""WITH {HIDDEN} SELECT DISTINCT (label + 1) * 8 AS exit_layer FROM embeddings

@@ -16,7 +16,7 @@ def prepare_stream(examples: DataFrame, benchmark: Benchmark | None = None, bos:
     """Messages, template and decontamination of streamed ``(key, prompt, text)`` rows.
 
     Every step works on its own row, so the stream keeps no state. The benchmark must be within
-    the row-local bounds.
+    the row-local bounds; for a larger one use ``run_prepare_batches``.
     """
     df = build_messages(examples) if "messages" not in examples.columns else examples
     df = apply_chat_template(insert_empty_system(df, system), bos)
@@ -33,6 +33,21 @@ def run_prepare(prepared: DataFrame, path: str, checkpoint: str) -> StreamingQue
             .trigger(availableNow=True).start())
 
 
+def run_prepare_batches(examples: DataFrame, benchmark: Benchmark, path: str, checkpoint: str,
+                        bos: str = BOS, system: bool = False, key: str = "doc_id") -> StreamingQuery:
+    """``prepare_stream`` and ``run_prepare`` for a benchmark of any size.
+
+    A stream cannot be joined back to itself, which the plan for large benchmarks does; within a
+    micro-batch it can. Each micro-batch has its own folder, replaced when it is repeated.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        prepared = prepare_stream(batch, benchmark, bos, system, key)
+        prepared.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    return (examples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def window_means(metrics: DataFrame, every: int = 10) -> DataFrame:
     """Running mean of each metric over every ``every`` steps of a metric stream."""
     return (metrics.groupBy(window_of("step", every).alias("window"), "metric")

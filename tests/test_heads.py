@@ -4,7 +4,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from offramp.functions.vectors import rms_norm
+from offramp.operators import head_blocks as B
 from offramp.operators import heads as H
+from offramp.operators import losses as L
 
 
 def _data(spark, tokens=23, dim=6, exits=(4, 8), rows=40):
@@ -55,7 +57,7 @@ def test_a_large_head_is_not_broadcast(spark):
 @pytest.mark.parametrize("block_bytes", [1, 5 * 6 * 8 * 2, 1 << 20])
 def test_block_stats(spark, block_bytes):
     hidden, heads, z = _data(spark)
-    rows = H.exit_head_stats(hidden, heads, "target", block_bytes=block_bytes).collect()
+    rows = B.exit_head_stats(hidden, heads, "target", block_bytes=block_bytes).collect()
     assert len(rows) == len(z)
     for r in rows:
         x = z[r["seq_id"], r["pos"], r["exit_layer"]]
@@ -67,7 +69,7 @@ def test_block_stats(spark, block_bytes):
 def test_block_stats_without_target(spark):
     hidden, heads, _ = _data(spark)
     ignored = hidden.withColumn("target", F.when(F.col("pos") > 0, F.lit(-100)))
-    rows = H.exit_head_stats(ignored, heads, "target").collect()
+    rows = B.exit_head_stats(ignored, heads, "target").collect()
     assert all(r["target_logit"] is None for r in rows)
 
 
@@ -103,7 +105,7 @@ def test_tied_block_stats(spark, block_bytes):
     one = heads.where("exit_layer = 8").drop("exit_layer")
     logits = H.exit_head_logits(hidden, one, tied=True).collect()
     want = {(r["seq_id"], r["pos"], r["exit_layer"]): np.array(r["logits"]) for r in logits}
-    rows = H.exit_head_stats(hidden, one, "target", block_bytes=block_bytes, tied=True).collect()
+    rows = B.exit_head_stats(hidden, one, "target", block_bytes=block_bytes, tied=True).collect()
     assert len(rows) == len(want)
     for r in rows:
         x = want[r["seq_id"], r["pos"], r["exit_layer"]]
@@ -118,5 +120,31 @@ def test_heads_of_different_width(spark):
     heads = spark.createDataFrame([(4, 0, [1.0, 0.0]), (4, 2, [0.0, 1.0]), (8, 1, [1.0, 1.0, 1.0])],
                                   "exit_layer int, token_id int, w array<double>")
     for block_bytes in (1, 1 << 20):
-        got = {r["exit_layer"]: r["token"] for r in H.exit_head_stats(hidden, heads, block_bytes=block_bytes).collect()}
+        got = {r["exit_layer"]: r["token"] for r in B.exit_head_stats(hidden, heads, block_bytes=block_bytes).collect()}
         assert got == {4: 2, 8: 1}
+
+
+@pytest.mark.parametrize("tied", [False, True])
+@pytest.mark.parametrize("block_bytes", [1, 5 * 6 * 8 * 2, 1 << 20])
+def test_block_divergence(spark, block_bytes, tied):
+    hidden, heads, _ = _data(spark)
+    hidden = hidden.withColumn("batch_id", F.col("seq_id") % 2)
+    if tied:
+        heads = heads.where("exit_layer = 8").drop("exit_layer")
+    stats = B.exit_head_stats(hidden, heads, "target", block_bytes=block_bytes, tied=tied, teacher_layer=8)
+    got = {(r["batch_id"], r["exit_layer"]): r for r in L.exit_losses_from_stats(stats, 8).collect()}
+    want = L.exit_losses(H.exit_head_logits(hidden, heads, tied), 8).collect()
+    assert len(got) == len(want) == 4
+    for r in want:
+        other = got[r["batch_id"], r["exit_layer"]]
+        assert other["ce_loss"] == pytest.approx(r["ce_loss"])
+        assert (other["kl_loss"] is None) == (r["exit_layer"] == 8)
+        assert r["kl_loss"] is None or other["kl_loss"] == pytest.approx(r["kl_loss"])
+    assert not [c for c in stats.columns if c.startswith("_") or c.startswith("h")]
+
+
+def test_divergence_needs_the_same_tokens(spark):
+    hidden, heads, _ = _data(spark)
+    fewer = heads.where("exit_layer = 8 or token_id > 0")
+    with pytest.raises(ValueError, match="same tokens"):
+        B.exit_head_stats(hidden, fewer, teacher_layer=8)

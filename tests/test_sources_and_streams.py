@@ -89,7 +89,8 @@ def test_prepared_set_is_reused_until_settings_change(spark):
 
 def test_metrics_append(spark):
     path = scratch_path(spark, "t-metrics")
-    rows = spark.createDataFrame([("r", 1, "ce_loss", 4, 0.5)], "run_id string, step long, metric string, exit_layer int, value double")
+    rows = spark.createDataFrame([("r", 1, "ce_loss", 4, 0.5)],
+                                 "run_id string, step long, metric string, exit_layer int, value double")
     T.write_metrics(rows, path)
     T.write_metrics(rows.withColumn("run_id", F.lit("s")), path)
     T.write_metrics(rows.withColumn("step", F.lit(2)), path)
@@ -130,6 +131,22 @@ def test_stream_equals_batch_and_resumes(spark, documents, files, medium, n):
     assert spark.read.parquet(out).count() == spark.read.parquet(out).select("doc_id").distinct().count()
 
 
+def test_stream_with_a_large_benchmark(spark, documents, medium):
+    source = scratch_path(spark, "t-large")
+    documents.repartition(2, "doc_id").write.parquet(source)
+    benchmark = load_benchmark(spark.read.parquet(f"{medium}/benchmark.parquet"), max_local_items=0)
+    with pytest.raises(ValueError):
+        streams.prepare_stream(examples(T.stream_examples(spark, source, documents.schema)), benchmark)
+    out, state = scratch_path(spark, "t-large-out"), scratch_path(spark, "t-large-state")
+    for _ in range(2):
+        stream = examples(T.stream_examples(spark, source, documents.schema))
+        streams.run_prepare_batches(stream, benchmark, out, state).awaitTermination()
+    settings = jobs.CorpusSettings(decontaminate=True)
+    batch = jobs.template_corpus(examples(documents), settings, benchmark)
+    assert sorted(spark.read.parquet(out).drop("batch_id").collect()) == sorted(batch.collect())
+    assert batch.count() == 974
+
+
 def test_stream_metrics_equal_batch(spark, medium):
     events = spark.read.parquet(f"{medium}/events.parquet")
     source = scratch_path(spark, "t-events")
