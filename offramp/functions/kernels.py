@@ -7,14 +7,19 @@ the result drops the call.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+# Kernels travel to the tasks by value: executors need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SUMMARY = StructType([StructField("lse", DoubleType()), StructField("top", DoubleType()),
                        StructField("token", IntegerType())])
 

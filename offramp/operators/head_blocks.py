@@ -7,16 +7,21 @@ losses and decisions need is kept; the parts of several blocks merge associative
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from offramp.functions.columns import doubles
 
+# The scorer travels to the tasks by value: executors need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Bytes of head weights sent to the tasks at a time.
 BLOCK_BYTES = 256 << 20
 # Values of one product held at a time inside a task (32 MB of doubles).
