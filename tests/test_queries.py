@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from offramp.plans.catalog import QUERIES
+from offramp.plans.oracle import ORACLE
 from tests.oracle_check import check, connect
 
 
@@ -12,10 +14,10 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, small, name):
     assert check(spark, con, name, small) is None
 
