@@ -32,6 +32,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed & 3) <> 0 AS base_failed, (failed & 127) = 0 AS kept, failed FROM f
 """
 
+OP8 = rf"""
+WITH s AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+         ('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS digest FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+w AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS ratio FROM (
+    SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM t)),
+k AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(2 * source_size) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT min_by(level, ratio) AS level FROM k WHERE 2 * source_size >= level * weight),
+g AS (SELECT source, source_size, least(weight * level, (2 * source_size)::DOUBLE) AS target,
+             ('0x' || substr(md5('8:' || coalesce('source ' || source, 'none')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM w CROSS JOIN l),
+r AS (
+  SELECT doc_id, size, source_size, target, u, least(target / nullif(source_size, 0)::DOUBLE, 2.0::DOUBLE) AS step,
+         (row_number() OVER (PARTITION BY s.source ORDER BY size, digest, doc_id))::DOUBLE AS rank
+  FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       coalesce((floor(u + rank * step) - floor(u + (rank - 1) * step)) * size, 0)::BIGINT AS taken FROM r
+"""
+
 ORACLE = {
+    "op8_mixing": OP8,
     "op10_quality_rules": OP10,
 }

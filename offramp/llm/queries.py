@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
+from offramp.llm.mixing import mix_query
 from offramp.llm.quality_rules import quality_query
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_query(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
