@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
+from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
 from offramp.llm.quality_rules import quality_query
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -18,6 +23,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minhash": op3_minhash,
     "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
