@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from offramp.llm.common import table
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
+from offramp.llm.packing import pack_documents
 from offramp.llm.quality_rules import quality_query
 
 
@@ -14,6 +15,15 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_minhash": op3_minhash,
+    "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
