@@ -57,7 +57,33 @@ SELECT doc_id, size, source_size, target,
        coalesce((floor(u + rank * step) - floor(u + (rank - 1) * step)) * size, 0)::BIGINT AS taken FROM r
 """
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(range(len(lines))) AS line_no, trim(unnest(lines), ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, line_no) AS turn FROM l WHERE length(line) >= 16),
+u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM o WHERE turn = 1),
+k AS (SELECT *, n AS m FROM u UNION ALL SELECT *, n - 1 FROM u),
+c AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.n, b.n AS bn, a.place AS ap, b.place AS bp
+  FROM u a JOIN k b ON a.n = b.m AND a.line <> b.line AND left(a.line, a.n // 2) = left(b.line, b.m // 2)
+  UNION
+  SELECT DISTINCT a.line, b.line, a.n, b.n, a.place, b.place
+  FROM u a JOIN k b ON a.n = b.m AND a.line <> b.line AND right(a.line, a.n - a.n // 2) = right(b.line, b.m - b.m // 2)),
+p AS (
+  SELECT * FROM c WHERE len(list_filter(range(0, n + 1), lambda i: left(a, i) = left(b, i)
+    AND substr(a, i + 2 - (bn - n)) = substr(b, i + 2))) > 0),
+near AS (SELECT CASE WHEN ap > bp THEN a ELSE b END AS line FROM p GROUP BY 1),
+x AS (SELECT o.doc_id, o.line_no, o.turn > 1 AS exact FROM o LEFT JOIN near ON near.line = o.line
+      WHERE o.turn > 1 OR near.line IS NOT NULL),
+g AS (SELECT doc_id, list(line_no) AS gone, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_near FROM x GROUP BY doc_id)
+SELECT d.doc_id,
+       array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT coalesce(list_contains(gone, i), false)], chr(10)) AS text,
+       len(lines)::BIGINT AS n_lines, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 ORACLE = {
+    "op2_line_dedup": OP2,
     "op8_mixing": OP8,
     "op10_quality_rules": OP10,
 }

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
+from offramp.llm.line_dedup import dedup_lines
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
 from offramp.llm.packing import pack_documents
 from offramp.llm.quality_rules import quality_query
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
@@ -33,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
