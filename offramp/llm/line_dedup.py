@@ -177,5 +177,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max_ed
     new = F.when(docs[text].isNull() | drop[names["exact"]].isNull(), docs[text]).otherwise(rest)
     added = {"n_lines": F.when(docs[text].isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
              "n_exact": count("exact"), "n_near": count("near")}
-    kept = [new.alias(c) if c == text else docs[c] for c in docs.columns if c not in added]
+    kept = [new.alias(c) if c == text else docs[c] for c in docs.columns if c.lower() not in added]
     return joined.select(*kept, *[v.alias(k) for k, v in added.items()])
