@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
+from offramp.llm.fingerprints import fingerprints
 from offramp.llm.line_dedup import dedup_lines
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
@@ -34,6 +35,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,6 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
 }
