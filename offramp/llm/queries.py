@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
 from offramp.llm.fingerprints import fingerprints
+from offramp.llm.language_id import language_query
 from offramp.llm.line_dedup import dedup_lines
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
@@ -22,6 +23,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
