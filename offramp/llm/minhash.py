@@ -29,8 +29,8 @@ WORDS = 5
 PERCENT = 75
 #: 32 bands of 3 slots: a pair at a similarity of 0.75 shares no band once in 4e7 pairs.
 BANDS, ROWS = 32, 3
-#: Pivots of a bucket in the first and in the following rounds.
-FIRST_PIVOTS, MORE_PIVOTS = 1, 16
+#: Buckets with so many members besides the pivot are compared through; larger ones are split.
+SMALL = 16
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -112,20 +112,37 @@ def _features(words: int, bands: int, rows: int):
     return run
 
 
-def _verified(words: int, percent: int):
+def _compared(words: int, residual: bool):
+    """Kernel over ``a, b, left_text, right_text``: the set sizes and the size of the intersection;
+    with ``residual`` also the shingles of ``b`` that ``a`` lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
-            left, right = (pc.cast(batch.column(i), pa.large_binary()) for i in (2, 3))
-            kept, last, a = [], None, None
+            lists: list[list] = [[], [], [], []]
             for i in range(batch.num_rows):
-                x = left[i].as_py()
-                if x != last:
-                    last, a = x, shingle_set(x, words)
-                b = shingle_set(right[i].as_py(), words)
-                both = shared_count(a, b)
-                kept.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(kept, pa.bool_())], names=["a", "b", "linked"])
+                sets = []
+                for side in (0, 1):
+                    key = batch.column(side)[i].as_py()
+                    if key not in held:
+                        if size > _CHUNK:  # pivots come again and again, so the last sets are kept
+                            held, size = {}, 0
+                        text = batch.column(side + 2)[i].as_py()
+                        held[key] = shingle_set(text.encode(), words)
+                        size += len(held[key])
+                    sets.append(held[key])
+                a, b = sets
+                lists[0].append(len(a))
+                lists[1].append(len(b))
+                lists[2].append(shared_count(a, b))
+                if residual:
+                    lists[3].append(np.setdiff1d(b, a, assume_unique=True).view(np.int64))
+            arrays = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in lists[:3])]
+            names = ["a", "b", "n_a", "n_b", "both"]
+            if residual:
+                arrays.append(pa.array(lists[3], pa.list_(pa.int64())))
+                names.append("rest")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
@@ -135,18 +152,46 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _links(tested: DataFrame, percent: int) -> DataFrame:
+    return tested.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def _several(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets with at least two members, as a stored table."""
+    span = buckets.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
+    return stored(buckets.join(span.select("bucket"), "bucket", "left_semi"), "buckets")
+
+
+def _pivoted(buckets: DataFrame) -> DataFrame:
+    """``bucket, v, n, pivot, pivot_n``: every member beside the bucket's most popular one, which is
+    left out. Popular is who shares most buckets with most others: the text that a group's copies
+    were made from shares more with each than they do among themselves."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    fame = buckets.join(sizes, "bucket").groupBy("v").agg(F.sum("size").alias("fame"))
+    best = buckets.join(fame, "v").groupBy("bucket").agg(
+        F.max(F.struct("fame", -F.col("v"), F.col("v").alias("pivot"), F.col("n").alias("pivot_n"))).alias("m"))
+    return stored(buckets.join(best.select("bucket", "m.pivot", "m.pivot_n"), "bucket").where("v <> pivot"), "pivots")
+
+
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
                     percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``key, n_shingles, component_id, kept, class_id, text_hash``.
 
     * Rows with the same shingle set are one class and enter the search once (``class_id`` is the
       smallest key of the class), so groups of copies cost nothing.
-    * Classes meet in the buckets of equal bands. In the first round every member of a bucket is
-      held against one pivot; confirmed links are united, and only buckets that still hold
-      different components go on, with more pivots, against members of other components, without
-      the pivots that are through. So a large group of copies costs a few comparisons per member,
-      and at the end every two members of a bucket are linked, united, or compared.
-    * Links are confirmed on full shingle sets, from the texts.
+    * Classes meet in the buckets of equal bands. Every member of a bucket is held against one
+      pivot, on full shingle sets taken from the texts, and confirmed links are united.
+    * A bucket whose other members still lie in different components goes on. A small one is
+      compared through. In a large one, take members s and b and the pivot m, s not linked to m. If
+      s and b share no shingle outside m, their intersection is no larger than that of s and m, so
+      they cannot be linked unless b is that much smaller than m. So the members go on into the
+      buckets of the shingles that m lacks (for copies with edits of their own, these
+      hold one member each and end there), and only the few with the smaller sizes are compared.
+      This holds for every bucket however large, and loses no link that the bands find.
 
     Null, empty or blank text: no shingle, linked with nothing. A null key takes part through its
     text and is kept only if no row of its group has a key. Rows that share a key are looked at one
@@ -159,48 +204,67 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = features.where("class is not null and id is not null").groupBy("class").agg(
         F.min("id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
-    members = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("v").alias("pivot"), F.max("v").alias("other"),
-                                           F.min_by("n", "v").alias("pivot_n")).where("pivot <> other")
-    buckets = stored(members.join(shared.drop("other"), "bucket"), "buckets")
     texts = given.where("id is not null").select(F.col("id").alias("text_id"), "text")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """``a, b, linked`` of distinct candidate pairs, from the full texts."""
+    def compare(pairs: DataFrame, residual: bool = False) -> DataFrame:
+        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("text_id")).unionByName(pairs.select(F.col("b").alias("text_id"))).distinct()
         needed = stored(texts.join(ids, "text_id", "left_semi"), "texts")
-        met = pairs.join(needed.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
-        met = met.join(needed.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b")
-        return stored(met.select("a", "b", "left_text", "right_text").mapInArrow(
-            _verified(words, percent), "a bigint, b bigint, linked boolean"), "verified")
-
-    pairs = buckets.where((F.col("v") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n"), percent))
-    tested = confirm(stored(pairs.select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct(), "pairs"))
-    left = stored(buckets.where(F.col("v") != F.col("pivot")).select("bucket", "v", "n"), "left")
-    found = components(tested.where("linked").select("a", "b"))
-    pivots = MORE_PIVOTS
+        met = pairs.join(needed.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b")
+        met = met.join(needed.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
+        schema = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint" + (", rest array<bigint>" if residual else "")
+        return stored(met.select("a", "b", "left_text", "right_text").mapInArrow(_compared(words, residual), schema), "compared")
+
+    tested = None
+
+    def test(pairs: DataFrame) -> None:
+        """Compare the pairs that have not been compared yet."""
+        nonlocal tested
+        if tested is None:
+            tested = compare(pairs)
+        else:
+            pairs = stored(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested")
+            if not pairs.isEmpty():
+                tested = tested.unionByName(compare(pairs))
+
+    buckets = _several(classes.select("v", "n", F.explode("bands").alias("bucket")))
     while True:
-        named = left.join(found.select(F.col("node").alias("v"), "component"), "v", "left").withColumn(
-            "component", F.coalesce("component", "v"))
-        span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        open_ = stored(named.join(span.select("bucket"), "bucket", "left_semi"), "open")
-        chosen = open_.groupBy("bucket", F.pmod(F.xxhash64("component"), F.lit(pivots)).alias("turn")).agg(
-            F.min(F.struct("v", "n", "component")).alias("p")).select("bucket", F.col("p.v").alias("pivot"), F.col("p.n").alias("pivot_n"),
-                                                                     F.col("p.component").alias("pivot_component"))
-        chosen = stored(chosen, "pivots")
-        pairs = open_.join(chosen, "bucket").where(
-            (F.col("component") != F.col("pivot_component")) & _may_link(F.col("n"), F.col("pivot_n"), percent))
-        pairs = pairs.select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b")).distinct()
-        pairs = stored(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        left = stored(open_.drop("component").join(chosen.select("bucket", F.col("pivot").alias("v")), ["bucket", "v"], "left_anti"), "left")
-        if not pairs.isEmpty():
-            more = confirm(pairs)
-            tested = tested.unionByName(more)
-            if not more.where("linked").isEmpty():
-                found = components(tested.where("linked").select("a", "b"))
-        elif left.isEmpty():
+        members = _pivoted(buckets)
+        test(members.where(_may_link(F.col("n"), F.col("pivot_n"), percent)).select(*_pair(F.col("v"), F.col("pivot"))))
+        found = components(_links(tested, percent))
+        named = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                           F.count(F.lit(1)).alias("size")).where("low <> high")
+        open_ = stored(named.join(span.select("bucket", "size"), "bucket"), "open")
+        if open_.isEmpty():
+            break
+        small = open_.where(F.col("size") <= SMALL).select("bucket", "v", "n", "component")
+        other = small.withColumnsRenamed({"v": "w", "n": "m", "component": "other"})
+        pairs = small.join(other, "bucket").where((F.col("v") < F.col("w")) & (F.col("component") != F.col("other"))
+                                                  & _may_link(F.col("n"), F.col("m"), percent))
+        test(pairs.select(*_pair(F.col("v"), F.col("w"))))
+        large = open_.where(F.col("size") > SMALL).select(F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
+        if large.isEmpty():
+            found = components(_links(tested, percent))
+            break
+        rests = compare(large, residual=True).join(stored(large, "large"), ["a", "b"])
+        rests = stored(rests, "rests")
+        # s apart from its pivot, b smaller than the pivot: sizes for which the bound leaves a link possible
+        most = F.floor(((100 + percent) * F.col("both") - percent * F.col("n_b")) / percent).cast("bigint")
+        least = F.ceil(percent * F.col("n_b") / 100).cast("bigint")
+        apart = rests.where(100 * F.col("both") < percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).where(most >= least)
+        apart = apart.select("a", F.col("b").alias("s"), F.col("n_b").alias("n_s"), F.col("component").alias("own"),
+                             F.explode(F.sequence(least, most)).alias("n_b"))
+        pairs = apart.join(rests.select("a", "b", "n_b", "both", "component"), ["a", "n_b"]).where(
+            (F.col("own") != F.col("component")) & (percent * (F.col("n_s") + F.col("n_b")) <= (100 + percent) * F.col("both")))
+        test(pairs.select(*_pair(F.col("s"), F.col("b"))))
+        found = components(_links(tested, percent))
+        rest = rests.select("a", F.col("b").alias("v"), F.col("n_b").alias("n"), "component", F.explode("rest").alias("shingle"))
+        rest = rest.select(F.xxhash64("a", "shingle").alias("bucket"), "v", "n", "component")
+        span = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "bucket"), "buckets")
+        if buckets.isEmpty():
             break
-        pivots *= MORE_PIVOTS
     rows_ = features.join(classes.select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     rows_ = rows_.join(found, F.col("v") == F.col("node"), "left")
     component = F.coalesce("component", "v", "id")

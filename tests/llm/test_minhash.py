@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from offramp.llm import minhash
 from offramp.llm.common import shingle_set
 from offramp.llm.minhash import drop_near_duplicates, near_duplicates, super_minhash
 from tests.llm.conftest import SCHEMA
@@ -61,7 +62,9 @@ def test_documents_match_brute_force(spark, small):
     assert any(not kept for *_, kept in found)
 
 
-def test_chains_hubs_and_copies_match_brute_force(spark):
+@pytest.mark.parametrize("small", [1, 16])
+def test_chains_hubs_and_copies_match_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     base = [str(w) for w in rng.choice(words, 120)]
@@ -79,6 +82,15 @@ def test_chains_hubs_and_copies_match_brute_force(spark):
         for at in rng.integers(0, len(text), 3):
             text[at] = str(rng.choice(words))
         rows.append((key := key + 1, " ".join(text)))
+    for _ in range(30):  # strays: too far from the base, some of them near each other
+        text = list(base)
+        for at in rng.integers(0, len(text), 9):
+            text[at] = str(rng.choice(words))
+        for _ in range(int(rng.integers(1, 4))):
+            text = list(text)
+            text[int(rng.integers(0, len(text)))] = str(rng.choice(words))
+            rows.append((key := key + 1, " ".join(text)))
+    rows += [((key := key + 1), " ".join(base[:n])) for n in range(40, 120, 4)]  # shorter and shorter
     docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id bigint, text string").repartition(5)
     assert result(near_duplicates(docs)) == expected(rows)
 
