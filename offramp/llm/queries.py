@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offramp.llm.common import table
 from offramp.llm.fingerprints import fingerprints
+from offramp.llm.html_extract import extract_text
 from offramp.llm.language_id import language_query
 from offramp.llm.line_dedup import dedup_lines
 from offramp.llm.minhash import near_duplicates
@@ -14,6 +15,10 @@ from offramp.llm.packing import pack_documents
 from offramp.llm.quality_rules import quality_query
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs)
@@ -49,6 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
     "op5_language_id": op5_language_id,
