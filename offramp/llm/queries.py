@@ -12,6 +12,7 @@ from offramp.llm.line_dedup import dedup_lines
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
 from offramp.llm.packing import pack_documents
+from offramp.llm.quality_model import quality_model_query
 from offramp.llm.quality_rules import quality_query
 
 
@@ -28,6 +29,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model_query(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash": op3_minhash,
+    "op4_quality_model": op4_quality_model,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
