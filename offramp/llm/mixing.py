@@ -64,7 +64,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
     Null text has size 0. A null source is a source of its own, the last. Null or repeated keys
     and repeated rows are documents of their own; rows that tie in everything share out the copies
-    of their places. An empty table gives an empty plan. ``identity`` adds a column of that name.
+    of their places. A source without a word is not taken. An empty table gives an empty plan. ``identity`` adds a column of that name.
     """
     own = [F.lit(None).cast("bigint").alias("identity") if identity is None else identity.alias("identity")]
     sized = stored(docs.select(
@@ -93,7 +93,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     place = F.row_number().over(before("size", "prefix", F.struct("digest", "key", "identity")))
     placed = sized.withColumn("place", place).join(
         starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("prefix") == F.col("p")))
-    step = F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)).cast("double"), F.lit(float(most)))
+    step = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size").cast("double"), F.lit(float(most))))
     offset = digest_number(seeded_digest(seed, F.coalesce(F.concat(F.lit("source "), F.col("source")), F.lit("none"))), 8) / F.lit(float(1 << 32))
     rank = (F.col("start") + F.col("place")).cast("double")
     copies = F.floor(offset + rank * step) - F.floor(offset + (rank - 1) * step)

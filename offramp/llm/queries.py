@@ -9,6 +9,7 @@ from offramp.llm.fingerprints import fingerprints
 from offramp.llm.html_extract import extract_text
 from offramp.llm.language_id import language_query
 from offramp.llm.line_dedup import dedup_lines
+from offramp.llm.lm_score import lm_query
 from offramp.llm.minhash import near_duplicates
 from offramp.llm.mixing import mix_query
 from offramp.llm.packing import pack_documents
@@ -46,6 +47,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_query(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_quality_model": op4_quality_model,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_lm_score": op7_lm_score,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
