@@ -173,6 +173,26 @@ def _pivoted(buckets: DataFrame) -> DataFrame:
     return stored(buckets.join(best.select("bucket", "m.pivot", "m.pivot_n"), "bucket").where("v <> pivot"), "pivots")
 
 
+def _residual_buckets(rests: DataFrame, percent: int) -> DataFrame:
+    """``bucket, v, n, component``: the members of a pivot's buckets under shingles the pivot lacks.
+
+    A link of s needs an intersection of at least ``percent`` of s; what it does not share with
+    the pivot must come from outside, and so must that part of b. Of two sets of which so many
+    shingles are equal, all but so many of each one's rarest shingles hold a common one; so a member
+    stands under its rarest shingles only, and under none that no other member has.
+    """
+    rest = rests.select("a", F.col("b").alias("v"), F.col("n_b").alias("n"), "both", "component", F.explode("rest").alias("shingle"))
+    counts = rest.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rest = rest.join(counts, ["a", "shingle"])
+    by = Window.partitionBy("a", "v")
+    outside = F.col("n") - F.col("both")
+    needed = F.greatest(F.ceil(percent * F.col("n") / 100).cast("bigint") - F.col("both"), F.lit(1))
+    alone = outside - F.count(F.lit(1)).over(by)  # shingles that no other member has: the rarest
+    rank = alone + F.row_number().over(by.orderBy("df", "shingle"))
+    rest = rest.withColumns({"rank": rank, "most": outside - needed + 1}).where("rank <= most")
+    return rest.select(F.xxhash64("a", "shingle").alias("bucket"), "v", "n", "component")
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -189,7 +209,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
       compared through. In a large one, take members s and b and the pivot m, s not linked to m. If
       s and b share no shingle outside m, their intersection is no larger than that of s and m, so
       they cannot be linked unless b is that much smaller than m. So the members go on into the
-      buckets of the shingles that m lacks (for copies with edits of their own, these
+      buckets of their rarest shingles that m lacks (for copies with edits of their own, these
       hold one member each and end there), and only the few with the smaller sizes are compared.
       This holds for every bucket however large, and loses no link that the bands find.
 
@@ -259,8 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             (F.col("own") != F.col("component")) & (percent * (F.col("n_s") + F.col("n_b")) <= (100 + percent) * F.col("both")))
         test(pairs.select(*_pair(F.col("s"), F.col("b"))))
         found = components(_links(tested, percent))
-        rest = rests.select("a", F.col("b").alias("v"), F.col("n_b").alias("n"), "component", F.explode("rest").alias("shingle"))
-        rest = rest.select(F.xxhash64("a", "shingle").alias("bucket"), "v", "n", "component")
+        rest = stored(_residual_buckets(rests, percent), "rest")
         span = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "bucket"), "buckets")
         if buckets.isEmpty():
