@@ -32,28 +32,23 @@ def collect_turns(df: DataFrame, conv: str = "conv_id", order: str = "turn", rol
                   content: str = "text", max_messages: int = 1024) -> DataFrame:
     """One row per conversation with its messages in order.
 
-    ``order`` is the 0-based, gap-free position of a message in its conversation. A
-    conversation of more than ``max_messages`` messages is returned as several rows, numbered by
-    ``part``, so no group is larger than that however long a conversation gets, and the
-    parts of one conversation are built by different tasks. ``is_first`` and ``is_last``
-    tell where a part stands: the first message of a part also sends a marker to the part
-    before it, in the same shuffle.
+    ``order`` is a whole number that rises through a conversation; it may start anywhere and have
+    gaps. A conversation whose numbers span more than ``max_messages`` is returned as several rows,
+    numbered by ``part`` from its first message on, so no group is larger than that however long a
+    conversation gets, and the parts of one conversation are built by different tasks. ``is_first``
+    and ``is_last`` come from the conversation's smallest and largest number.
     """
     if max_messages < 1:
         raise ValueError("max_messages must be at least 1")
-    part = int_div(F.col(order), max_messages)
-    entry = F.struct(F.col(order).alias("position"), F.col(role).alias("role"),
-                     F.col(content).alias("content"))
-    own = F.struct(part.alias("part"), entry.alias("entry"))
-    marker = F.struct((part - 1).alias("part"), F.lit(None).cast(
-        f"struct<position:{dict(df.dtypes)[order]},role:string,content:string>").alias("entry"))
-    opens_part = (F.col(order) % max_messages == 0) & (F.col(order) > 0)
-    rows = df.select(F.col(conv), F.explode(
-        F.when(opens_part, F.array(own, marker)).otherwise(F.array(own))).alias("row"))
-    return (rows.groupBy(conv, F.col("row.part").alias("part"))
-            .agg(F.array_sort(F.collect_list("row.entry")).alias("entries"),
-                 F.bool_and(F.col("row.entry").isNotNull()).alias("is_last"))
-            .select(conv, "part", (F.col("part") == 0).alias("is_first"), "is_last",
+    span = df.groupBy(F.col(conv).alias("_conv")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    rows = df.join(span, F.col(conv).eqNullSafe(F.col("_conv")))
+    entry = F.struct(F.col(order).alias("position"), F.col(role).alias("role"), F.col(content).alias("content"))
+    part = int_div(F.col(order) - F.col("_low"), max_messages)
+    return (rows.groupBy(conv, part.alias("part"))
+            .agg(F.array_sort(F.collect_list(entry)).alias("entries"),
+                 F.first(F.col("_low")).alias("_low"), F.first(F.col("_high")).alias("_high"))
+            .select(conv, "part", F.exists("entries", lambda e: e["position"] == F.col("_low")).alias("is_first"),
+                    F.exists("entries", lambda e: e["position"] == F.col("_high")).alias("is_last"),
                     F.transform("entries", lambda e: F.struct(
                         e["role"].alias("role"), e["content"].alias("content"))).alias("messages")))
 
@@ -74,7 +69,10 @@ def insert_empty_system(df: DataFrame, enabled: bool = True, messages: str = "me
 
 
 def render_message(role: Column, content: Column) -> Column:
-    return F.concat(F.lit(HEADER_START), role, F.lit(HEADER_END), py_trim(content), F.lit(TURN_END))
+    """One message; a null role or content is rendered as empty, so no message is lost."""
+    empty = F.lit("")
+    return F.concat(F.lit(HEADER_START), F.coalesce(role, empty), F.lit(HEADER_END),
+                    F.coalesce(py_trim(content), empty), F.lit(TURN_END))
 
 
 def apply_chat_template(df: DataFrame, bos: str = BOS, style: str = "header",

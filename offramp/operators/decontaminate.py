@@ -19,12 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offramp.functions.columns import let
 from offramp.functions.text import normalize_text, normalized_words
-from offramp.session import filter_spread
 
 # The row-local plan holds the benchmark as a literal of the plan: bounds of that literal.
 MAX_LOCAL_ITEMS = 4_096
@@ -80,8 +79,9 @@ def benchmark_anchors(bench: DataFrame, text: str = "text", ngram: int = 8) -> D
         F.sequence(F.lit(1), F.size(h) - length + 1),
         lambda i: F.xxhash64(F.col("kind"), F.slice(h, i, length))))
     options = kinds.select("item", "kind", F.posexplode(runs).alias("at", "anchor"))
-    shared = Window.partitionBy("kind", "anchor")
-    rated = options.withColumn("sharing", F.count(F.lit(1)).over(shared))
+    # Counted with partial aggregation: a phrase that very many items share stays one row a task.
+    sharing = options.groupBy("kind", "anchor").agg(F.count(F.lit(1)).alias("sharing"))
+    rated = options.join(sharing, ["kind", "anchor"])
     return (rated.groupBy("item")
             .agg(F.min(F.struct("sharing", "at", "kind", "anchor")).alias("best"))
             .select("item", "best.kind", "best.anchor"))
@@ -150,27 +150,29 @@ def flag_contaminated(df: DataFrame, bench: DataFrame | Benchmark, text: str = "
     """Add a boolean column telling whether a row contains a benchmark text.
 
     A benchmark within the bounds is tested in the row, without any shuffle. A larger one is joined
-    on anchors: each row's distinct shingles (without its text) meet the anchors, the few
-    matching items are gathered per key, and one join brings them back to the rows for the exact
-    comparison. Spark chooses these joins by the measured size of their sides. ``key`` must not be
-    null in the second case; several rows may share one.
+    on anchors: each distinct text's shingles, with its digest for the text, meet the anchors, with a
+    number for the item; each candidate pair is then compared by itself, so no row gathers items, and
+    the digests of the texts that hold one come back to the rows. Both ways flag every row by its own
+    text, whatever its ``key`` (null, repeated).
     """
     benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
     if benchmark.is_local:
         return df.withColumn(name, contains_benchmark(text, benchmark))
     shingles = F.array_distinct(let(normalized_words(text), lambda w: text_shingles(w, benchmark.kinds)))
-    candidates = df.select(F.col(key), F.explode(shingles).alias("anchor"))
+    digest = F.sha2(F.col(text), 256)
+    candidates = df.select(digest.alias("_digest"), F.explode(shingles).alias("anchor")).distinct()
     if benchmark.count <= MAX_BROADCAST_ANCHORS:
         # Shingles that are no anchor end here, before any shuffle, however common they are.
         known = benchmark.anchors.select("anchor").distinct()
         candidates = candidates.join(F.broadcast(known), "anchor", "left_semi")
-    found = (candidates.join(benchmark.anchors.select("anchor", "item"), "anchor")
-             .groupBy(key).agg(F.collect_set("item").alias("_items")))
-    hit = let(normalize_text(text),
-              lambda n: F.exists(F.col("_items"), lambda item: F.contains(n, item)))
-    return (df.join(found, key, "left")
-            .withColumn(name, F.coalesce(F.col("_items").isNotNull() & hit, F.lit(False)))
-            .drop("_items"))
+    items = benchmark.anchors.select("anchor", F.xxhash64("item").alias("_item_id"), "item")
+    pairs = candidates.join(items.drop("item"), "anchor").select("_digest", "_item_id").distinct()
+    texts = df.groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
+    held = (pairs.join(texts, "_digest").join(items.select("_item_id", "item"), "_item_id")
+            .where(F.contains(normalize_text("_text"), F.col("item")))
+            .select("_digest").distinct().withColumn("_hit", F.lit(True)))
+    return (df.withColumn("_digest", digest).join(held, "_digest", "left")
+            .withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit", "_digest"))
 
 
 def decontaminate(df: DataFrame, bench: DataFrame | Benchmark, text: str = "text", key: str = "doc_id",
@@ -178,7 +180,7 @@ def decontaminate(df: DataFrame, bench: DataFrame | Benchmark, text: str = "text
     """Drop the rows whose normalised text contains a normalised benchmark text."""
     benchmark = bench if isinstance(bench, Benchmark) else load_benchmark(bench, "text", ngram, **bounds)
     if benchmark.is_local:
-        return filter_spread(df, ~contains_benchmark(text, benchmark), key)
+        return df.where(~contains_benchmark(text, benchmark))
     if df.isStreaming:
         raise ValueError("the benchmark is too large for the row-local test a stream needs")
     flagged = flag_contaminated(df, benchmark, text, key, ngram, "_contaminated")

@@ -35,8 +35,8 @@ def metric_name() -> Column:
         F.concat_ws("_", "metric", F.col("exit_layer").cast("string")))
 
 
-def metric_log(df: DataFrame, names: Sequence[str], by: Sequence[str] = ("step",)) -> DataFrame:
-    """Metric rows to one row per step with a column per name, e.g. ``ce_loss_16``.
+def metric_log(df: DataFrame, names: Sequence[str], by: Sequence[str] = ("run_id", "step")) -> DataFrame:
+    """Metric rows to one row per run and step with a column per name, e.g. ``ce_loss_16``.
 
     The names are given, so no pass over the data looks for them.
     """
@@ -56,7 +56,8 @@ def window_of(step: str = "step", every: int = 10) -> Column:
     return int_div(F.col(step), every)
 
 
-def log_window(df: DataFrame, every: int = 10, by: Sequence[str] = ("metric",)) -> DataFrame:
-    """Mean of each metric over every ``every`` steps."""
-    return (df.groupBy(window_of("step", every).alias("window"), *by)
+def log_window(df: DataFrame, every: int = 10) -> DataFrame:
+    """Mean of each run's metrics over every ``every`` steps, each exit under its own name
+    (``ce_loss_16``)."""
+    return (df.groupBy("run_id", window_of("step", every).alias("window"), metric_name().alias("metric"))
             .agg(F.avg("value").alias("value"), F.count("value").alias("n")))

@@ -44,7 +44,7 @@ def key_splits(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
     wanted = KEYS_PER_BUCKET * buckets
     one_in = max(1, rows // wanted)
     chosen = keys if one_in == 1 else keys.where(F.pmod(F.xxhash64("k"), F.lit(one_in)) == 0)
-    found = np.sort(chosen.limit(4 * wanted).toArrow()["k"].to_numpy())
+    found = np.sort(chosen.toArrow()["k"].to_numpy())
     cuts = found[[len(found) * i // buckets for i in range(1, buckets)]] if len(found) else []
     return sorted({int(cut) for cut in cuts})
 
@@ -55,7 +55,8 @@ def bucket_of(key: Column | str, splits: list) -> Column:
         return F.lit(0)
     key = as_column(key).cast("bigint")
     steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
-    points = F.lit(splits).cast("array<bigint>")
+    # One literal, cut when the plan is built: an expression per cut point would make the plan slow.
+    points = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>")
 
     def search(bounds: Column) -> Column:
         return F.aggregate(

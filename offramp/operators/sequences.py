@@ -45,22 +45,25 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, unk: int = 0, text: str = "te
 
     The vocabulary is fetched first, up to the bound. Within it, each row is encoded where it
     is, one hash lookup per word over Arrow batches and no shuffle. Beyond it, the words
-    are joined with the vocabulary and gathered again by ``key`` (unique); the words of a row
-    are never more than its own text. The join is salted by the row's key, so that the most
-    frequent word is spread over ``salts`` tasks, and adaptive execution can split these again.
+    of each distinct text are joined with the vocabulary, gathered again by the text's digest and
+    brought back to the rows by it. So both ways give every row the ids of its own text, whatever
+    its ``key`` (null, repeated), and null for a null text. The join is salted by the digest, so that
+    the most frequent word is spread over ``salts`` tasks, and adaptive execution can split these again.
     """
     rows = vocab.select("token", "token_id").limit(max_local_vocab + 1).collect()
     if len(rows) <= max_local_vocab:
         encode = token_encoder([r["token"] for r in rows], [r["token_id"] for r in rows], unk)
         return df.withColumn(out, encode(words(text)))
-    exploded = df.select(key, F.pmod(F.hash(key), F.lit(salts)).alias("_salt"),
-                         F.posexplode(words(text)).alias("pos", "token"))
+    digest = F.sha2(F.col(text), 256)
+    texts = df.where(F.col(text).isNotNull()).groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
+    exploded = texts.select("_digest", F.pmod(F.hash("_digest"), F.lit(salts)).alias("_salt"),
+                            F.posexplode(words("_text")).alias("pos", "token"))
     copies = vocab.select("token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     ids = (exploded.join(copies, ["token", "_salt"], "left")
-           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+           .groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct(
                "pos", F.coalesce("token_id", F.lit(unk)).alias("id")))).alias("_ids"))
-           .select(key, F.transform("_ids", lambda e: e["id"].cast("int")).alias(out)))
-    return (df.join(ids, key, "left")
+           .select("_digest", F.transform("_ids", lambda e: e["id"].cast("int")).alias(out)))
+    return (df.withColumn("_digest", digest).join(ids, "_digest", "left").drop("_digest")
             .withColumn(out, F.coalesce(F.col(out), F.when(F.col(text).isNotNull(),
                                                            F.array().cast("array<int>")))))
 

@@ -228,33 +228,45 @@ def truncate(spark, d):
 
 
 def _padded(spark, d):
-    return sequences.pad_and_mask(sequences.truncate_sequences(_encoded(spark, d), MAX_LEN), MAX_LEN, PAD)
+    """Every document in parts of MAX_LEN tokens, nothing lost, the last part padded."""
+    starts = F.sequence(F.lit(0), F.size("input_ids") - 1, F.lit(MAX_LEN))
+    parts = _encoded(spark, d).where(F.size("input_ids") > 0).select(
+        "doc_id", F.posexplode(F.transform(starts, lambda i: F.slice("input_ids", i + 1, F.lit(MAX_LEN)))).alias(
+            "part", "input_ids"))
+    return sequences.pad_and_mask(parts, MAX_LEN, PAD)
 
 
 def pad_mask(spark, d):
-    return _padded(spark, d).select("doc_id", _joined("input_ids").alias("ids_md5"),
+    return _padded(spark, d).select("doc_id", "part", _joined("input_ids").alias("ids_md5"),
                                     _joined("attention_mask").alias("mask_md5"))
 
 
 def labels_shift(spark, d):
     return sequences.causal_labels(_padded(spark, d)).select(
-        "doc_id", _joined("labels").alias("labels_md5"), _joined("targets").alias("targets_md5"))
+        "doc_id", "part", _joined("labels").alias("labels_md5"), _joined("targets").alias("targets_md5"))
 
 
 def positions(spark, d):
-    cut = sequences.truncate_sequences(_encoded(spark, d), MAX_LEN)
-    return sequences.position_ids(cut, past=3).select("doc_id", _joined("position_ids").alias("positions_md5"))
+    return sequences.position_ids(_encoded(spark, d), past=3).select(
+        "doc_id", _joined("position_ids").alias("positions_md5"))
 
 
 def batch_plan(spark, d):
-    plan = sequences.batch_plan(table(spark, d, "documents"), "doc_id", per_device=4, accum=2, world=8)
-    return sequences.cap_steps(plan, 1_000)
+    return sequences.batch_plan(table(spark, d, "documents"), "doc_id", per_device=4, accum=2, world=8)
+
+
+def cap_steps(spark, d):
+    """The first five of the plan's steps."""
+    return sequences.cap_steps(batch_plan(spark, d), 5)
 
 
 def token_budget(spark, d):
-    docs = table(spark, d, "documents").select("text")
-    budget = sequences.token_budget(docs, 4, 2, 8, max_steps=30_000, size=F.lit(MAX_LEN),
-                                    real=F.least(word_count("text"), F.lit(MAX_LEN)))
+    """All tokens of all documents in parts of MAX_LEN; three of the available steps are used."""
+    parts = F.ceil(word_count("text") / MAX_LEN)
+    docs = table(spark, d, "documents").select(word_count("text").alias("n"), F.explode(
+        F.sequence(F.lit(1).cast("bigint"), parts)).alias("part"))
+    real = F.least(F.col("n") - (F.col("part") - 1) * MAX_LEN, F.lit(MAX_LEN))
+    budget = sequences.token_budget(docs, 4, 2, 8, max_steps=3, size=F.lit(MAX_LEN), real=real)
     return budget.withColumn("padding_share", F.round("padding_share", 4))
 
 
@@ -378,9 +390,14 @@ def metric_pivot(spark, d):
     return metrics.metric_log(rows, names).select("step", *[_rounded(n) for n in names])
 
 
+def _loss_rows(spark, d):
+    """The losses of every exit as metric rows of two runs."""
+    rows = metrics.loss_metrics(losses.exit_losses(exit_logits(spark, d), FULL_LAYER), run_id="a")
+    return rows.unionByName(rows.withColumns({"run_id": F.lit("b"), "value": F.col("value") * 2}))
+
+
 def metric_window(spark, d):
-    return metrics.log_window(event_metrics(table(spark, d, "events"))).select(
-        "window", "metric", _rounded("value"), "n")
+    return metrics.log_window(_loss_rows(spark, d)).select("run_id", "window", "metric", _rounded("value"), "n")
 
 
 def dataset_summary(spark, d):
@@ -446,11 +463,13 @@ def stream_prepare(spark, d):
 
 
 def stream_metrics(spark, d):
-    schema = table(spark, d, "events").schema
-    stream = event_metrics(tables.stream_examples(spark, f"{d}/events.parquet", schema))
+    source = scratch_path(spark, "losses")
+    rows = _loss_rows(spark, d)
+    rows.write.parquet(source)
+    stream = tables.stream_examples(spark, source, rows.schema)
     path, checkpoint = scratch_path(spark, "means"), scratch_path(spark, "means-state")
     streams.run_window_means(streams.window_means(stream), path, checkpoint).awaitTermination()
-    return streams.read_window_means(spark, path).select("window", "metric", _rounded("value"), "n")
+    return streams.read_window_means(spark, path).select("run_id", "window", "metric", _rounded("value"), "n")
 
 
 def map_examples(spark, d):
@@ -512,7 +531,7 @@ QUERIES = {
     "shuffle_rank": shuffle_rank, "seeded_shuffle": seeded_shuffle, "vocab": vocab,
     "encode": encode, "encode_join": encode_join, "pack": pack, "truncate": truncate,
     "pad_mask": pad_mask, "labels_shift": labels_shift, "positions": positions,
-    "batch_plan": batch_plan, "token_budget": token_budget, "rms_norm": rms_norm_rows,
+    "batch_plan": batch_plan, "cap_steps": cap_steps, "token_budget": token_budget, "rms_norm": rms_norm_rows,
     "exit_logits": exit_logits_rows, "exit_logits_tied": exit_logits_tied,
     "exit_head_stats": exit_head_stats, "exit_losses_stats": exit_losses_stats,
     "early_exit_stats": early_exit_stats, "prune_depth": prune_depth,

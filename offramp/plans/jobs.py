@@ -88,7 +88,7 @@ def evaluate_step(logits: DataFrame, settings: DistillSettings, batch: str = "ba
     exits = validate_exit_layers(settings.output_exit_layers or [], settings.exit_layer_indices)
     names = metric_columns(exits, full)
     losses = exit_losses(logits, full, (batch,))
-    wide = metric_log(loss_metrics(losses, batch), names).withColumnRenamed("step", batch)
+    wide = metric_log(loss_metrics(losses, batch), names, ("step",)).withColumnRenamed("step", batch)
 
     def mean(prefix: str) -> Column:
         """Mean over the exits that have a value: the row holds them all already."""

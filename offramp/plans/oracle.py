@@ -60,8 +60,9 @@ VOCABULARY = f"""w AS (SELECT doc_id, string_split_regex(text, '[ \\t\\n\\r\\f]+
 ENCODED = f"""{VOCABULARY},
     enc AS (SELECT doc_id, i, coalesce(token_id, {UNK}) AS id FROM tok LEFT JOIN vocab USING (token))"""
 PADDED = f"""{ENCODED},
-    grid AS (SELECT doc_id, i, id, CASE WHEN id IS NULL THEN 0 ELSE 1 END AS m FROM
-        (SELECT doc_id, unnest(range(1, {MAX_LEN + 1})) AS i FROM documents) LEFT JOIN enc USING (doc_id, i))"""
+    cut AS (SELECT doc_id, ((i - 1) // {MAX_LEN})::INTEGER AS part, (i - 1) % {MAX_LEN} + 1 AS i, id FROM enc),
+    grid AS (SELECT doc_id, part, i, id, CASE WHEN id IS NULL THEN 0 ELSE 1 END AS m FROM
+        (SELECT DISTINCT doc_id, part, unnest(range(1, {MAX_LEN + 1})) AS i FROM cut) LEFT JOIN cut USING (doc_id, part, i))"""
 
 # Hidden states, heads and logits; one row per (position, exit, token).
 HIDDEN = f"""hid AS (SELECT vec_id, vec_id // {POSITIONS} AS seq_id, (vec_id % {POSITIONS})::INTEGER AS pos,
@@ -108,8 +109,15 @@ DECIDED = f"""{PREDICTED},
 CE_NAMES = ", ".join(f"round(max(ce_loss) FILTER (exit_layer = {k}), 4) AS ce_loss_{k}" for k in LAYERS)
 KL_NAMES = ", ".join(f"round(max(kl_loss) FILTER (exit_layer = {k}), 4) AS kl_loss_{k}" for k in EXITS)
 
-METRIC_WINDOW = """SELECT event_id // 10 AS "window", event_type AS metric, round(avg(value), 4) AS value,
-    count(value) AS n FROM events GROUP BY ALL"""
+METRIC_WINDOW = f"""WITH {LOSSES}, m AS (
+        SELECT batch_id, exit_layer, 'ce_loss' AS metric, ce_loss AS value FROM losses UNION ALL
+        SELECT batch_id, exit_layer, 'kl_loss', kl_loss FROM losses WHERE kl_loss IS NOT NULL),
+    r AS (SELECT 'a' AS run_id, * FROM m UNION ALL SELECT 'b', * REPLACE (value * 2 AS value) FROM m)
+    SELECT run_id, batch_id // 10 AS "window", metric || '_' || exit_layer AS metric, round(avg(value), 4) AS value,
+    count(value) AS n FROM r GROUP BY ALL"""
+BATCH_PLAN = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
+        SELECT doc_id, i AS index, i // 64 AS step, (i // 32) % 2 AS micro_step, (i // 4) % 8 AS rank, i % 4 AS slot
+        FROM r"""
 DECONTAMINATED = f"""WITH {HITS} SELECT doc_id, lang, n_chars FROM documents
     WHERE doc_id NOT IN (SELECT doc_id FROM hits)"""
 ENCODE = f"""WITH {ENCODED} SELECT doc_id, count(*) AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY i)) AS ids_md5
@@ -169,22 +177,21 @@ ORACLE = {
         FROM stream GROUP BY g // {MAX_LEN} HAVING count(*) = {MAX_LEN}""",
     "truncate": f"""WITH {ENCODED} SELECT doc_id, count(*) AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY i)) AS ids_md5
         FROM enc WHERE i <= {MAX_LEN} GROUP BY doc_id""",
-    "pad_mask": f"""WITH {PADDED} SELECT doc_id,
+    "pad_mask": f"""WITH {PADDED} SELECT doc_id, part,
         md5(string_agg(coalesce(id, {PAD})::VARCHAR, ',' ORDER BY i)) AS ids_md5,
-        md5(string_agg(m::VARCHAR, ',' ORDER BY i)) AS mask_md5 FROM grid GROUP BY doc_id""",
-    "labels_shift": f"""WITH {PADDED}, lab AS (SELECT doc_id, i, coalesce(id, -100) AS l,
-        coalesce(lead(id) OVER (PARTITION BY doc_id ORDER BY i), -100) AS t FROM grid)
-        SELECT doc_id, md5(string_agg(l::VARCHAR, ',' ORDER BY i)) AS labels_md5,
-        md5(string_agg(t::VARCHAR, ',' ORDER BY i)) AS targets_md5 FROM lab GROUP BY doc_id""",
+        md5(string_agg(m::VARCHAR, ',' ORDER BY i)) AS mask_md5 FROM grid GROUP BY doc_id, part""",
+    "labels_shift": f"""WITH {PADDED}, lab AS (SELECT doc_id, part, i, coalesce(id, -100) AS l,
+        coalesce(lead(id) OVER (PARTITION BY doc_id, part ORDER BY i), -100) AS t FROM grid)
+        SELECT doc_id, part, md5(string_agg(l::VARCHAR, ',' ORDER BY i)) AS labels_md5,
+        md5(string_agg(t::VARCHAR, ',' ORDER BY i)) AS targets_md5 FROM lab GROUP BY doc_id, part""",
     "positions": f"""WITH {ENCODED} SELECT doc_id, md5(string_agg((i + 2)::VARCHAR, ',' ORDER BY i)) AS positions_md5
-        FROM enc WHERE i <= {MAX_LEN} GROUP BY doc_id""",
-    "batch_plan": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
-        SELECT doc_id, i AS index, i // 64 AS step, (i // 32) % 2 AS micro_step, (i // 4) % 8 AS rank, i % 4 AS slot
-        FROM r WHERE i // 64 < 1000""",
-    "token_budget": f"""WITH {ENCODED}, c AS (SELECT doc_id, least(count(*), {MAX_LEN}) AS n FROM enc GROUP BY doc_id)
+        FROM enc GROUP BY doc_id""",
+    "batch_plan": BATCH_PLAN,
+    "cap_steps": f"{BATCH_PLAN} WHERE i // 64 < 5",
+    "token_budget": f"""WITH {PADDED}, c AS (SELECT doc_id, part, count(*) AS n FROM cut GROUP BY doc_id, part)
         SELECT count(*) AS sequences, count(*) * {MAX_LEN} AS token_slots, sum(n)::BIGINT AS tokens,
         round(1.0 - sum(n) / (count(*) * {MAX_LEN}), 4) AS padding_share, count(*) // 64 AS steps_available,
-        least(count(*) // 64, 30000) AS steps_used FROM c""",
+        least(count(*) // 64, 3) AS steps_used FROM c""",
     "rms_norm": f"""WITH {NORMED} SELECT seq_id, pos, exit_layer, (generate_subscripts(v, 1) - 1)::INTEGER AS i,
         round(unnest(v), 4) AS value FROM nrm""",
     "exit_logits": f"WITH {LOGITS} SELECT seq_id, pos, exit_layer, token_id AS i, round(logit, 4) AS logit FROM lg",

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is tuned for. All of them are ordinary session settings, so a
 # cluster's own values (partition counts above all) take precedence where it sets them.
@@ -40,15 +37,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared folder (``spark.checkpoint.dir``).
+    """A new folder name under the folder that driver and executors share.
 
-    Only a session without that setting (a local test) falls back to the machine's own
-    temporary folder.
+    That is the session's ``spark.checkpoint.dir``, else the checkpoint folder set on the context. A
+    session with neither has to set one: a machine's own temporary folder is not shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "offramp-scratch")
-        spark.conf.set("spark.checkpoint.dir", base)
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = chosen.get() if chosen.isDefined() else None
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/offramp/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,15 +70,3 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     if is_small(df):
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
     return df
-
-
-def filter_spread(df: DataFrame, condition: Column, *keys: str) -> DataFrame:
-    """Filter by a predicate that is expensive per row.
-
-    A small input is spread first. A plain predicate would be moved below that exchange again,
-    into the few reading tasks; one that names the partition stays above. A larger input is
-    filtered where it is read.
-    """
-    if is_small(df):
-        return spread_small(df, *keys).where(F.when(F.spark_partition_id() >= 0, condition))
-    return df.where(condition)

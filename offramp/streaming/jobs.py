@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from offramp.operators.chat import BOS, apply_chat_template, build_messages, insert_empty_system
 from offramp.operators.decontaminate import Benchmark, decontaminate
-from offramp.operators.metrics import window_of
+from offramp.operators.metrics import log_window
 
 
 def prepare_stream(examples: DataFrame, benchmark: Benchmark | None = None, bos: str = BOS,
@@ -49,9 +49,9 @@ def run_prepare_batches(examples: DataFrame, benchmark: Benchmark, path: str, ch
 
 
 def window_means(metrics: DataFrame, every: int = 10) -> DataFrame:
-    """Running mean of each metric over every ``every`` steps of a metric stream."""
-    return (metrics.groupBy(window_of("step", every).alias("window"), "metric")
-            .agg(F.avg("value").alias("value"), F.count("value").alias("n")))
+    """Running ``log_window`` of a metric stream: a mean per run, window and name. The state has a
+    row for each of them and is kept, as a late step may come at any time: steps / ``every`` rows a name."""
+    return log_window(metrics, every)
 
 
 def run_window_means(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -69,5 +69,5 @@ def run_window_means(means: DataFrame, path: str, checkpoint: str) -> StreamingQ
 def read_window_means(spark: SparkSession, path: str) -> DataFrame:
     """The latest state of every window written by ``run_window_means``."""
     latest = F.max_by(F.struct("value", "n"), "batch_id")
-    return (spark.read.parquet(path).groupBy("window", "metric").agg(latest.alias("s"))
-            .select("window", "metric", "s.value", "s.n"))
+    return (spark.read.parquet(path).groupBy("run_id", "window", "metric").agg(latest.alias("s"))
+            .select("run_id", "window", "metric", "s.value", "s.n"))

@@ -1,15 +1,17 @@
 """What the physical plans must look like."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from offramp.plans.catalog import QUERIES
 from offramp.operators import losses as L
 from offramp.operators.exits import early_exit_policy, exit_prediction
+from offramp.operators.ordering import bucket_of
 from offramp.plans.inputs import EXITS, FULL_LAYER, exit_logits
-from offramp.session import filter_spread, is_small, scratch_path
+from offramp.session import is_small, scratch_path
 from offramp.sources.tables import write_bucketed
 
 
@@ -17,9 +19,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
 def test_no_product_joins_and_no_single_task_windows(spark, small, name):
-    plan = plan_of(queries()[name](spark, small))
+    plan = plan_of(QUERIES[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # One partition may hold bucket totals, a vocabulary, exits of a model or a global count.
     lines = plan.splitlines()
@@ -35,36 +37,40 @@ def test_no_product_joins_and_no_single_task_windows(spark, small, name):
     ("metric_window", {"event_id", "event_type", "value"}), ("decontaminate", {"doc_id", "text", "lang", "n_chars"}),
 ])
 def test_scans_read_only_what_is_needed(spark, small, name, columns):
-    plan = plan_of(queries()[name](spark, small))
+    plan = plan_of(QUERIES[name](spark, small))
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         assert {c.split(":")[0] for c in schema.split(",")} <= columns | {"item_id"}
 
 
 def test_filters_reach_the_scan(spark, small):
-    plan = plan_of(queries()["mix_sources"](spark, small))
+    plan = plan_of(QUERIES["mix_sources"](spark, small))
     assert "EqualTo(lang,en)" in plan and "EqualTo(lang,es)" not in plan
-    assert "In(lang, [" in plan_of(queries()["mix_by_column"](spark, small))
+    assert "In(lang, [" in plan_of(QUERIES["mix_by_column"](spark, small))
 
 
 def test_row_local_work_has_no_exchange(spark, small):
     for name in ("messages", "trim_text", "split", "rms_norm"):
-        assert "Exchange" not in plan_of(queries()[name](spark, small))
+        assert "Exchange" not in plan_of(QUERIES[name](spark, small))
 
 
 def test_a_cheap_count_does_not_run_the_encoder(spark, small):
     """Bucket totals of packing come from the word count: the Arrow encoder runs once."""
-    assert plan_of(queries()["pack"](spark, small)).count("ArrowEvalPython") == 1
+    assert plan_of(QUERIES["pack"](spark, small)).count("ArrowEvalPython") == 1
 
 
-def test_expensive_filter_stays_above_the_spread(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    assert is_small(docs)
-    lines = plan_of(filter_spread(docs, F.length("text") > 10, "doc_id")).splitlines()
-    where = [i for i, line in enumerate(lines) if "SPARK_PARTITION_ID" in line][0]
-    assert any("Exchange" in line for line in lines[where:])
+def test_only_few_files_are_small(spark, small):
+    assert is_small(spark.read.parquet(f"{small}/documents.parquet"))
     assert not is_small(spark.range(10**12))
 
 
+def test_many_cut_points_are_one_literal(spark):
+    points = list(range(0, 650_000, 10))
+    start = time.time()
+    placed = spark.range(0, 650_000, 9_973).select("id", bucket_of("id", points).alias("b")).collect()
+    assert time.time() - start < 20
+    assert all(r["b"] == min(r["id"] // 10 + 1, len(points)) for r in placed)
+
+
 def test_bucketed_logits_need_no_exchange(spark, small):
     logits = exit_logits(spark, small)
     write_bucketed(logits, "bucketed_logits", scratch_path(spark, "t-bucketed"), "seq_id", 8)

@@ -155,9 +155,9 @@ def test_stream_metrics_equal_batch(spark, medium):
     for _ in range(2):
         stream = event_metrics(T.stream_examples(spark, source, events.schema))
         streams.run_window_means(streams.window_means(stream), out, state).awaitTermination()
-    got = {(r["window"], r["metric"]): (round(r["value"], 6), r["n"])
+    got = {(r["run_id"], r["window"], r["metric"]): (round(r["value"], 6), r["n"])
            for r in streams.read_window_means(spark, out).collect()}
-    want = {(r["window"], r["metric"]): (round(r["value"], 6), r["n"])
+    want = {(r["run_id"], r["window"], r["metric"]): (round(r["value"], 6), r["n"])
             for r in log_window(event_metrics(events)).collect()}
     assert got == want
 
