@@ -26,8 +26,9 @@ from offramp.llm.common import fresh, stored
 MIN_CHARS = 16
 #: Halves are cut at multiples of this, so that lengths that differ by one share their cut.
 _GRID = 8
-#: Blocks of a line: about 16 characters each, longer in lines of more than 1,024.
-_BLOCK, _MOST_BLOCKS = 16, 64
+#: Blocks of a line: about 16 characters each, longer in lines of more than 256 (the work for a line
+#: is its length times its blocks, and then its blocks' variants times their length).
+_BLOCK, _MOST_BLOCKS = 16, 16
 _TRIM = " \t\r\x0b\x0c"
 
 
