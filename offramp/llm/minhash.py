@@ -174,23 +174,26 @@ def _pivoted(buckets: DataFrame) -> DataFrame:
 
 
 def _residual_buckets(rests: DataFrame, percent: int) -> DataFrame:
-    """``bucket, v, n, component``: the members of a pivot's buckets under shingles the pivot lacks.
+    """``bucket, path, v, n``, ``component``: the members of a pivot's buckets under shingles the pivot
+    lacks. ``path`` tells the pivots that were left out on the way here, in any order: buckets meet
+    again only behind the same pivots, so every round leaves one more member out and the rounds end.
 
     A link of s needs an intersection of at least ``percent`` of s; what it does not share with
     the pivot must come from outside, and so must that part of b. Of two sets of which so many
     shingles are equal, all but so many of each one's rarest shingles hold a common one; so a member
     stands under its rarest shingles only, and under none that no other member has.
     """
-    rest = rests.select("a", F.col("b").alias("v"), F.col("n_b").alias("n"), "both", "component", F.explode("rest").alias("shingle"))
-    counts = rest.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rest = rest.join(counts, ["a", "shingle"])
-    by = Window.partitionBy("a", "v")
+    rest = rests.select("path", "a", F.col("b").alias("v"), F.col("n_b").alias("n"), "both", "component", F.explode("rest").alias("shingle"))
+    counts = rest.groupBy("path", "a", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rest = rest.join(counts, ["path", "a", "shingle"])
+    by = Window.partitionBy("path", "a", "v")
     outside = F.col("n") - F.col("both")
     needed = F.greatest(F.ceil(percent * F.col("n") / 100).cast("bigint") - F.col("both"), F.lit(1))
     alone = outside - F.count(F.lit(1)).over(by)  # shingles that no other member has: the rarest
     rank = alone + F.row_number().over(by.orderBy("df", "shingle"))
     rest = rest.withColumns({"rank": rank, "most": outside - needed + 1}).where("rank <= most")
-    return rest.select(F.xxhash64("a", "shingle").alias("bucket"), "v", "n", "component")
+    path = F.col("path").bitwiseXOR(F.xxhash64("a"))
+    return rest.select(F.xxhash64(path, "shingle").alias("bucket"), path.alias("path"), "v", "n", "component")
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -247,7 +250,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
             if not pairs.isEmpty():
                 tested = tested.unionByName(compare(pairs))
 
-    buckets = _several(classes.select("v", "n", F.explode("bands").alias("bucket")))
+    buckets = _several(classes.select("v", "n", F.lit(0).cast("bigint").alias("path"), F.explode("bands").alias("bucket")))
     while True:
         members = _pivoted(buckets)
         test(members.where(_may_link(F.col("n"), F.col("pivot_n"), percent)).select(*_pair(F.col("v"), F.col("pivot"))))
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         pairs = small.join(other, "bucket").where((F.col("v") < F.col("w")) & (F.col("component") != F.col("other"))
                                                   & _may_link(F.col("n"), F.col("m"), percent))
         test(pairs.select(*_pair(F.col("v"), F.col("w"))))
-        large = open_.where(F.col("size") > SMALL).select(F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
+        large = open_.where(F.col("size") > SMALL).select("path", F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
         if large.isEmpty():
             found = components(_links(tested, percent))
             break
@@ -273,15 +276,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         most = F.floor(((100 + percent) * F.col("both") - percent * F.col("n_b")) / percent).cast("bigint")
         least = F.ceil(percent * F.col("n_b") / 100).cast("bigint")
         apart = rests.where(100 * F.col("both") < percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).where(most >= least)
-        apart = apart.select("a", F.col("b").alias("s"), F.col("n_b").alias("n_s"), F.col("component").alias("own"),
+        apart = apart.select("path", "a", F.col("b").alias("s"), F.col("n_b").alias("n_s"), F.col("component").alias("own"),
                              F.explode(F.sequence(least, most)).alias("n_b"))
-        pairs = apart.join(rests.select("a", "b", "n_b", "both", "component"), ["a", "n_b"]).where(
+        pairs = apart.join(rests.select("path", "a", "b", "n_b", "both", "component"), ["path", "a", "n_b"]).where(
             (F.col("own") != F.col("component")) & (percent * (F.col("n_s") + F.col("n_b")) <= (100 + percent) * F.col("both")))
         test(pairs.select(*_pair(F.col("s"), F.col("b"))))
         found = components(_links(tested, percent))
         rest = stored(_residual_buckets(rests, percent), "rest")
         span = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "bucket"), "buckets")
+        buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "path", "bucket").distinct(), "buckets")
         if buckets.isEmpty():
             break
     rows_ = features.join(classes.select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
