@@ -30,7 +30,7 @@ PERCENT = 75
 #: 32 bands of 3 slots: a pair at a similarity of 0.75 shares no band once in 4e7 pairs.
 BANDS, ROWS = 32, 3
 #: Buckets with so many members besides the pivot are compared through; larger ones are split.
-SMALL = 16
+SMALL = 64
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
