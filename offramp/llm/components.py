@@ -57,12 +57,19 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of ``links`` (``a, b`` BIGINT).
 
-    Each task first unites its own links by union-find. The forests are then united across tasks by
-    alternating large and small stars (every node hands its neighbours the smallest node it
+    Each task first unites its own links by union-find. Their forests are dealt to as many tasks as
+    forests of ``FOREST_LINKS`` links are needed and united again. If these are several, they are united
+    by alternating large and small stars (every node hands its neighbours the smallest node it
     knows), which needs a logarithmic number of rounds. A hub's links are only ever aggregated to a
     minimum and joined, never gathered. An empty table of links gives an empty result.
     """
-    edges = stored(links.where("a <> b").mapInArrow(_united, "a bigint, b bigint"), "links")
+    pair = "a bigint, b bigint"
+    edges = stored(links.where("a <> b").mapInArrow(_united, pair), "links")
+    forests = 1 + edges.count() // FOREST_LINKS
+    edges = stored(edges.repartition(forests, "a").mapInArrow(_united, pair), "forests")
+    if forests == 1:  # every node of the only forest stands next to its smallest
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+            edges.select("b", "b").toDF("node", "component").distinct())
     before = None
     while True:
         # large star: every larger neighbour of a node goes to the smallest node around it

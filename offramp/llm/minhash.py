@@ -29,7 +29,8 @@ WORDS = 5
 PERCENT = 75
 #: 32 bands of 3 slots: a pair at a similarity of 0.75 shares no band once in 4e7 pairs.
 BANDS, ROWS = 32, 3
-#: Buckets with so many members besides the pivot are compared through; larger ones are split.
+#: Buckets with so many members besides the pivot, or with so few outside their largest component that
+#: they make no more pairs (the square), are compared through; other ones are split.
 SMALL = 64
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,9 +113,9 @@ def _features(words: int, bands: int, rows: int):
     return run
 
 
-def _compared(words: int, residual: bool):
-    """Kernel over ``a, b, left_text, right_text``: the set sizes and the size of the intersection;
-    with ``residual`` also the shingles of ``b`` that ``a`` lacks."""
+def _compared(words: int):
+    """Kernel over ``a, b, deep, left_text, right_text``: the set sizes, the size of the intersection
+    and, where ``deep``, the shingles of ``b`` that ``a`` lacks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -127,7 +128,7 @@ def _compared(words: int, residual: bool):
                     if key not in held:
                         if size > _CHUNK:  # pivots come again and again, so the last sets are kept
                             held, size = {}, 0
-                        text = batch.column(side + 2)[i].as_py()
+                        text = batch.column(side + 3)[i].as_py()
                         held[key] = shingle_set(text.encode(), words)
                         size += len(held[key])
                     sets.append(held[key])
@@ -135,14 +136,10 @@ def _compared(words: int, residual: bool):
                 lists[0].append(len(a))
                 lists[1].append(len(b))
                 lists[2].append(shared_count(a, b))
-                if residual:
-                    lists[3].append(np.setdiff1d(b, a, assume_unique=True).view(np.int64))
-            arrays = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in lists[:3])]
-            names = ["a", "b", "n_a", "n_b", "both"]
-            if residual:
-                arrays.append(pa.array(lists[3], pa.list_(pa.int64())))
-                names.append("rest")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                lists[3].append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if batch.column(2)[i].as_py() else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in lists[:3]), pa.array(lists[3], pa.list_(pa.int64()))],
+                names=["a", "b", "n_a", "n_b", "both", "rest"])
 
     return run
 
@@ -163,14 +160,15 @@ def _several(buckets: DataFrame) -> DataFrame:
 
 
 def _pivoted(buckets: DataFrame) -> DataFrame:
-    """``bucket, v, n, pivot, pivot_n``: every member beside the bucket's most popular one, which is
-    left out. Popular is who shares most buckets with most others: the text that a group's copies
-    were made from shares more with each than they do among themselves."""
+    """``bucket, path, v, n, pivot, pivot_n, large``: every member beside the bucket's most popular one,
+    which is left out. Popular is who shares most buckets with most others: the text that a group's
+    copies were made from shares more with each than they do among themselves."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     fame = buckets.join(sizes, "bucket").groupBy("v").agg(F.sum("size").alias("fame"))
     best = buckets.join(fame, "v").groupBy("bucket").agg(
-        F.max(F.struct("fame", -F.col("v"), F.col("v").alias("pivot"), F.col("n").alias("pivot_n"))).alias("m"))
-    return stored(buckets.join(best.select("bucket", "m.pivot", "m.pivot_n"), "bucket").where("v <> pivot"), "pivots")
+        F.max(F.struct("fame", -F.col("v"), F.col("v").alias("pivot"), F.col("n").alias("pivot_n"))).alias("m"),
+        (F.count(F.lit(1)) > SMALL + 1).alias("large"))
+    return stored(buckets.join(best.select("bucket", "m.pivot", "m.pivot_n", "large"), "bucket").where("v <> pivot"), "pivots")
 
 
 def _residual_buckets(rests: DataFrame, percent: int) -> DataFrame:
@@ -208,8 +206,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
       smallest key of the class), so groups of copies cost nothing.
     * Classes meet in the buckets of equal bands. Every member of a bucket is held against one
       pivot, on full shingle sets taken from the texts, and confirmed links are united.
-    * A bucket whose other members still lie in different components goes on. A small one is
-      compared through. In a large one, take members s and b and the pivot m, s not linked to m. If
+    * A bucket whose other members still lie in different components goes on. A small one, or
+      one with few members outside its largest component, is compared through. In another one, take members s and b and the pivot m, s not linked to m. If
       s and b share no shingle outside m, their intersection is no larger than that of s and m, so
       they cannot be linked unless b is that much smaller than m. So the members go on into the
       buckets of their rarest shingles that m lacks (for copies with edits of their own, these
@@ -227,65 +225,63 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = features.where("class is not null and id is not null").groupBy("class").agg(
         F.min("id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
+    buckets = _several(classes.select("v", "n", F.lit(0).cast("bigint").alias("path"), F.explode("bands").alias("bucket")))
+    members = buckets.select(F.col("v").alias("text_id")).distinct()
     texts = given.where("id is not null").select(F.col("id").alias("text_id"), "text")
-
-    def compare(pairs: DataFrame, residual: bool = False) -> DataFrame:
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("text_id")).unionByName(pairs.select(F.col("b").alias("text_id"))).distinct()
-        needed = stored(texts.join(ids, "text_id", "left_semi"), "texts")
-        met = pairs.join(needed.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b")
-        met = met.join(needed.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
-        schema = "a bigint, b bigint, n_a bigint, n_b bigint, both bigint" + (", rest array<bigint>" if residual else "")
-        return stored(met.select("a", "b", "left_text", "right_text").mapInArrow(_compared(words, residual), schema), "compared")
-
+    texts = stored(texts.join(members, "text_id", "left_semi"), "texts")
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     tested = None
 
-    def test(pairs: DataFrame) -> None:
-        """Compare the pairs that have not been compared yet."""
+    def compare(pairs: DataFrame) -> DataFrame:
+        """Hold the sets of ``a, b, deep`` against each other."""
         nonlocal tested
-        if tested is None:
-            tested = compare(pairs)
-        else:
-            pairs = stored(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "untested")
-            if not pairs.isEmpty():
-                tested = tested.unionByName(compare(pairs))
+        # pairs are small beside their sets, so they are dealt by number, not by size
+        pairs = pairs.repartition(tasks, "a").sortWithinPartitions("a", "b")
+        met = pairs.join(texts.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b")
+        met = met.join(texts.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
+        done = stored(met.select("a", "b", "deep", "left_text", "right_text").mapInArrow(
+            _compared(words), "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, rest array<bigint>"), "compared")
+        mine = done.select(*_pair(F.col("a"), F.col("b")), "n_a", "n_b", "both")
+        tested = mine if tested is None else tested.unionByName(mine)
+        return done
 
-    buckets = _several(classes.select("v", "n", F.lit(0).cast("bigint").alias("path"), F.explode("bands").alias("bucket")))
     while True:
         members = _pivoted(buckets)
-        test(members.where(_may_link(F.col("n"), F.col("pivot_n"), percent)).select(*_pair(F.col("v"), F.col("pivot"))))
+        held = compare(members.groupBy(F.col("pivot").alias("a"), F.col("v").alias("b")).agg(
+            F.max("large").alias("deep"), F.first("n").alias("n"), F.first("pivot_n").alias("m")).where(
+            F.col("deep") | _may_link(F.col("n"), F.col("m"), percent)))
         found = components(_links(tested, percent))
         named = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-        span = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                           F.count(F.lit(1)).alias("size")).where("low <> high")
-        open_ = stored(named.join(span.select("bucket", "size"), "bucket"), "open")
+        shares = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+        shares = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
+        apart = F.col("size") - F.col("main.size")
+        shares = shares.where(apart > 0).select("bucket", F.col("main.component").alias("main"), (apart * F.col("size") <= SMALL * SMALL).alias("few"))
+        open_ = stored(named.join(shares, "bucket"), "open")
         if open_.isEmpty():
             break
-        small = open_.where(F.col("size") <= SMALL).select("bucket", "v", "n", "component")
-        other = small.withColumnsRenamed({"v": "w", "n": "m", "component": "other"})
-        pairs = small.join(other, "bucket").where((F.col("v") < F.col("w")) & (F.col("component") != F.col("other"))
-                                                  & _may_link(F.col("n"), F.col("m"), percent))
-        test(pairs.select(*_pair(F.col("v"), F.col("w"))))
-        large = open_.where(F.col("size") > SMALL).select("path", F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
-        if large.isEmpty():
-            found = components(_links(tested, percent))
-            break
-        rests = compare(large, residual=True).join(stored(large, "large"), ["a", "b"])
-        rests = stored(rests, "rests")
+        few = open_.where("few or not large")
+        outside = few.where("component <> main").select("bucket", "v", "n", "component")
+        inside = few.select("bucket", F.col("v").alias("w"), F.col("n").alias("m"), F.col("component").alias("other"))
+        pairs = outside.join(inside, "bucket").where((F.col("component") != F.col("other")) & _may_link(F.col("n"), F.col("m"), percent))
+        large = open_.where("large and not few").select("path", F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
+        rests = stored(large.join(held, ["a", "b"]), "rests")
         # s apart from its pivot, b smaller than the pivot: sizes for which the bound leaves a link possible
         most = F.floor(((100 + percent) * F.col("both") - percent * F.col("n_b")) / percent).cast("bigint")
         least = F.ceil(percent * F.col("n_b") / 100).cast("bigint")
         apart = rests.where(100 * F.col("both") < percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).where(most >= least)
         apart = apart.select("path", "a", F.col("b").alias("s"), F.col("n_b").alias("n_s"), F.col("component").alias("own"),
                              F.explode(F.sequence(least, most)).alias("n_b"))
-        pairs = apart.join(rests.select("path", "a", "b", "n_b", "both", "component"), ["path", "a", "n_b"]).where(
+        smaller = apart.join(rests.select("path", "a", "b", "n_b", "both", "component"), ["path", "a", "n_b"]).where(
             (F.col("own") != F.col("component")) & (percent * (F.col("n_s") + F.col("n_b")) <= (100 + percent) * F.col("both")))
-        test(pairs.select(*_pair(F.col("s"), F.col("b"))))
-        found = components(_links(tested, percent))
+        pairs = pairs.select(*_pair(F.col("v"), F.col("w"))).unionByName(smaller.select(*_pair(F.col("s"), F.col("b")))).distinct()
+        texts = stored(texts.join(open_.select(F.col("v").alias("text_id")).distinct(), "text_id", "left_semi"), "open-texts")
+        compare(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn("deep", F.lit(False)))
         rest = stored(_residual_buckets(rests, percent), "rest")
         span = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "path", "bucket").distinct(), "buckets")
         if buckets.isEmpty():
+            found = components(_links(tested, percent))
             break
     rows_ = features.join(classes.select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     rows_ = rows_.join(found, F.col("v") == F.col("node"), "left")
