@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from offramp.llm.bestfit import pack_best_fit
 from offramp.llm.common import table
 from offramp.llm.fingerprints import fingerprints
 from offramp.llm.html_extract import extract_text
@@ -63,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"))
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_line_dedup": op2_line_dedup,
@@ -74,4 +79,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op13_best_fit": op13_best_fit,
 }
