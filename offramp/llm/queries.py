@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from offramp.llm.bestfit import pack_best_fit
 from offramp.llm.common import table
 from offramp.llm.fingerprints import fingerprints
+from offramp.llm.hard_negatives import hard_negative_query
 from offramp.llm.html_extract import extract_text
 from offramp.llm.language_id import language_query
 from offramp.llm.line_dedup import dedup_lines
@@ -64,6 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negative_query(table(spark, sf_dir, "embeddings"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -79,5 +84,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit": op13_best_fit,
 }
