@@ -17,6 +17,7 @@ from offramp.llm.mixing import mix_query
 from offramp.llm.packing import pack_documents
 from offramp.llm.quality_model import quality_model_query
 from offramp.llm.quality_rules import quality_query
+from offramp.llm.spelling import spelling_query
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_query(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negative_query(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling": op11_spelling,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_best_fit": op13_best_fit,
 }
