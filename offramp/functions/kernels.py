@@ -84,12 +84,15 @@ def logit_summary(logits: pa.Array) -> pa.Array:
 
 @F.arrow_udf(DoubleType())
 def kl_kernel(teacher: pa.Array, student: pa.Array) -> pa.Array:
-    """KL(teacher || student) of each pair of logit vectors."""
-    t_flat, t_off = _rows(teacher)
-    s_flat, s_off = _rows(student)
+    """KL(teacher || student) of each pair of logit vectors; null where one of them is."""
+    both = pc.and_(teacher.is_valid(), student.is_valid())
+    at = np.flatnonzero(both.to_numpy(zero_copy_only=False))
+    t_flat, t_off = _rows(teacher.filter(both))
+    s_flat, s_off = _rows(student.filter(both))
     if not np.array_equal(t_off, s_off):
         raise ValueError("teacher and student logits differ in size")
-    out = np.full(len(teacher), np.nan)
+    out, empty = np.full(len(teacher), np.nan), np.ones(len(teacher), bool)
+    empty[at] = np.diff(t_off) == 0
     for a, b, width in _blocks(t_off):
         if width:
             t = t_flat[t_off[a]:t_off[b]].reshape(b - a, width).astype(np.float64)
@@ -100,5 +103,5 @@ def kl_kernel(teacher: pa.Array, student: pa.Array) -> pa.Array:
             s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
             p = np.exp(t)
             with np.errstate(invalid="ignore"):
-                out[a:b] = np.where(p == 0, 0.0, p * (t - s)).sum(axis=1)
-    return pa.array(out, mask=np.diff(t_off) == 0)
+                out[at[a:b]] = np.where(p == 0, 0.0, p * (t - s)).sum(axis=1)
+    return pa.array(out, mask=empty)

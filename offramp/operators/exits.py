@@ -63,8 +63,13 @@ def exit_prediction(logits: DataFrame, k: int = 1, vocab_size: int | None = None
 
 
 def predictions_from_stats(stats: DataFrame) -> DataFrame:
-    """``exit_prediction`` from the rows of ``exit_head_stats``: adds ``confidence`` to ``token``."""
-    return stats.withColumn("confidence", F.exp(F.col("top") - F.col("lse")))
+    """``exit_prediction`` from the rows of ``exit_head_stats``: adds ``confidence`` to ``token``, and ``top``
+    holds the best ``(token, confidence)`` pairs where there are ``best`` logits."""
+    found = stats.withColumn("confidence", F.exp(F.col("top") - F.col("lse")))
+    if "best" not in stats.columns:
+        return found
+    return found.withColumn("top", F.transform("best", lambda e: F.struct(
+        e["token"].alias("token"), F.exp(e["logit"] - F.col("lse")).alias("confidence")))).drop("best")
 
 
 def fixed_exit(df: DataFrame, exits: int | Sequence[int], built: Sequence[int] | None,

@@ -58,23 +58,28 @@ def exit_ce_loss(logits: DataFrame, labels: DataFrame | None = None, shift: bool
                                                F.count("_ce").alias("ce_positions"))
 
 
-def _pair_with_teacher(logits: DataFrame, teacher_layer: int, keep_teacher: bool,
-                       teacher: DataFrame | None) -> DataFrame:
-    """Put the teacher's logits of a position beside each exit's. Positions without a teacher drop.
+def _pair_with_teacher(logits: DataFrame, teacher_layer: int, teacher: DataFrame | None,
+                       virtual_tokens: int) -> DataFrame:
+    """Put the teacher's logits of a position beside each row, null where there are none.
 
     Within one table this is a window over the few rows of a position: one scan and one exchange
-    for all exits, and whatever produced the logits runs once. Two tables are joined.
+    for all exits, and whatever produced the logits runs once. Two tables are joined: on tables
+    bucketed by ``seq_id`` alike (``write_bucketed``) without an exchange, also with shifted positions, if
+    the session allows joins to use a part of their keys (``spark.sql.requireAllClusterKeysForCoPartition`` off).
     """
     is_teacher = F.col("exit_layer") == teacher_layer
     if teacher is None:
+        if virtual_tokens:
+            raise ValueError("only a separate teacher has other positions")
         position = Window.partitionBy("seq_id", "pos")
-        paired = logits.withColumn("_teacher", F.first(
+        return logits.withColumn("_teacher", F.first(
             F.when(is_teacher, F.col("logits")), ignorenulls=True).over(position))
-        paired = paired.where(F.col("_teacher").isNotNull())
-    else:
-        paired = logits.join(teacher.where(is_teacher).select(
-            "seq_id", "pos", F.col("logits").alias("_teacher")), ["seq_id", "pos"])
-    return paired if keep_teacher else paired.where(~is_teacher)
+    if virtual_tokens < 0:
+        raise ValueError("virtual_tokens must not be negative")
+    beside = teacher.where(is_teacher).select(
+        F.col("seq_id").alias("_seq"), F.col("pos").alias("_pos"), F.col("logits").alias("_teacher"))
+    same = (F.col("seq_id") == F.col("_seq")) & (F.col("pos") - virtual_tokens == F.col("_pos"))
+    return logits.join(beside, same, "left").drop("_seq", "_pos")
 
 
 def _kl(vocab_size: int | None) -> Column:
@@ -83,11 +88,18 @@ def _kl(vocab_size: int | None) -> Column:
     return kl_divergence("_teacher", "logits")
 
 
+def _per_sequence(rows: DataFrame, by: Sequence[str], extra: list[Column]) -> DataFrame:
+    """Sums per sequence of rows with ``_kl`` and ``_paired`` (the position has a teacher)."""
+    return rows.groupBy(*by, "exit_layer", "seq_id").agg(
+        F.sum("_kl").alias("_kl"), F.count("_kl").alias("_kl_n"), F.max("_paired").alias("_paired"), *extra)
+
+
 def _reduced_kl(per_sequence: DataFrame, by: Sequence[str], reduction: str, extra: list[Column]) -> DataFrame:
+    sequences = F.count_if("_paired")
     if reduction == "batchmean":
-        kl = F.coalesce(F.sum("_kl"), F.lit(0.0)) / F.count(F.lit(1))
+        kl = F.when(sequences > 0, F.coalesce(F.sum("_kl"), F.lit(0.0)) / sequences)
     elif reduction == "token_mean":
-        kl = F.sum("_kl") / F.sum("_kl_n")
+        kl = F.when(F.sum("_kl_n") > 0, F.sum("_kl") / F.sum("_kl_n"))
     else:
         raise ValueError(f"unknown reduction {reduction!r}")
     return per_sequence.groupBy(*by, "exit_layer").agg(kl.alias("kl_loss"), *extra)
@@ -95,62 +107,62 @@ def _reduced_kl(per_sequence: DataFrame, by: Sequence[str], reduction: str, extr
 
 def exit_kl_loss(logits: DataFrame, teacher_layer: int, by: Sequence[str] = ("batch_id",),
                  reduction: str = "batchmean", mask: str | None = None,
-                 vocab_size: int | None = None, teacher: DataFrame | None = None) -> DataFrame:
+                 vocab_size: int | None = None, teacher: DataFrame | None = None,
+                 virtual_tokens: int = 0) -> DataFrame:
     """KL(teacher || exit) per exit.
 
     ``batchmean`` sums over positions and vocabulary and divides by the number of sequences;
     ``token_mean`` divides by the positions. Positions where ``mask`` is 0 add
     nothing; without it all count. The teacher is the ``teacher_layer`` of the same rows, or of a
-    separate ``teacher`` table (a run with adapters off, or another model).
+    separate ``teacher`` table (a run with adapters off, or another model), whose positions are counted
+    after the first ``virtual_tokens`` (learned prompt tokens) of ``logits``. Positions
+    without a teacher do not count.
 
     One exchange on ``(seq_id, pos)`` serves all exits. Sums go through one row per
     sequence first, so the count of sequences needs no distinct.
     """
-    paired = _pair_with_teacher(logits, teacher_layer, False, teacher)
+    paired = _pair_with_teacher(logits, teacher_layer, teacher, virtual_tokens).where(
+        (F.col("exit_layer") != teacher_layer) & F.col("_teacher").isNotNull())
     value = _kl(vocab_size)
     if mask is not None:
         value = F.when(F.col(mask) == 1, value)
-    rows = paired.select(*by, "exit_layer", "seq_id", value.alias("_kl"))
-    per_sequence = rows.groupBy(*by, "exit_layer", "seq_id").agg(
-        F.sum("_kl").alias("_kl"), F.count("_kl").alias("_kl_n"))
-    return _reduced_kl(per_sequence, by, reduction, [])
+    rows = paired.select(*by, "exit_layer", "seq_id", value.alias("_kl"), F.lit(True).alias("_paired"))
+    return _reduced_kl(_per_sequence(rows, by, []), by, reduction, [])
 
 
 def exit_losses(logits: DataFrame, teacher_layer: int, by: Sequence[str] = ("batch_id",),
                 target: str = "target", reduction: str = "batchmean", mask: str | None = None,
-                vocab_size: int | None = None) -> DataFrame:
+                vocab_size: int | None = None, teacher: DataFrame | None = None,
+                virtual_tokens: int = 0) -> DataFrame:
     """CE and KL of every exit from one pairing with the teacher; KL is null for the teacher itself.
 
-    Use it where both losses are wanted: the logits are read and exchanged once.
+    The CE is over all positions with a target, whether or not they have a teacher. Use it where
+    both losses are wanted: the logits are read and exchanged once. ``teacher`` as for ``exit_kl_loss``.
     """
-    paired = _pair_with_teacher(logits, teacher_layer, True, None)
-    value = F.when(F.col("exit_layer") != teacher_layer, _kl(vocab_size))
-    if mask is not None:
-        value = F.when(F.col(mask) == 1, value)
-    rows = paired.select(*by, "exit_layer", "seq_id", value.alias("_kl"),
+    paired = _pair_with_teacher(logits, teacher_layer, teacher, virtual_tokens)
+    is_paired = (F.col("exit_layer") != teacher_layer) & F.col("_teacher").isNotNull()
+    value = F.when(is_paired & (F.col(mask) == 1) if mask is not None else is_paired, _kl(vocab_size))
+    rows = paired.select(*by, "exit_layer", "seq_id", value.alias("_kl"), is_paired.alias("_paired"),
                          cross_entropy(target, vocab_size=vocab_size).alias("_ce"))
-    return _reduced_losses(rows, teacher_layer, by, reduction)
+    return _reduced_losses(rows, by, reduction)
 
 
 def exit_losses_from_stats(stats: DataFrame, teacher_layer: int, by: Sequence[str] = ("batch_id",),
                            reduction: str = "batchmean", mask: str | None = None) -> DataFrame:
-    """``exit_losses`` from the rows of ``exit_head_stats``, whose ``kl`` is null for the teacher."""
-    value = F.col("kl")
-    if mask is not None:
-        value = F.when(F.col(mask) == 1, value)
-    rows = stats.select(*by, "exit_layer", "seq_id", value.alias("_kl"),
+    """``exit_losses`` from the rows of ``exit_head_stats``, whose ``kl`` is null where there is no teacher.
+    Without a ``kl`` column the divergences are null."""
+    kl = F.col("kl") if "kl" in stats.columns else F.lit(None).cast("double")
+    paired = (F.col("exit_layer") != teacher_layer) & kl.isNotNull()
+    value = F.when(paired & (F.col(mask) == 1) if mask is not None else paired, kl)
+    rows = stats.select(*by, "exit_layer", "seq_id", value.alias("_kl"), paired.alias("_paired"),
                         (F.col("lse") - F.col("target_logit")).alias("_ce"))
-    return _reduced_losses(rows, teacher_layer, by, reduction)
+    return _reduced_losses(rows, by, reduction)
 
 
-def _reduced_losses(rows: DataFrame, teacher_layer: int, by: Sequence[str], reduction: str) -> DataFrame:
-    per_sequence = rows.groupBy(*by, "exit_layer", "seq_id").agg(
-        F.sum("_kl").alias("_kl"), F.count("_kl").alias("_kl_n"),
-        F.sum("_ce").alias("_ce"), F.count("_ce").alias("_ce_n"))
+def _reduced_losses(rows: DataFrame, by: Sequence[str], reduction: str) -> DataFrame:
+    per_sequence = _per_sequence(rows, by, [F.sum("_ce").alias("_ce"), F.count("_ce").alias("_ce_n")])
     ce = F.when(F.sum("_ce_n") > 0, F.sum("_ce") / F.sum("_ce_n")).alias("ce_loss")
-    reduced = _reduced_kl(per_sequence, by, reduction, [ce])
-    return reduced.select(*by, "exit_layer", "ce_loss", F.when(
-        F.col("exit_layer") != teacher_layer, F.col("kl_loss")).alias("kl_loss"))
+    return _reduced_kl(per_sequence, by, reduction, [ce]).select(*by, "exit_layer", "ce_loss", "kl_loss")
 
 
 def mean_over_exits(losses: DataFrame, full_layer: int, by: Sequence[str] = ("batch_id",),
@@ -169,13 +181,16 @@ def mean_over_exits(losses: DataFrame, full_layer: int, by: Sequence[str] = ("ba
 
 def distill_loss(logits: DataFrame, teacher_layer: int, kl_weight: float = 0.1, ce_weight: float = 1.0,
                  by: Sequence[str] = ("batch_id",), target: str = "target",
-                 vocab_size: int | None = None) -> DataFrame:
+                 vocab_size: int | None = None, teacher: DataFrame | None = None,
+                 virtual_tokens: int = 0) -> DataFrame:
     """``kl_weight * kl_mean + ce_weight * ce_mean`` per group.
 
-    With a KL weight of zero or less the divergence is 0 and its exchange is not planned at all.
+    With a KL weight of zero or less the divergence is 0 and its exchange is not planned at all;
+    the CE is the same at any weight. ``teacher`` as for ``exit_kl_loss``.
     """
     if kl_weight > 0:
-        losses = exit_losses(logits, teacher_layer, by, target, vocab_size=vocab_size)
+        losses = exit_losses(logits, teacher_layer, by, target, vocab_size=vocab_size, teacher=teacher,
+                             virtual_tokens=virtual_tokens)
         means = mean_over_exits(losses, teacher_layer, by)
     else:
         losses = exit_ce_loss(logits, by=by, target=target, vocab_size=vocab_size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,8 +13,9 @@ from offramp.functions.vectors import log_softmax, rms_norm
 from offramp.operators import chat, decontaminate as decon, exits, head_blocks, heads, losses, metrics
 from offramp.operators import ordering, sequences, userfuncs
 from offramp.plans import jobs
-from offramp.plans.inputs import (EXITS, FULL_LAYER, event_metrics, examples, exit_heads,
-                                  exit_hidden, exit_logits, table, token_labels)
+from offramp.plans.inputs import (EXITS, FULL_LAYER, ROTATIONS, VIRTUAL_TOKENS, event_metrics, examples, exit_heads,
+                                  exit_hidden, exit_logits, norm_weights, partial_teacher, table, token_class,
+                                  token_labels, vocabulary_heads, with_virtual_tokens)
 from offramp.session import scratch_path, spread_small
 from offramp.sources import tables
 from offramp.streaming import jobs as streams
@@ -24,6 +27,9 @@ THRESHOLDS = (0.25, 0.3, 0.4, 0.5, 0.6, 0.9)
 MIXER = {"en": 1.0, "de": 0.5, "fr": 0.25, "es": 0.0}
 SETTINGS = jobs.DistillSettings(output_exit_layers=EXITS, exit_layer_indices=EXITS,
                                 full_layer=FULL_LAYER, kl_weight=1.0, ce_weight=0.5)
+NO_KL = replace(SETTINGS, kl_weight=0.0)
+# The exits alone, behind learned prompt tokens; the teacher is another table.
+ADAPTER = replace(SETTINGS, output_full_model=False, virtual_tokens=VIRTUAL_TOKENS)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,8 +331,10 @@ def early_exit_stats(spark, d):
 
 
 def prune_depth(spark, d):
+    """Every row that is left, with its states weighed by their place."""
     kept = heads.prune_depth(_hidden(spark, d), [16, 32], full=False)
-    return kept.groupBy("exit_layer").agg(F.count(F.lit(1)).alias("n"))
+    weighed = F.aggregate(F.transform("h", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return kept.select("seq_id", "pos", "exit_layer", F.round(weighed, 4).alias("weighed"))
 
 
 def last_positions(spark, d):
@@ -506,6 +514,47 @@ def evaluate_step(spark, d):
     return step.select("batch_id", *[_rounded(c) for c in sorted(step.columns) if c != "batch_id"])
 
 
+def evaluate_step_no_kl(spark, d):
+    """A KL weight of zero: cross-entropies only."""
+    step = jobs.evaluate_step(exit_logits(spark, d), NO_KL)
+    return step.select("batch_id", *[_rounded(c) for c in sorted(step.columns) if c != "batch_id"])
+
+
+def evaluate_step_teacher(spark, d):
+    """The teacher in another table, without some positions; prompt tokens in front of the student's."""
+    embeddings = table(spark, d, "embeddings")
+    heads_, hidden = exit_heads(exit_hidden(embeddings)), exit_hidden(embeddings).withColumn("target", F.col("label"))
+    student = jobs.score_exits(with_virtual_tokens(hidden), heads_, ADAPTER)
+    teacher = heads.exit_head_logits(partial_teacher(hidden), heads_)
+    step = jobs.evaluate_step(student, ADAPTER, teacher=teacher)
+    return step.select("batch_id", *[_rounded(c) for c in sorted(step.columns) if c != "batch_id"])
+
+
+def _vocabulary_stats(spark, d):
+    """2,000 tokens in blocks of 128 and learned norms."""
+    embeddings = table(spark, d, "embeddings")
+    hidden = exit_hidden(spread_small(embeddings, "vec_id")).withColumn("target", token_class() * ROTATIONS)
+    stored = head_blocks.store_heads(vocabulary_heads(embeddings), block_bytes=128 * 64 * 8,
+                                     norm_weights=norm_weights(embeddings))
+    return jobs.score_exit_stats(hidden, stored, SETTINGS)
+
+
+def vocabulary_stats(spark, d):
+    return _vocabulary_stats(spark, d).select(
+        "seq_id", "pos", "exit_layer", "token", _rounded("lse"), _rounded("top"),
+        _rounded("target_logit"), _rounded("kl"))
+
+
+def vocabulary_step(spark, d):
+    step = jobs.evaluate_step(_vocabulary_stats(spark, d), SETTINGS)
+    return step.select("batch_id", *[_rounded(c) for c in sorted(step.columns) if c != "batch_id"])
+
+
+def vocabulary_exits(spark, d):
+    return jobs.decide_exits(_vocabulary_stats(spark, d), SETTINGS, 0.01).select(
+        "seq_id", "pos", "chosen_exit", "token", _rounded("confidence"))
+
+
 def exit_report(spark, d):
     """The flagship: losses, accuracy and use of every exit, one row per exit."""
     logits = exit_logits(spark, d)
@@ -546,5 +595,7 @@ QUERIES = {
     "stream_prepare": stream_prepare, "stream_metrics": stream_metrics,
     "map_examples": map_examples, "filter_batches": filter_batches,
     "prepare_corpus": prepare_corpus, "evaluate_step": evaluate_step,
+    "evaluate_step_no_kl": evaluate_step_no_kl, "evaluate_step_teacher": evaluate_step_teacher,
+    "vocabulary_stats": vocabulary_stats, "vocabulary_step": vocabulary_step, "vocabulary_exits": vocabulary_exits,
     "exit_report": exit_report,
 }

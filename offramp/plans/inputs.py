@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offramp.functions.columns import int_div
@@ -18,6 +18,12 @@ FULL_LAYER = LAYERS[-1]
 POSITIONS = 8
 SEQUENCES_PER_BATCH = 8
 IGNORE_EVERY = 11
+# A head of 2,000 tokens: 500 classes of vectors, each in four rotations.
+TOKEN_CLASSES = 500
+ROTATIONS = 4
+ROTATED_BY = 4
+# Learned prompt tokens in front of the student's positions, and where the teacher has no row.
+VIRTUAL_TOKENS = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +62,41 @@ def exit_heads(hidden: DataFrame) -> DataFrame:
         F.transform(weights, lambda e: e["v"]).alias("w"))
 
 
+def vocabulary_heads(embeddings: DataFrame) -> DataFrame:
+    """Heads of 2,000 tokens per exit: the mean normalised hidden state of each class of vectors
+    (``vec_id`` modulo 500), and its rotations by 4, 8 and 12 dimensions."""
+    hidden = exit_hidden(embeddings).withColumn("label", token_class())
+    turned = F.array(*[F.concat(F.slice("w", ROTATED_BY * j + 1, 64), F.slice("w", 1, ROTATED_BY * j))
+                       for j in range(ROTATIONS)])
+    return exit_heads(hidden).select("exit_layer", "token_id", F.posexplode(turned).alias("j", "w")).select(
+        "exit_layer", (F.col("token_id") * ROTATIONS + F.col("j")).cast("int").alias("token_id"), "w")
+
+
+def token_class() -> Column:
+    return ((F.col("seq_id") * POSITIONS + F.col("pos")) % TOKEN_CLASSES).cast("int")
+
+
+def norm_weights(embeddings: DataFrame) -> DataFrame:
+    """A norm weight per exit: eight times the mean size of each dimension."""
+    entries = embeddings.select(F.posexplode("embedding").alias("i", "v"))
+    means = entries.groupBy("i").agg(F.avg(F.abs(F.col("v").cast("double")) * 8.0).alias("v"))
+    whole = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("w"))
+    return whole.select(F.explode(F.array(*[F.struct(F.lit(k).alias("exit_layer"), F.slice("w", 1, k).alias("weight"))
+                                            for k in LAYERS])).alias("n")).select("n.*")
+
+
+def with_virtual_tokens(hidden: DataFrame) -> DataFrame:
+    """Two positions without a target in front of each sequence (its own first states again)."""
+    later = hidden.withColumn("pos", F.col("pos") + VIRTUAL_TOKENS)
+    return later.unionByName(hidden.where(F.col("pos") < VIRTUAL_TOKENS).withColumn(
+        "target", F.lit(None).cast("int")))
+
+
+def partial_teacher(hidden: DataFrame) -> DataFrame:
+    """The full layer, without position 3 of every fifth sequence."""
+    return hidden.where((F.col("exit_layer") == FULL_LAYER) & ~((F.col("seq_id") % 5 == 0) & (F.col("pos") == 3)))
+
+
 def token_labels(embeddings: DataFrame) -> DataFrame:
     """``(seq_id, pos, label)`` with every eleventh label ignored."""
     return embeddings.select(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from offramp.operators.chat import BOS
 from offramp.plans.catalog import EOS, MAX_LEN, MIXER, PAD, THRESHOLDS, UNK, VOCAB
-from offramp.plans.inputs import (EXITS, FULL_LAYER, IGNORE_EVERY, LAYERS, POSITIONS,
-                                  SEQUENCES_PER_BATCH)
+from offramp.plans.inputs import (EXITS, FULL_LAYER, IGNORE_EVERY, LAYERS, POSITIONS, ROTATED_BY, ROTATIONS,
+                                  SEQUENCES_PER_BATCH, TOKEN_CLASSES)
 
 
 def _norm(col: str) -> str:
@@ -82,15 +82,17 @@ LOGITS = f"""{HEADS},
     mx AS (SELECT *, max(logit) OVER p AS m FROM lg WINDOW p AS (PARTITION BY vec_id, exit_layer)),
     z AS (SELECT *, m + ln(sum(exp(logit - m)) OVER (PARTITION BY vec_id, exit_layer)) AS lse FROM mx),
     lp AS (SELECT *, logit - lse AS log_p FROM z)"""
-KL_ROWS = f"""{LOGITS},
+_KL_ROWS = f""",
     klr AS (SELECT s.batch_id, s.seq_id, s.pos, s.exit_layer, sum(exp(t.log_p) * (t.log_p - s.log_p)) AS kl
         FROM lp s JOIN lp t ON s.vec_id = t.vec_id AND s.token_id = t.token_id AND t.exit_layer = {FULL_LAYER}
         WHERE s.exit_layer <> {FULL_LAYER} GROUP BY ALL)"""
-LOSSES = f"""{KL_ROWS},
+KL_ROWS = LOGITS + _KL_ROWS
+_LOSSES = """,
     kl AS (SELECT batch_id, exit_layer, sum(kl) / count(DISTINCT seq_id) AS kl_loss FROM klr GROUP BY ALL),
     ce AS (SELECT batch_id, exit_layer, avg(-log_p) AS ce_loss FROM lp WHERE token_id = label GROUP BY ALL),
     losses AS (SELECT batch_id, exit_layer, ce_loss, kl_loss FROM ce LEFT JOIN kl USING (batch_id, exit_layer)),
     means AS (SELECT batch_id, avg(ce_loss) AS ce_mean, avg(kl_loss) AS kl_mean FROM losses GROUP BY batch_id)"""
+LOSSES = KL_ROWS + _LOSSES
 PREDICTED = f"""{LOGITS},
     pred AS (SELECT seq_id, pos, exit_layer, label, token_id AS token, exp(log_p) AS confidence FROM lp
         QUALIFY row_number() OVER (PARTITION BY vec_id, exit_layer ORDER BY logit DESC, token_id) = 1)"""
@@ -106,6 +108,22 @@ DECIDED = f"""{PREDICTED},
         round(accuracy, 4) AS accuracy, round(mean_layers, 4) AS mean_layers,
         round(1.0 - mean_layers / {FULL_LAYER}, 4) AS compute_saved FROM stat JOIN tot USING (threshold))"""
 
+# The same with a head of 2,000 tokens and learned norms; the target is the vector's own class.
+VOCABULARY_LOGITS = f"""{NORMED},
+    nw AS (SELECT i, avg(abs(embedding[i]::DOUBLE) * 8.0) AS w FROM embeddings, range(1, {FULL_LAYER + 1}) g(i) GROUP BY i),
+    wts AS (SELECT list(w ORDER BY i) AS weight FROM nw),
+    hd AS (SELECT exit_layer, vec_id % {TOKEN_CLASSES} AS c, i, avg(v[i]) AS w FROM nrm, range(1, {FULL_LAYER + 1}) g(i)
+        WHERE i <= exit_layer GROUP BY ALL),
+    cls AS (SELECT exit_layer, c, list(w ORDER BY i) AS w FROM hd GROUP BY ALL),
+    head AS (SELECT exit_layer, (c * {ROTATIONS} + j)::INTEGER AS token_id,
+        list_concat(w[{ROTATED_BY} * j + 1:], w[1:{ROTATED_BY} * j]) AS w FROM cls, range(0, {ROTATIONS}) r(j)),
+    own AS (SELECT * EXCLUDE (v), list_transform(v, lambda x, i: x * weight[i]) AS v FROM nrm, wts),
+    lg AS (SELECT seq_id, pos, batch_id, n.exit_layer, vec_id, (vec_id % {TOKEN_CLASSES}) * {ROTATIONS} AS label, token_id,
+        list_dot_product(v, w) AS logit FROM own n JOIN head USING (exit_layer)),
+    mx AS (SELECT *, max(logit) OVER p AS m FROM lg WINDOW p AS (PARTITION BY vec_id, exit_layer)),
+    z AS (SELECT *, m + ln(sum(exp(logit - m)) OVER (PARTITION BY vec_id, exit_layer)) AS lse FROM mx),
+    lp AS (SELECT *, logit - lse AS log_p FROM z)"""
+
 CE_NAMES = ", ".join(f"round(max(ce_loss) FILTER (exit_layer = {k}), 4) AS ce_loss_{k}" for k in LAYERS)
 KL_NAMES = ", ".join(f"round(max(kl_loss) FILTER (exit_layer = {k}), 4) AS kl_loss_{k}" for k in EXITS)
 
@@ -209,7 +227,8 @@ ORACLE = {
     "exit_losses_stats": f"""WITH {LOSSES} SELECT batch_id, exit_layer, round(ce_loss, 4) AS ce_loss,
         round(kl_loss, 4) AS kl_loss FROM losses""",
     "early_exit_stats": EARLY_EXIT,
-    "prune_depth": f"WITH {HIDDEN} SELECT exit_layer, count(*) AS n FROM hid WHERE exit_layer <= 32 GROUP BY exit_layer",
+    "prune_depth": f"""WITH {HIDDEN} SELECT seq_id, pos, exit_layer,
+        round(list_sum(list_transform(h, lambda x, i: x * i)), 4) AS weighed FROM hid WHERE exit_layer <= 32""",
     "last_positions": f"""WITH {HIDDEN} SELECT seq_id, pos, exit_layer FROM hid
         QUALIFY pos >= max(pos) OVER (PARTITION BY seq_id) - 1""",
     "virtual_tokens": f"WITH {HIDDEN} SELECT seq_id, pos - 3 AS pos, exit_layer, label FROM hid WHERE pos >= 3",
@@ -256,6 +275,34 @@ ORACLE = {
     "evaluate_step": f"""WITH {LOSSES}, wide AS (SELECT batch_id, {CE_NAMES}, {KL_NAMES} FROM losses GROUP BY batch_id)
         SELECT wide.*, round(ce_mean, 4) AS ce_mean, round(kl_mean, 4) AS kl_mean,
         round(kl_mean + 0.5 * ce_mean, 4) AS loss FROM wide JOIN means USING (batch_id)""",
+    "evaluate_step_no_kl": f"""WITH {LOSSES}, wide AS (SELECT batch_id, {CE_NAMES} FROM losses GROUP BY batch_id)
+        SELECT wide.*, round(ce_mean, 4) AS ce_mean, 0.0::DOUBLE AS kl_mean, round(0.5 * ce_mean, 4) AS loss
+        FROM wide JOIN means USING (batch_id)""",
+    "evaluate_step_teacher": f"""WITH {KL_ROWS},
+        kl AS (SELECT batch_id, exit_layer, sum(kl) / count(DISTINCT seq_id) AS kl_loss FROM klr
+            WHERE NOT (seq_id % 5 = 0 AND pos = 3) GROUP BY ALL),
+        ce AS (SELECT batch_id, exit_layer, avg(-log_p) AS ce_loss FROM lp WHERE token_id = label
+            AND NOT (exit_layer = {FULL_LAYER} AND seq_id % 5 = 0 AND pos = 3) GROUP BY ALL),
+        losses AS (SELECT batch_id, exit_layer, ce_loss, kl_loss FROM ce LEFT JOIN kl USING (batch_id, exit_layer)),
+        wide AS (SELECT batch_id, {CE_NAMES}, {KL_NAMES}, avg(ce_loss) FILTER (exit_layer <> {FULL_LAYER}) AS c,
+            avg(kl_loss) AS k FROM losses GROUP BY batch_id)
+        SELECT * EXCLUDE (c, k), round(c, 4) AS ce_mean, round(k, 4) AS kl_mean, round(k + 0.5 * c, 4) AS loss FROM wide""",
+    "vocabulary_stats": f"""WITH {VOCABULARY_LOGITS} {_KL_ROWS}, s AS (SELECT seq_id, pos, exit_layer,
+        arg_min(token_id, (-logit, token_id)) AS token, max(lse) AS lse, max(logit) AS top,
+        max(logit) FILTER (token_id = label) AS target_logit FROM lp GROUP BY seq_id, pos, exit_layer)
+        SELECT seq_id, pos, exit_layer, token, round(lse, 4) AS lse, round(top, 4) AS top,
+        round(target_logit, 4) AS target_logit, round(kl, 4) AS kl FROM s
+        LEFT JOIN (SELECT seq_id, pos, exit_layer, kl FROM klr) USING (seq_id, pos, exit_layer)""",
+    "vocabulary_step": f"""WITH {VOCABULARY_LOGITS} {_KL_ROWS} {_LOSSES},
+        wide AS (SELECT batch_id, {CE_NAMES}, {KL_NAMES} FROM losses GROUP BY batch_id)
+        SELECT wide.*, round(ce_mean, 4) AS ce_mean, round(kl_mean, 4) AS kl_mean,
+        round(kl_mean + 0.5 * ce_mean, 4) AS loss FROM wide JOIN means USING (batch_id)""",
+    "vocabulary_exits": f"""WITH {VOCABULARY_LOGITS}, pred AS (SELECT seq_id, pos, exit_layer, token_id AS token,
+        exp(log_p) AS confidence FROM lp
+        QUALIFY row_number() OVER (PARTITION BY vec_id, exit_layer ORDER BY logit DESC, token_id) = 1)
+        SELECT seq_id, pos, exit_layer AS chosen_exit, token, round(confidence, 4) AS confidence FROM pred
+        WHERE confidence > 0.01 OR exit_layer = {FULL_LAYER}
+        QUALIFY row_number() OVER (PARTITION BY seq_id, pos ORDER BY exit_layer) = 1""",
     "exit_report": f"""WITH {DECIDED}, c AS (SELECT exit_layer, round(avg(-log_p), 4) AS ce_loss FROM lp
         WHERE token_id = label GROUP BY exit_layer),
         k AS (SELECT s.exit_layer, round(sum(exp(t.log_p) * (t.log_p - s.log_p)) / count(DISTINCT s.seq_id), 4) AS kl_loss

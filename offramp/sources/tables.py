@@ -79,15 +79,17 @@ def write_shards(df: DataFrame, path: str, key: str | Sequence[str], num_shards:
     writer.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, path: str, key: str = "seq_id", buckets: int = 64) -> None:
-    """Save as a table bucketed and sorted by ``key``.
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "seq_id", buckets: int = 64,
+                   then_by: Sequence[str] = ()) -> None:
+    """Save as a table bucketed by ``key`` and sorted by it and ``then_by``.
 
     Rows of a sequence then already share a partition: pairing exits with their teacher, attaching
-    targets and deciding exits on such tables plan no exchange. Worth it for logits and hidden
-    states that are read more than once.
+    targets and deciding exits on such tables plan no exchange, and neither does a join with
+    another table of as many buckets on ``key`` and more (with the session's
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off). Worth it for logits and hidden states that are read more than once.
     """
     (df.repartition(buckets, key).write.mode("overwrite").option("path", path)
-     .bucketBy(buckets, key).sortBy(key).saveAsTable(table))
+     .bucketBy(buckets, key).sortBy(key, *then_by).saveAsTable(table))
 
 
 def fingerprint(settings: Mapping[str, object]) -> str:

@@ -4,6 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from offramp.functions.vectors import rms_norm
+from offramp.operators import exits as E
 from offramp.operators import head_blocks as B
 from offramp.operators import heads as H
 from offramp.operators import losses as L
@@ -66,6 +67,59 @@ def test_block_stats(spark, block_bytes):
         assert r["target_logit"] == pytest.approx(x[r["target"]])
 
 
+@pytest.mark.parametrize("block_bytes", [1, 5 * 6 * 8, 1 << 20])
+@pytest.mark.parametrize("tied", [False, True])
+def test_block_stats_equal_dense_logits(spark, block_bytes, tied):
+    """Norm weights, the best k, NaN and missing teachers: as from the logits themselves."""
+    hidden, heads, _ = _data(spark)
+    broken = F.when((F.col("seq_id") == 2) & (F.col("pos") == 1) & (F.col("exit_layer") == 4),
+                    F.transform("h", lambda x, i: F.when(i == 0, F.lit(float("nan"))).otherwise(x))).otherwise(F.col("h"))
+    hidden = hidden.withColumn("h", broken).where("not (seq_id = 3 and exit_layer = 8)").withColumn("batch_id", F.col("seq_id") % 3)
+    norms = spark.createDataFrame([(4, [1.0, 2.0, 0.5, 1.0, 3.0, 1.0]), (8, [0.5] * 6)], "exit_layer int, weight array<double>")
+    if tied:
+        heads = heads.where("exit_layer = 8").drop("exit_layer")
+    logits = H.exit_head_logits(hidden, heads, tied, norm_weights=norms)
+    stats = B.exit_head_stats(hidden, heads, "target", block_bytes=block_bytes, tied=tied, teacher_layer=8, norm_weights=norms, k=3)
+    key = lambda r: (r["seq_id"], r["pos"], r["exit_layer"])
+    want = {key(r): r for r in E.exit_prediction(logits, k=3).collect()}
+    got = {key(r): r for r in E.predictions_from_stats(stats).collect()}
+    assert got.keys() == want.keys()
+    for at, r in want.items():
+        if at == (2, 1, 4):
+            assert np.isnan(got[at]["lse"]) and np.isnan(got[at]["kl"]) and np.isnan(got[at]["confidence"])
+            continue
+        assert got[at]["token"] == r["token"] and got[at]["confidence"] == pytest.approx(r["confidence"])
+        assert [e["token"] for e in got[at]["top"]] == [e["token"] for e in r["top"]]
+        assert [e["confidence"] for e in got[at]["top"]] == pytest.approx([e["confidence"] for e in r["top"]])
+        assert (got[at]["kl"] is None) == (at[2] == 8 or at[0] == 3)
+    whole = {(r["batch_id"], r["exit_layer"]): r for r in L.exit_losses_from_stats(stats, 8).collect()}
+    for r in L.exit_losses(logits, 8).collect():
+        for name in ("ce_loss", "kl_loss"):
+            other = whole[r["batch_id"], r["exit_layer"]][name]
+            assert (other is None) == (r[name] is None)
+            assert r[name] is None or other == pytest.approx(r[name], nan_ok=True)
+
+
+def test_a_target_outside_the_vocabulary_raises(spark):
+    hidden, heads, _ = _data(spark)
+    unknown = hidden.withColumn("target", F.when(F.col("seq_id") == 1, 99).otherwise(F.col("target")))
+    with pytest.raises(PySparkException, match="target outside the vocabulary"):
+        B.exit_head_stats(unknown, heads, "target").collect()
+    with pytest.raises(PySparkException, match="target outside the vocabulary"):
+        L.exit_ce_loss(H.exit_head_logits(unknown, heads), by=()).collect()
+
+
+def test_hidden_states_are_scanned_once(spark, tmp_path):
+    hidden, heads, z = _data(spark)
+    hidden.write.parquet(f"{tmp_path}/hidden")
+    stored = B.store_heads(heads, block_bytes=1)
+    assert len(stored.blocks[4]) == 23
+    stats = B.exit_head_stats(spark.read.parquet(f"{tmp_path}/hidden"), stored, "target")
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert stats.count() == len(z)
+
+
 def test_block_stats_without_target(spark):
     hidden, heads, _ = _data(spark)
     ignored = hidden.withColumn("target", F.when(F.col("pos") > 0, F.lit(-100)))

@@ -10,7 +10,9 @@ from offramp.plans.catalog import QUERIES
 from offramp.operators import losses as L
 from offramp.operators.exits import early_exit_policy, exit_prediction
 from offramp.operators.ordering import bucket_of
-from offramp.plans.inputs import EXITS, FULL_LAYER, exit_logits
+from offramp.operators.heads import exit_head_logits
+from offramp.plans.inputs import (EXITS, FULL_LAYER, exit_heads, exit_hidden, exit_logits, partial_teacher, table,
+                                  with_virtual_tokens)
 from offramp.session import is_small, scratch_path
 from offramp.sources.tables import write_bucketed
 
@@ -34,7 +36,7 @@ def test_no_product_joins_and_no_single_task_windows(spark, small, name):
 @pytest.mark.parametrize("name,columns", [
     ("scan_project", {"doc_id", "lang", "n_chars"}), ("shuffle_rank", {"doc_id"}),
     ("batch_plan", {"doc_id"}), ("vocab", {"doc_id", "text"}), ("token_budget", {"text"}),
-    ("metric_window", {"event_id", "event_type", "value"}), ("decontaminate", {"doc_id", "text", "lang", "n_chars"}),
+    ("metric_window", {"vec_id", "embedding", "label"}), ("decontaminate", {"doc_id", "text", "lang", "n_chars"}),
 ])
 def test_scans_read_only_what_is_needed(spark, small, name, columns):
     plan = plan_of(QUERIES[name](spark, small))
@@ -85,3 +87,37 @@ def test_bucketed_logits_need_no_exchange(spark, small):
         assert a.keys() == set(EXITS) and all(a[k] == pytest.approx(b[k]) for k in a)
     finally:
         spark.sql("DROP TABLE bucketed_logits")
+
+
+def test_a_bucketed_teacher_joins_without_exchange(spark, small):
+    """Student and teacher in two tables, the student's positions two further on."""
+    embeddings = table(spark, small, "embeddings")
+    heads, hidden = exit_heads(exit_hidden(embeddings)), exit_hidden(embeddings).withColumn("target", F.col("label"))
+    student = exit_head_logits(with_virtual_tokens(hidden).where(F.col("exit_layer") != FULL_LAYER), heads)
+    teacher = exit_head_logits(partial_teacher(hidden), heads)
+    write_bucketed(student, "t_student", scratch_path(spark, "t-student"), "seq_id", 8, ("pos",))
+    write_bucketed(teacher, "t_teacher", scratch_path(spark, "t-teacher"), "seq_id", 8, ("pos",))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        loss = L.exit_losses(spark.table("t_student"), FULL_LAYER, by=(), teacher=spark.table("t_teacher"), virtual_tokens=2)
+        plan = plan_of(loss)
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning(seq_id" not in plan
+        assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(exit_layer" in plan
+        got = {r["exit_layer"]: r for r in loss.collect()}
+        want = {r["exit_layer"]: r for r in L.exit_losses(student, FULL_LAYER, by=(), teacher=teacher, virtual_tokens=2).collect()}
+        assert got.keys() == want.keys() == set(EXITS)
+        for k in EXITS:
+            assert got[k]["kl_loss"] == pytest.approx(want[k]["kl_loss"]) and got[k]["ce_loss"] == pytest.approx(want[k]["ce_loss"])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        spark.sql("DROP TABLE t_student")
+        spark.sql("DROP TABLE t_teacher")
+
+
+def test_no_weight_plans_no_divergence(spark, small):
+    plan = plan_of(QUERIES["evaluate_step_no_kl"](spark, small))
+    assert "Window" not in plan and "hashpartitioning(seq_id" not in plan
