@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def int_div(a: Column, b: Column | int) -> Column:
 
 def as_column(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name based on ``base`` that the table does not have (in any case)."""
+    taken, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name

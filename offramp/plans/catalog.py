@@ -13,8 +13,8 @@ from offramp.functions.vectors import log_softmax, rms_norm
 from offramp.operators import chat, decontaminate as decon, exits, head_blocks, heads, losses, metrics
 from offramp.operators import ordering, sequences, userfuncs
 from offramp.plans import jobs
-from offramp.plans.inputs import (EXITS, FULL_LAYER, ROTATIONS, VIRTUAL_TOKENS, event_metrics, examples, exit_heads,
-                                  exit_hidden, exit_logits, norm_weights, partial_teacher, table, token_class,
+from offramp.plans.inputs import (EXITS, FULL_LAYER, ROTATIONS, VIRTUAL_TOKENS, asked_examples, event_metrics, examples,
+                                  exit_heads, exit_hidden, exit_logits, large_benchmark, norm_weights, partial_teacher, table, token_class,
                                   token_labels, vocabulary_heads, with_virtual_tokens)
 from offramp.session import scratch_path, spread_small
 from offramp.sources import tables
@@ -93,7 +93,7 @@ def stream_examples(spark, d):
     stream = tables.stream_examples(spark, f"{d}/documents.parquet", schema)
     path, checkpoint = scratch_path(spark, "streamed"), scratch_path(spark, "streamed-state")
     streams.run_prepare(stream.select("doc_id", "lang", "n_chars"), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+    return streams.read_prepared(spark, path)
 
 
 def write_metrics(spark, d):
@@ -164,6 +164,14 @@ def decontaminate_join(spark, d):
     return kept.select("doc_id", "lang", "n_chars")
 
 
+def decontaminate_template(spark, d):
+    """Thousands of items that differ in their first and last word only."""
+    docs = table(spark, d, "documents")
+    asked = asked_examples(docs).select("doc_id", F.concat_ws("\n", "prompt", "text").alias("text"))
+    bench = large_benchmark(table(spark, d, "benchmark"), docs)
+    return decon.decontaminate(asked, bench, max_local_items=0).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def decon_report(spark, d):
     flagged = decon.flag_contaminated(_documents(spark, d), table(spark, d, "benchmark"))
     return decon.decontamination_report(flagged).select(
@@ -467,7 +475,18 @@ def stream_prepare(spark, d):
     prepared = streams.prepare_stream(stream, decon.load_benchmark(table(spark, d, "benchmark")), system=True)
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     streams.run_prepare(prepared, path, checkpoint).awaitTermination()
-    return spark.read.parquet(path).select("doc_id", F.md5("text").alias("text_md5"))
+    return streams.read_prepared(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def stream_prepare_large(spark, d):
+    """A benchmark beyond the bounds of a literal, nearly all of it of one template."""
+    docs = table(spark, d, "documents")
+    stream = asked_examples(tables.stream_examples(spark, f"{d}/documents.parquet", docs.schema))
+    benchmark = decon.load_benchmark(large_benchmark(table(spark, d, "benchmark"), docs))
+    prepared = streams.prepare_stream(stream, benchmark, system=True)
+    path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    streams.run_prepare(prepared, path, checkpoint, benchmark).awaitTermination()
+    return streams.read_prepared(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def stream_metrics(spark, d):
@@ -575,7 +594,7 @@ QUERIES = {
     "conversation_parts": conversation_parts, "system_msg": system_msg,
     "chat_template": chat_template, "chat_template_prompt": chat_template_prompt,
     "trim_text": trim_text, "normalize": normalize, "decontaminate": decontaminate,
-    "decontaminate_join": decontaminate_join, "decon_report": decon_report,
+    "decontaminate_join": decontaminate_join, "decontaminate_template": decontaminate_template, "decon_report": decon_report,
     "split": split, "select_split": select_split, "preview": preview,
     "shuffle_rank": shuffle_rank, "seeded_shuffle": seeded_shuffle, "vocab": vocab,
     "encode": encode, "encode_join": encode_join, "pack": pack, "truncate": truncate,
@@ -592,7 +611,7 @@ QUERIES = {
     "dataset_summary": dataset_summary, "exit_pred": exit_pred,
     "exit_pred_top3": exit_pred_top3, "fixed_exit": fixed_exit, "early_exit": early_exit,
     "exit_stats": exit_stats, "exit_sweep": exit_sweep, "invalid_exits": invalid_exits,
-    "stream_prepare": stream_prepare, "stream_metrics": stream_metrics,
+    "stream_prepare": stream_prepare, "stream_prepare_large": stream_prepare_large, "stream_metrics": stream_metrics,
     "map_examples": map_examples, "filter_batches": filter_batches,
     "prepare_corpus": prepare_corpus, "evaluate_step": evaluate_step,
     "evaluate_step_no_kl": evaluate_step_no_kl, "evaluate_step_teacher": evaluate_step_teacher,

@@ -36,6 +36,20 @@ def examples(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", prompt.alias("prompt"), "text")
 
 
+def asked_examples(documents: DataFrame) -> DataFrame:
+    """Documents with a prompt from one template: ``(doc_id, prompt, text)``."""
+    prompt = F.concat(F.lit("Question q"), "doc_id", F.lit(" has its answer in the archive of "), "lang", F.col("doc_id") % 9)
+    return documents.select("doc_id", prompt.alias("prompt"), "text")
+
+
+def large_benchmark(bench: DataFrame, documents: DataFrame) -> DataFrame:
+    """The benchmark and five questions for each document, all of the same template: ``(text)``."""
+    number = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("j")
+    asked = documents.select("doc_id", "lang", number).select(
+        F.concat(F.lit("q"), F.col("doc_id") * 7, F.lit(" has its answer in the archive of "), "lang", "j").alias("text"))
+    return bench.select("text").unionByName(asked)
+
+
 def exit_hidden(embeddings: DataFrame) -> DataFrame:
     """Hidden states of every exit, eight vectors to a sequence, eight sequences to a batch."""
     states = F.array(*[F.struct(F.lit(k).alias("exit_layer"),

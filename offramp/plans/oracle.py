@@ -43,6 +43,17 @@ def _templated_hits(text: str) -> str:
     JOIN (SELECT {_norm('text')} AS b FROM benchmark) b ON contains(d.t, b.b))"""
 
 
+ASKED = "'Question q' || doc_id || ' has its answer in the archive of ' || lang || (doc_id % 9)"
+LARGE_BENCHMARK = """items AS (SELECT text AS b FROM benchmark UNION
+    SELECT 'q' || (doc_id * 7) || ' has its answer in the archive of ' || lang || j FROM documents, range(1, 6) r(j))"""
+
+
+def _large_hits(text: str) -> str:
+    return f"""t AS (SELECT doc_id, {text} AS text FROM documents), {LARGE_BENCHMARK},
+    hits AS (SELECT DISTINCT d.doc_id FROM (SELECT doc_id, {_norm('text')} AS t FROM t) d
+    JOIN (SELECT {_norm('b')} AS b FROM items) b ON contains(d.t, b.b))"""
+
+
 # Conversations: messages in order, with an empty system message where none is first.
 TURNS = "turns AS (SELECT conv_id, turn, role, text FROM conversations)"
 SYSTEM_TURNS = """turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
@@ -176,6 +187,10 @@ ORACLE = {
     "normalize": f"SELECT doc_id, md5({_norm('text')}) AS text_md5 FROM documents",
     "decontaminate": DECONTAMINATED,
     "decontaminate_join": DECONTAMINATED,
+    "decontaminate_template": f"""WITH {_large_hits(f"{ASKED} || chr(10) || text")}
+        SELECT doc_id, md5(text) AS text_md5 FROM t WHERE doc_id NOT IN (SELECT doc_id FROM hits)""",
+    "stream_prepare_large": f"""WITH {_large_hits(f"'{BOS}' || {EMPTY_SYSTEM} || {_rendered(repr('user'), ASKED)} || {_rendered(repr('assistant'), 'text')}")}
+        SELECT doc_id, md5(text) AS text_md5 FROM t WHERE doc_id NOT IN (SELECT doc_id FROM hits)""",
     "decon_report": f"""WITH {HITS} SELECT count(*) AS rows_before, count(h.doc_id) AS removed,
         count(*) - count(h.doc_id) AS kept, round(count(h.doc_id) / count(*) * 100.0, 4) AS removed_percent
         FROM documents d LEFT JOIN hits h USING (doc_id)""",

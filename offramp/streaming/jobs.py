@@ -7,47 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from offramp.operators.chat import BOS, apply_chat_template, build_messages, insert_empty_system
-from offramp.operators.decontaminate import Benchmark, decontaminate
+from offramp.operators.decontaminate import Benchmark, benchmark_hits, decontaminate, without_hits
 from offramp.operators.metrics import log_window
 
 
+# The column in which prepared rows of a stream carry their hits on a large benchmark.
+HITS = "_benchmark_hits"
+
+
 def prepare_stream(examples: DataFrame, benchmark: Benchmark | None = None, bos: str = BOS,
                    system: bool = False, key: str = "doc_id") -> DataFrame:
     """Messages, template and decontamination of streamed ``(key, prompt, text)`` rows.
 
-    Every step works on its own row, so the stream keeps no state. The benchmark must be within
-    the row-local bounds; for a larger one use ``run_prepare_batches``.
+    Every step works on its own row, so the stream keeps no state. A small benchmark decides the
+    row. Of a large one the row gets its hits on the Bloom filter of the anchors, which ``run_prepare``
+    confirms by joining each micro-batch with the items.
     """
     df = build_messages(examples) if "messages" not in examples.columns else examples
     df = apply_chat_template(insert_empty_system(df, system), bos)
-    if benchmark is not None:
-        df = decontaminate(df, benchmark, "text", key)
-    return df
+    if benchmark is None:
+        return df
+    if benchmark.is_local:
+        return decontaminate(df, benchmark, "text", key)
+    return df.withColumn(HITS, benchmark_hits("text", benchmark))
 
 
-def run_prepare(prepared: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_prepare(prepared: DataFrame, path: str, checkpoint: str, benchmark: Benchmark | None = None) -> StreamingQuery:
     """Process all files present, then stop. Started again on the same checkpoint, only new
-    files are read and no row is written twice."""
-    return (prepared.writeStream.format("parquet").outputMode("append")
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
+    files are read and no row is written twice: each micro-batch has its own folder, replaced when it
+    is repeated. ``read_prepared`` reads them.
 
-def run_prepare_batches(examples: DataFrame, benchmark: Benchmark, path: str, checkpoint: str,
-                        bos: str = BOS, system: bool = False, key: str = "doc_id") -> StreamingQuery:
-    """``prepare_stream`` and ``run_prepare`` for a benchmark of any size.
-
-    A stream cannot be joined back to itself, which the plan for large benchmarks does; within a
-    micro-batch it can. Each micro-batch has its own folder, replaced when it is repeated.
+    ``benchmark`` is the one ``prepare_stream`` was given; it is needed if it is a large one.
     """
+    confirm = HITS in prepared.columns
+    if confirm and benchmark is None:
+        raise ValueError("the rows carry hits on a large benchmark: give it to run_prepare too")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        prepared = prepare_stream(batch, benchmark, bos, system, key)
-        prepared.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        kept = without_hits(batch, HITS, benchmark) if confirm else batch
+        kept.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
-    return (examples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (prepared.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def read_prepared(spark: SparkSession, path: str) -> DataFrame:
+    """All rows written by ``run_prepare``."""
+    return spark.read.parquet(path).drop("batch_id")
+
+
 def window_means(metrics: DataFrame, every: int = 10) -> DataFrame:
     """Running ``log_window`` of a metric stream: a mean per run, window and name. The state has a
     row for each of them and is kept, as a late step may come at any time: steps / ``every`` rows a name."""

@@ -1,9 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from offramp.functions.bloom import build_filter, held_by, run_hashes
+from offramp.functions.text import normalize_text
+from offramp.operators import decontaminate as D
 from offramp.operators.decontaminate import (Benchmark, decontaminate, decontamination_report,
                                              flag_contaminated, load_benchmark)
 
@@ -109,3 +113,71 @@ def test_literals_are_folded(spark, small):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "cast(split(" not in text and "Join" not in text
     assert plan.where(F.lit(True)).count() > 0
+
+
+def test_templates_give_pairs_linear_in_the_texts(spark):
+    """5,000 items that differ in their ends only, 20,000 texts with the template."""
+    phrase = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    bench = spark.range(5_000).select(F.concat(F.lit("a"), F.col("id") % 70, F.lit(f" {phrase} end"), "id").alias("text"))
+    texts = spark.range(20_000).select("id", F.concat(
+        F.lit("see xa"), F.col("id") % 71, F.lit(f" {phrase} END"), F.col("id") % 9_000, F.lit("x and more")).alias("text"))
+    benchmark = load_benchmark(bench)
+    assert not benchmark.is_local
+    hits = texts.select("id", "text", D.benchmark_hits("text", benchmark).alias("hits"))
+    suspects = hits.select(F.sha2("text", 256).alias("digest"), normalize_text("text").alias("norm"), "hits")
+    pairs = D.candidate_pairs(suspects, benchmark).count()
+    flagged = {r["id"] for r in flag_contaminated(texts, benchmark, key="id").where("contaminated").collect()}
+    want = {i for i in range(20_000)
+            for n in {int(str(i % 9_000)[:k]) for k in range(1, len(str(i % 9_000)) + 1)}
+            if n < 5_000 and n % 70 == i % 71}
+    assert flagged == want and len(want) > 50
+    assert pairs <= 4 * 20_000
+
+
+@pytest.mark.parametrize("items", [
+    ["ab cd", "ab ce", "ab cf"], [f"abcdefgh{i}" for i in range(30)], [f"abcdefgh i{i}" for i in range(30)],
+    [f"x{i} mid" for i in range(30)], [f"x{i} m n y{i % 3}" for i in range(30)],
+    [" ".join(["t"] * n) for n in range(3, 40)], [f"{i} t t t t t t t t {i % 4}" for i in range(40)]])
+def test_shared_anchors(spark, monkeypatch, items):
+    monkeypatch.setattr(D, "MANY_ITEMS", 2)
+    rng = random.Random(len(items))
+    docs = [f"pre {i} post" for i in items[::2]] + [f"pre{i}post" for i in items[::3]] + [i[1:] for i in items] + [i[:-1] for i in items]
+    docs += [f"{rng.choice(items)} {rng.choice(items)[:5]} t t t {rng.choice(items)[3:]}" for _ in range(40)] + ["t " * 60, "none of it"]
+    assert _flagged(spark, docs, items, False) == _expected(docs, items)
+
+
+def test_runs_are_hashed_alike(spark):
+    rng = np.random.default_rng(4)
+    parts = rng.integers(-2**63, 2**63 - 1, 20)
+    df = spark.createDataFrame([([int(x) for x in parts],)], "h array<bigint>")
+    for kind in (1, 3, 8, -1, -5, -8):
+        want = df.select(D._shingles(F.col("h"), abs(kind), kind).alias("s")).first()["s"]
+        assert run_hashes(parts, abs(kind), kind).tolist() == want and len(want) == 21 - abs(kind)
+    assert len(run_hashes(parts[:2], 3, 3)) == 0
+
+
+def test_the_filter_misses_no_key(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-2**63, 2**63 - 1, 30_000)
+    df = spark.createDataFrame([(int(k),) for k in keys[:20_000]] + [(None,)], "key bigint")
+    blocks = build_filter(df, "key", 20_000)
+    assert len(held_by(blocks, keys[:20_000])) == 20_000
+    assert len(held_by(blocks, keys[20_000:])) < 100
+    small = build_filter(df, "key", 20_000, max_bytes=1_000)
+    assert len(held_by(small, keys[:20_000])) == 20_000 and small.nbytes <= 1_000
+    assert len(held_by(build_filter(df.limit(0), "key", 0), keys)) == 0
+
+
+def test_clean_texts_stay_where_they_are(spark, small):
+    """Two scans of the texts; only those with hits are exchanged."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    bench = load_benchmark(spark.read.parquet(f"{small}/benchmark.parquet"), max_local_items=0)
+    plan = flag_contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, LONG, "a", "b"), (2, "clean", "c", "d")], "doc_id long, text string, _digest string, _held string")
+    bench = spark.createDataFrame([(0, LONG)], "item_id long, text string")
+    kept = decontaminate(df, bench, max_local_items=0)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", "c", "d")]

@@ -123,7 +123,7 @@ def test_stream_equals_batch_and_resumes(spark, documents, files, medium, n):
 
     assert len(run()) == n
     assert run() == []
-    rows = spark.read.parquet(out)
+    rows = streams.read_prepared(spark, out)
     assert rows.count() == 974 and sorted(rows.collect()) == sorted(batch.collect())
     documents.limit(5).withColumn("doc_id", F.col("doc_id") + 10**6).coalesce(1).write.mode("append").parquet(files[n])
     assert len(run()) == 1
@@ -135,15 +135,16 @@ def test_stream_with_a_large_benchmark(spark, documents, medium):
     source = scratch_path(spark, "t-large")
     documents.repartition(2, "doc_id").write.parquet(source)
     benchmark = load_benchmark(spark.read.parquet(f"{medium}/benchmark.parquet"), max_local_items=0)
-    with pytest.raises(ValueError):
-        streams.prepare_stream(examples(T.stream_examples(spark, source, documents.schema)), benchmark)
     out, state = scratch_path(spark, "t-large-out"), scratch_path(spark, "t-large-state")
     for _ in range(2):
         stream = examples(T.stream_examples(spark, source, documents.schema))
-        streams.run_prepare_batches(stream, benchmark, out, state).awaitTermination()
+        prepared = streams.prepare_stream(stream, benchmark)
+        with pytest.raises(ValueError):
+            streams.run_prepare(prepared, out, state)
+        streams.run_prepare(prepared, out, state, benchmark).awaitTermination()
     settings = jobs.CorpusSettings(decontaminate=True)
     batch = jobs.template_corpus(examples(documents), settings, benchmark)
-    assert sorted(spark.read.parquet(out).drop("batch_id").collect()) == sorted(batch.collect())
+    assert sorted(streams.read_prepared(spark, out).collect()) == sorted(batch.collect())
     assert batch.count() == 974
 
 
