@@ -10,14 +10,21 @@ every row into the same bucket again.
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offramp.functions.columns import as_column, let
 from offramp.functions.hashing import digest_number, seeded_digest
 
+# The summaries travel to the tasks by value: executors need numpy and pyarrow, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROWS_PER_BUCKET = 1_000_000
 # The bound on everything that grows with the bucket count: the totals table that is
 # broadcast, and the list of cut points.
@@ -25,28 +32,63 @@ MAX_BUCKETS = 65_536
 KEYS_PER_BUCKET = 20
 
 
-def key_splits(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
-               max_buckets: int = MAX_BUCKETS) -> list[int]:
-    """Cut points that put about ``rows_per_bucket`` rows between neighbours.
+def _points(step: int):
+    """A weighted summary of a task's keys: ``(key, n)`` says that key stands for ``n`` steps of weight.
 
-    Keys are whole numbers. They are counted, then a hash-chosen part of them, about
-    ``KEYS_PER_BUCKET`` to a bucket, comes to the driver and is cut evenly (a range
-    partitioner does the same). The choice only steers how even the buckets are; every row
-    is placed by its own key. At least one bucket per shuffle partition is made, so that the
-    work spreads.
+    Along the keys of each batch in order, a point is set at every multiple of ``step``, from a start that
+    depends on the task. Summaries of several tasks merge by adding up; a key repeated any number of
+    times is one row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = (TaskContext.get().partitionId() * 0x9E3779B1) % step
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.argsort(key, kind="stable")
+            passed = np.concatenate([[0], (carried + np.cumsum(weight[order])) // step])
+            hits = np.diff(passed)
+            carried = int(carried + weight.sum()) % step
+            set_ = hits > 0
+            keys, which = np.unique(np.concatenate([keys, key[order][set_]]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([counts, hits[set_]]), len(keys)).astype(np.int64)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+    return run
+
+
+def weighted_splits(df: DataFrame, key: str, weight: Column, weight_per_bucket: int,
+                    max_buckets: int = MAX_BUCKETS) -> list[int]:
+    """Cut points that put about ``weight_per_bucket`` between neighbours.
+
+    Keys are whole numbers (null keys take no part), weights whole numbers of zero or more. The weights are
+    summed, then each task sums up its keys as a row for every twentieth part of a bucket; these
+    rows, at most ``KEYS_PER_BUCKET`` to a bucket and one a key and task, are added up and cut evenly.
+    The choice only steers how even the buckets are; every row is placed by its own key. At least one
+    bucket per shuffle partition is made, so that the work spreads.
     """
-    keys = df.select(F.col(key).cast("bigint").alias("k")).where(F.col("k").isNotNull())
-    rows = keys.count()
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(weight, F.lit(0)).cast("bigint").alias("n"))
+    rows = rows.where(F.col("key").isNotNull())
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(max_buckets, max(1, math.ceil(rows / rows_per_bucket), min(parts, rows)))
-    if buckets <= 1:
+    buckets = min(max_buckets, max(1, math.ceil(found["total"] / weight_per_bucket), min(parts, found["rows"])))
+    if buckets <= 1 or not found["total"]:
         return []
-    wanted = KEYS_PER_BUCKET * buckets
-    one_in = max(1, rows // wanted)
-    chosen = keys if one_in == 1 else keys.where(F.pmod(F.xxhash64("k"), F.lit(one_in)) == 0)
-    found = np.sort(chosen.toArrow()["k"].to_numpy())
-    cuts = found[[len(found) * i // buckets for i in range(1, buckets)]] if len(found) else []
-    return sorted({int(cut) for cut in cuts})
+    step = max(1, found["total"] // (KEYS_PER_BUCKET * buckets))
+    points = rows.mapInArrow(_points(step), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = points["key"].to_numpy(), points["n"].to_numpy()
+    order = np.argsort(keys)
+    before = np.cumsum(counts[order]) - counts[order]
+    wanted = counts.sum() * np.arange(1, buckets) / buckets
+    at = np.searchsorted(before, wanted, "right") - 1
+    # the last key that begins at or before the wanted weight ends its bucket, unless it begins one there
+    return sorted({int(k) for k in keys[order][np.minimum(at + (before[at] < wanted), len(keys) - 1)]})
+
+
+def key_splits(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+               max_buckets: int = MAX_BUCKETS) -> list[int]:
+    """Cut points that put about ``rows_per_bucket`` rows between neighbours."""
+    return weighted_splits(df, key, F.lit(1), rows_per_bucket, max_buckets)
 
 
 def bucket_of(key: Column | str, splits: list) -> Column:
@@ -67,16 +109,19 @@ def bucket_of(key: Column | str, splits: list) -> Column:
 
 
 def prefix_sum(df: DataFrame, key: str, weight: Column, name: str, splits: list[int] | None = None,
-               bucket: Column | None = None) -> DataFrame:
+               bucket: Column | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Add the sum of ``weight`` over all rows with a smaller key, as BIGINT column ``name``.
 
-    Keys must be unique. ``splits`` come from ``key_splits`` (computed here if not given);
-    a ``bucket`` expression that never falls as the key rises may be given instead.
+    Keys must be unique. ``splits`` come from ``key_splits`` or ``weighted_splits`` (computed here if
+    not given); a ``bucket`` expression that never falls as the key rises may be given instead. The bucket
+    totals are summed from ``weights``, a table ``(key, n)`` of the same keys and weights, if
+    there is one: wide rows are then read once.
     """
     if bucket is None:
         bucket = bucket_of(key, key_splits(df, key) if splits is None else splits)
     rows = df.withColumn("_bucket", bucket).withColumn("_weight", weight.cast("bigint"))
-    totals = rows.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
+    summed = rows if weights is None else weights.withColumns({"_bucket": bucket, "_weight": F.col("n")})
+    totals = summed.groupBy("_bucket").agg(F.sum("_weight").alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most MAX_BUCKETS rows: one row per bucket.
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

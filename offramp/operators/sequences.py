@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from offramp.functions.columns import as_column, int_div, let
 from offramp.functions.kernels import token_encoder
 from offramp.functions.text import words
-from offramp.operators.ordering import prefix_sum, row_index
+from offramp.operators.ordering import prefix_sum, row_index, weighted_splits
+from offramp.session import scratch_path
 
 # Fixed value: the label that losses leave out.
 IGNORE_LABEL = -100
 
+# Tokens that a task of packing sorts, on average (4 bytes each).
+TOKENS_PER_BUCKET = 16_000_000
+
 # A vocabulary up to this size is sent to the tasks as a value; a larger one is joined.
 MAX_LOCAL_VOCAB = 1_000_000
 
@@ -73,7 +77,9 @@ def pack_sequences(df: DataFrame, key: str, max_len: int, eos: int, ids: str = "
     """Join all rows in key order, each followed by ``eos``, and cut into blocks of ``max_len``.
 
     Returns ``(seq_id, input_ids)``; the last block is dropped unless it is full. ``key`` is unique.
-    The start of each row comes from ``prefix_sum``, so no task sees the whole stream; a row is
+    The keys and token counts are stored once, as a narrow table; cut points of about equal
+    tokens and the totals come from it, and the ids are read once. The start of each row comes from
+    ``prefix_sum``, so no task sees the whole stream or sorts more than a bucket's tokens; a row is
     cut into the pieces it gives to each block before they are exploded, so a very long row
     is neither copied per piece nor kept together. ``length`` may give the token count of a row
     when it is known more cheaply than by building the ids.
@@ -81,8 +87,13 @@ def pack_sequences(df: DataFrame, key: str, max_len: int, eos: int, ids: str = "
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
     count = F.coalesce(length if length is not None else F.size(ids), F.lit(0)).cast("bigint") + 1
+    path = scratch_path(df.sparkSession, "lengths")
+    df.select(key, count.alias("n")).write.parquet(path)
+    lengths = df.sparkSession.read.parquet(path)
+    if splits is None:
+        splits = weighted_splits(lengths, key, F.col("n"), TOKENS_PER_BUCKET)
     placed = prefix_sum(df.select(key, F.col(ids).alias("_ids"), count.alias("_n")),
-                        key, F.col("_n"), "_start", splits)
+                        key, F.col("_n"), "_start", splits, weights=lengths)
     tokens = F.concat(F.coalesce("_ids", F.array().cast("array<int>")),
                       F.array(F.lit(eos).cast("int")))
     width = F.lit(max_len).cast("bigint")
@@ -176,17 +187,17 @@ def cap_steps(plan: DataFrame, max_steps: int) -> DataFrame:
 def token_budget(df: DataFrame, per_device: int, accum: int, world: int = 8,
                  max_steps: int | None = None, ids: str = "input_ids",
                  mask: str | None = "attention_mask", size: Column | None = None,
-                 real: Column | None = None) -> DataFrame:
+                 real: Column | None = None, sequences: Column | None = None) -> DataFrame:
     """Sequences, token slots, real tokens, padding share, and full steps available and used.
 
     ``size`` and ``real`` (token slots and real tokens of a row) may be given directly when the
-    arrays need not be built for counting.
+    arrays need not be built for counting, and ``sequences`` when a row stands for several.
     """
     size = (F.size(ids) if size is None else size).cast("bigint")
     if real is None:
         real = F.aggregate(as_column(mask), F.lit(0), lambda a, m: a + m) if mask else size
     step = per_device * accum * world
-    n = F.count(F.lit(1))
+    n = F.count(F.lit(1)) if sequences is None else F.coalesce(F.sum(sequences.cast("bigint")), F.lit(0))
     slots = F.coalesce(F.sum(size), F.lit(0))
     tokens = F.coalesce(F.sum(real.cast("bigint")), F.lit(0))
     available = int_div(n, step)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -199,8 +199,15 @@ def shuffle_rank(spark, d):
 
 
 def seeded_shuffle(spark, d):
+    """Each row's place in the shuffled table: partitions and the rows in them, in order."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return ordering.seeded_shuffle(docs, 42, "doc_id")
+    shuffled = ordering.seeded_shuffle(docs, 42, "doc_id", 8).select(
+        "*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = shuffled.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return shuffled.join(F.broadcast(sizes), "part").select(
+        "doc_id", "lang", (F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
 
 
 # Sequences
@@ -276,11 +283,9 @@ def cap_steps(spark, d):
 
 def token_budget(spark, d):
     """All tokens of all documents in parts of MAX_LEN; three of the available steps are used."""
-    parts = F.ceil(word_count("text") / MAX_LEN)
-    docs = table(spark, d, "documents").select(word_count("text").alias("n"), F.explode(
-        F.sequence(F.lit(1).cast("bigint"), parts)).alias("part"))
-    real = F.least(F.col("n") - (F.col("part") - 1) * MAX_LEN, F.lit(MAX_LEN))
-    budget = sequences.token_budget(docs, 4, 2, 8, max_steps=3, size=F.lit(MAX_LEN), real=real)
+    docs = table(spark, d, "documents").select(word_count("text").alias("n"))
+    parts = F.ceil(F.col("n") / MAX_LEN)
+    budget = sequences.token_budget(docs, 4, 2, 8, max_steps=3, size=parts * MAX_LEN, real=F.col("n"), sequences=parts)
     return budget.withColumn("padding_share", F.round("padding_share", 4))
 
 

@@ -200,7 +200,8 @@ ORACLE = {
         ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 3""",
     "shuffle_rank": """SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS rank
         FROM documents""",
-    "seeded_shuffle": "SELECT doc_id, lang FROM documents",
+    "seeded_shuffle": """SELECT doc_id, lang,
+        row_number() OVER (ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) - 1 AS place FROM documents""",
     "vocab": f"WITH {VOCABULARY} SELECT token, token_id, n FROM vocab",
     "encode": ENCODE,
     "encode_join": ENCODE,

@@ -1,6 +1,7 @@
 import bisect
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,32 @@ def test_splits_are_even_for_clustered_keys(spark):
     assert sizes <= 60 and len(splits) >= 15
 
 
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_buckets_of_skewed_weights_are_even(spark, partitions):
+    """A few rows weigh as much as thousands of others: buckets are even by weight."""
+    rng = np.random.default_rng(1)
+    weights = np.minimum(rng.lognormal(3, 2, 40_000).astype(int) + 1, 20_000)
+    weights[:4000] = 1
+    df = spark.createDataFrame(list(enumerate(weights.tolist())), "k long, w long").repartition(partitions)
+    per_bucket = int(weights.sum()) // 60
+    splits = ordering.weighted_splits(df, "k", F.col("w"), per_bucket)
+    sums = [r[1] for r in df.groupBy(ordering.bucket_of("k", splits)).agg(F.sum("w")).collect()]
+    assert 50 <= len(sums) <= 61 and max(sums) <= 2 * sum(sums) / len(sums)
+    # by rows, the same cuts would be uneven
+    by_rows = ordering.key_splits(df, "k", 40_000 // 60)
+    assert max(r[1] for r in df.groupBy(ordering.bucket_of("k", by_rows)).agg(F.sum("w")).collect()) > max(sums)
+
+
+def test_a_repeated_key_is_one_row(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") < 150_000, 7).otherwise(F.col("id")).alias("k")).repartition(4)
+    points = df.select("k", F.lit(1).cast("bigint").alias("n")).mapInArrow(ordering._points(100), "key bigint, n bigint")
+    rows = points.collect()
+    assert sum(r["key"] == 7 for r in rows) == 4 and abs(sum(r["n"] for r in rows) - 2_000) <= 4
+    splits = ordering.key_splits(df, "k", 10_000)
+    assert 5 <= len(splits) <= 20 and len(set(splits)) == len(splits)
+    assert ordering.weighted_splits(df, "k", F.lit(0), 10) == []
+
+
 def test_bucket_count_is_bounded(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert len(ordering.key_splits(df, "k", 1, max_buckets=16)) <= 15
