@@ -530,6 +530,17 @@ def prepare_corpus(spark, d):
     return prepared.select("doc_id", F.md5("text").alias("text_md5"))
 
 
+def prepare_corpus_full(spark, d):
+    """Every source whole, prepared twice: the second time its set is found again."""
+    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
+    settings = jobs.CorpusSettings(mixer={lang: 1.0 for lang in MIXER}, empty_system=True, decontaminate=True)
+    parts = {lang: examples(docs.where(F.col("lang") == lang)) for lang in MIXER}
+    path = scratch_path(spark, "corpus")
+    jobs.prepare_corpus(spark, parts, path, settings, bench, num_shards=8)
+    prepared = jobs.prepare_corpus(spark, parts, path, settings, bench, num_shards=8)
+    return prepared.select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def evaluate_step(spark, d):
     embeddings = table(spark, d, "embeddings")
     hidden = exit_hidden(spread_small(embeddings, "vec_id")).withColumn("target", F.col("label"))
@@ -618,7 +629,7 @@ QUERIES = {
     "exit_stats": exit_stats, "exit_sweep": exit_sweep, "invalid_exits": invalid_exits,
     "stream_prepare": stream_prepare, "stream_prepare_large": stream_prepare_large, "stream_metrics": stream_metrics,
     "map_examples": map_examples, "filter_batches": filter_batches,
-    "prepare_corpus": prepare_corpus, "evaluate_step": evaluate_step,
+    "prepare_corpus": prepare_corpus, "prepare_corpus_full": prepare_corpus_full, "evaluate_step": evaluate_step,
     "evaluate_step_no_kl": evaluate_step_no_kl, "evaluate_step_teacher": evaluate_step_teacher,
     "vocabulary_stats": vocabulary_stats, "vocabulary_step": vocabulary_step, "vocabulary_exits": vocabulary_exits,
     "exit_report": exit_report,

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offramp.operators.chat import BOS, apply_chat_template, build_messages, insert_empty_system
-from offramp.operators.decontaminate import Benchmark, decontaminate
+from offramp.operators.decontaminate import Benchmark, decontaminate, load_benchmark
 from offramp.operators.exits import (early_exit_policy, exit_prediction, fixed_exit,
                                      predictions_from_stats, validate_exit_layers)
 from offramp.operators.head_blocks import StoredHeads, exit_head_stats
 from offramp.operators.heads import exit_head_logits, prune_depth
 from offramp.operators.losses import exit_ce_loss, exit_losses, exit_losses_from_stats
 from offramp.operators.metrics import loss_metrics, metric_columns, metric_log
-from offramp.sources.tables import mix_datasets, prepare_or_load
+from offramp.sources.tables import fingerprint, mix_datasets, prepare_or_load
 
 
 @dataclass(frozen=True)
@@ -68,17 +69,37 @@ def template_corpus(df: DataFrame, settings: CorpusSettings,
 def prepare_corpus(spark: SparkSession, sources: Mapping[str, DataFrame], path: str,
                    settings: CorpusSettings, benchmark: DataFrame | None = None,
                    key: str = "doc_id", num_shards: int = 64) -> DataFrame:
-    """Mix, template, decontaminate and store; or load what these settings stored before."""
-    def build() -> DataFrame:
-        fractions = settings.mixer or {name: 1.0 for name in sources}
-        mixed = mix_datasets({name: (sources[name], f) for name, f in fractions.items()},
-                             settings.seed, key)
+    """Mix, template, decontaminate and store; or load what was stored before.
+
+    Each source with a fraction above zero has a set of its own, named after what it was made from:
+    its settings, its rows and the benchmark's. When one source, or its fraction, changes, only that one is
+    prepared again; a changed benchmark prepares all of them.
+    """
+    fractions = dict(settings.mixer) or {name: 1.0 for name in sources}
+    unknown = sorted(set(fractions) - set(sources))
+    if unknown:
+        raise ValueError(f"no such sources: {unknown}")
+    wanted = [name for name, f in fractions.items() if f != 0.0] or list(fractions)[:1]
+    loaded: list[Benchmark] = []
+
+    def build(name: str) -> DataFrame:
+        mixed = mix_datasets({name: (sources[name], fractions[name])}, settings.seed, key)
         if "split" in mixed.columns:
             mixed = mixed.where(F.col("split") == settings.split).drop("split")
-        return template_corpus(mixed, settings, benchmark, key)
-
-    described = {**asdict(settings), "sources": sorted(sources), "key": key, "shards": num_shards}
-    return prepare_or_load(spark, path, build, described, key, num_shards)
+        if settings.decontaminate and benchmark is not None and not loaded:
+            loaded.append(load_benchmark(benchmark, "text", settings.ngram))
+        return template_corpus(mixed, settings, loaded[0] if loaded else None, key)
+
+    shards = max(1, num_shards // len(wanted))
+    common = {k: v for k, v in asdict(settings).items() if k != "mixer"} | {"key": key, "shards": shards}
+    parts = []
+    for name in wanted:
+        inputs = {"source": sources[name]}
+        if settings.decontaminate and benchmark is not None:
+            inputs["benchmark"] = benchmark
+        parts.append(prepare_or_load(spark, f"{path.rstrip('/')}/{fingerprint({'source': name})}", partial(build, name),
+                                     common | {"source": name, "fraction": fractions[name]}, key, shards, inputs))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _scored_layers(hidden: DataFrame, settings: DistillSettings) -> DataFrame:

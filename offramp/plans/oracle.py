@@ -288,6 +288,8 @@ ORACLE = {
     "filter_batches": "SELECT doc_id, n_chars FROM documents WHERE length(text) > 1000",
     "prepare_corpus": f"""WITH {_templated_hits(TEMPLATED_SYSTEM)} SELECT doc_id, md5(text) AS text_md5 FROM t
         WHERE ({MIXED}) AND doc_id NOT IN (SELECT doc_id FROM hits)""",
+    "prepare_corpus_full": f"""WITH {_templated_hits(TEMPLATED_SYSTEM)} SELECT doc_id, md5(text) AS text_md5 FROM t
+        WHERE doc_id NOT IN (SELECT doc_id FROM hits)""",
     "evaluate_step": f"""WITH {LOSSES}, wide AS (SELECT batch_id, {CE_NAMES}, {KL_NAMES} FROM losses GROUP BY batch_id)
         SELECT wide.*, round(ce_mean, 4) AS ce_mean, round(kl_mean, 4) AS kl_mean,
         round(kl_mean + 0.5 * ce_mean, 4) AS loss FROM wide JOIN means USING (batch_id)""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -109,17 +111,89 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return files.exists(marker)
 
 
+def _listed(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Length and modification time of the files (given as URLs), from one listing of each folder."""
+    listed: dict[str, dict[str, tuple[int, int]]] = {}
+    found = {}
+    for file in files:
+        folder, name = unquote(file).rsplit("/", 1)
+        if folder not in listed:
+            location, system = _file_system(spark, folder)
+            listed[folder] = {s.getPath().getName(): (s.getLen(), s.getModificationTime())
+                              for s in system.listStatus(location)}
+        found[file] = listed[folder][name]
+    return found
+
+
+def _file_digests(df: DataFrame) -> DataFrame:
+    """``(file, rows, low, high)``: sums over the hashes of a file's rows, the same in any order."""
+    row = F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
+    return (df.select(F.input_file_name().alias("file"), row.alias("h")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("h").bitwiseAND(F.lit((1 << 31) - 1))).alias("low"),
+        F.sum(F.shiftrightunsigned("h", 31)).alias("high")))
+
+
+def content_digest(df: DataFrame, manifest: str) -> str:
+    """A hash of the rows of a table, whatever their order or files.
+
+    The digest of each file it is read from is kept in ``manifest``, a folder, with the file's length and
+    time, for this way of reading it. Only files that are new or changed are read again; a file
+    that was only rewritten with the same rows leaves the digest as it was.
+    """
+    spark = df.sparkSession
+    plan = df._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    reading = hashlib.sha256(plan.encode("utf-8")).hexdigest()[:16]
+    files = _listed(spark, df.inputFiles())
+    location, system = _file_system(spark, manifest)
+    known = {}
+    if system.exists(location):
+        rows = spark.read.parquet(manifest).where(F.col("reading") == reading).collect()
+        known = {(r["file"], r["length"], r["modified"]): (r["rows"], r["low"], r["high"]) for r in rows}
+    current = {f: known.get((f, *status)) for f, status in files.items()}
+    missing = [f for f, digest in current.items() if digest is None]
+    if not files:  # not read from files: all of it is one
+        return _digest_of([tuple(r)[1:] for r in _file_digests(df).collect()])
+    if missing:
+        rows = df if len(missing) == len(files) else _only(df, missing)
+        counted = {r["file"]: (r["rows"], r["low"], r["high"]) for r in _file_digests(rows).collect()}
+        if "" in counted:  # beyond a shuffle, rows have no file
+            return _digest_of([tuple(r)[1:] for r in _file_digests(df).collect()])
+        current |= {f: counted.get(f, (0, 0, 0)) for f in missing}
+        spark.createDataFrame([(reading, f, *files[f], *current[f]) for f in missing],
+                              "reading string, file string, length bigint, modified bigint, rows bigint, low bigint, "
+                              "high bigint").coalesce(1).write.mode("append").parquet(manifest)
+    return _digest_of(list(current.values()))
+
+
+def _only(df: DataFrame, files: Sequence[str]) -> DataFrame:
+    """The rows read from these files; the others are not opened where the table is a plain scan."""
+    try:
+        # a local file's path has one slash there and three in its URL
+        return df.where(F.col("_metadata.file_path").isin([*files, *(f.replace(":///", ":/", 1) for f in files)]))
+    except AnalysisException:
+        return df.where(F.input_file_name().isin(list(files)))
+
+
+def _digest_of(parts: Sequence[tuple[int, int, int]]) -> str:
+    return hashlib.sha256(",".join(str(sum(p[i] or 0 for p in parts)) for i in range(3)).encode()).hexdigest()[:32]
+
+
 def prepare_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                     settings: Mapping[str, object], key: str | Sequence[str] = "doc_id",
-                    num_shards: int = 64) -> DataFrame:
+                    num_shards: int = 64, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Load the set prepared with these settings; build and write it first if there is none.
 
-    The folder name carries the fingerprint of the settings, so changed settings never read
-    a stale set, and a write that did not finish is done again.
+    The folder name carries the fingerprint of the settings and of the rows of ``inputs``, so
+    changed settings or inputs never read a stale set, and a write that did not finish is done
+    again. Inputs whose files are unchanged are not read to find that out.
     """
     if not path:
         raise ValueError("prepare_or_load needs a path")
-    target = f"{path.rstrip('/')}/set-{fingerprint(settings)}"
+    root = path.rstrip("/")
+    described = dict(settings)
+    if inputs:
+        described["inputs"] = {name: content_digest(df, f"{root}/manifest") for name, df in inputs.items()}
+    target = f"{root}/set-{fingerprint(described)}"
     if not is_complete(spark, target):
         write_shards(build(), target, key, num_shards)
     return spark.read.parquet(target)

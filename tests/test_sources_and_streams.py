@@ -87,6 +87,65 @@ def test_prepared_set_is_reused_until_settings_change(spark):
         T.prepare_or_load(spark, "", build, {})
 
 
+def _sets(path):
+    """Modification times of all complete sets below a path."""
+    import os
+    return {m: os.stat(m).st_mtime_ns for m in glob.glob(f"{path}/**/_SUCCESS", recursive=True) if "/set-" in m}
+
+
+def test_only_what_changed_is_prepared_again(spark):
+    folder, path = scratch_path(spark, "t-in"), scratch_path(spark, "t-out")
+    rows = lambda low, high: spark.range(low, high).selectExpr("id AS doc_id", "concat('p', id) AS prompt", "concat('text ', id) AS text")
+    for name, low in (("a", 0), ("b", 1000)):
+        rows(low, low + 40).repartition(3).write.parquet(f"{folder}/{name}")
+    bench = lambda: spark.read.parquet(f"{folder}/bench")
+    spark.createDataFrame([("text 7<|eot_id|>",)], "text string").write.parquet(f"{folder}/bench")
+    settings = jobs.CorpusSettings(mixer={"a": 1.0, "b": 0.5}, decontaminate=True)
+
+    def prepared(**changes):
+        from dataclasses import replace
+        sources = {n: spark.read.parquet(f"{folder}/{n}") for n in ("a", "b")}
+        return jobs.prepare_corpus(spark, sources, path, replace(settings, **changes), bench(), num_shards=4)
+
+    first = prepared().count()
+    before = _sets(path)
+    assert len(before) == 2 and prepared().count() == first and _sets(path) == before
+    # the same rows in other files: nothing to do
+    spark.read.parquet(f"{folder}/a").coalesce(1).write.parquet(f"{folder}/a2")
+    rows(0, 0).write.mode("overwrite").parquet(f"{folder}/a")
+    spark.read.parquet(f"{folder}/a2").write.mode("overwrite").parquet(f"{folder}/a")
+    assert prepared().count() == first and _sets(path) == before
+    # one source grows, then its fraction changes: the other one's set stays
+    rows(5000, 5010).coalesce(1).write.mode("append").parquet(f"{folder}/a")
+    assert prepared().count() == first + 10
+    grown = _sets(path)
+    assert len(grown) == 3 and all(grown[k] == t for k, t in before.items())
+    assert prepared(mixer={"a": 1.0, "b": 1.0}).count() > first + 10 and len(_sets(path)) == 4
+    # another benchmark: both again
+    spark.createDataFrame([("text 8<|eot_id|>",), ("text 7<|eot_id|>",)], "text string").write.mode("overwrite").parquet(f"{folder}/bench")
+    assert prepared().count() == first + 9 and len(_sets(path)) == 6
+    with pytest.raises(ValueError, match="no such sources"):
+        prepared(mixer={"c": 1.0})
+
+
+def test_content_digests(spark):
+    folder = scratch_path(spark, "t-digest")
+    df = spark.range(50).selectExpr("id", "if(id % 7 = 0, null, concat('x', id)) AS t", "array(id, id + 1) AS v", "map('k', id) AS m")
+    df.repartition(4).write.parquet(f"{folder}/in dir")
+    read = lambda: spark.read.parquet(f"{folder}/in dir")
+    digest = T.content_digest(read(), f"{folder}/m")
+    assert T.content_digest(read(), f"{folder}/m") == digest == T.content_digest(df, f"{folder}/m")
+    known = spark.read.parquet(f"{folder}/m")
+    assert known.count() == len(read().inputFiles()) and known.agg(F.sum("rows")).first()[0] == 50
+    part = T.content_digest(read().where("id < 30"), f"{folder}/m")
+    assert part != digest and part == T.content_digest(df.where("id < 30"), f"{folder}/m")
+    df.limit(1).coalesce(1).write.mode("append").parquet(f"{folder}/in dir")
+    assert T.content_digest(read(), f"{folder}/m") != digest
+    assert spark.read.parquet(f"{folder}/m").where(F.col("rows") == 1).count() == 1
+    assert T.content_digest(read().groupBy("id").count(), f"{folder}/m") == T.content_digest(
+        spark.range(50).selectExpr("id", "if(id = 0, 2L, 1L) AS count"), f"{folder}/m")
+
+
 def test_metrics_append(spark):
     path = scratch_path(spark, "t-metrics")
     rows = spark.createDataFrame([("r", 1, "ce_loss", 4, 0.5)],
