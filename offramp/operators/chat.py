@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offramp.functions.columns import int_div
+from offramp.functions.columns import fresh_name, int_div
 from offramp.functions.text import py_trim
+from offramp.session import scratch_path
 
 MESSAGE = "struct<role:string,content:string>"
 
@@ -37,18 +38,27 @@ def collect_turns(df: DataFrame, conv: str = "conv_id", order: str = "turn", rol
     numbered by ``part`` from its first message on, so no group is larger than that however long a
     conversation gets, and the parts of one conversation are built by different tasks. ``is_first``
     and ``is_last`` come from the conversation's smallest and largest number.
+
+    The bounds of the long conversations are found first, from the numbers alone, and stored; they meet
+    the messages as a broadcast while Spark finds them small. Messages are exchanged once.
     """
     if max_messages < 1:
         raise ValueError("max_messages must be at least 1")
-    span = df.groupBy(F.col(conv).alias("_conv")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    rows = df.join(span, F.col(conv).eqNullSafe(F.col("_conv")))
+    spark, low, high, name = df.sparkSession, fresh_name(df, "low"), fresh_name(df, "high"), fresh_name(df, "conv")
+    span = df.groupBy(F.col(conv).alias(name)).agg(F.min(order).alias(low), F.max(order).alias(high))
+    path = scratch_path(spark, "long-conversations")
+    span.where(F.col(high) - F.col(low) >= max_messages).write.parquet(path)
+    rows = df.join(spark.read.schema(span.schema).parquet(path), F.col(conv).eqNullSafe(F.col(name)), "left")
     entry = F.struct(F.col(order).alias("position"), F.col(role).alias("role"), F.col(content).alias("content"))
-    part = int_div(F.col(order) - F.col("_low"), max_messages)
+    part = F.coalesce(int_div(F.col(order) - F.col(low), max_messages), F.lit(0).cast("bigint"))
+
+    def holds(bound: str) -> Column:
+        """A conversation without bounds is in one part."""
+        return F.col(bound).isNull() | F.exists("entries", lambda e: e["position"] == F.col(bound))
+
     return (rows.groupBy(conv, part.alias("part"))
-            .agg(F.array_sort(F.collect_list(entry)).alias("entries"),
-                 F.first(F.col("_low")).alias("_low"), F.first(F.col("_high")).alias("_high"))
-            .select(conv, "part", F.exists("entries", lambda e: e["position"] == F.col("_low")).alias("is_first"),
-                    F.exists("entries", lambda e: e["position"] == F.col("_high")).alias("is_last"),
+            .agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.first(low).alias(low), F.first(high).alias(high))
+            .select(conv, "part", holds(low).alias("is_first"), holds(high).alias("is_last"),
                     F.transform("entries", lambda e: F.struct(
                         e["role"].alias("role"), e["content"].alias("content"))).alias("messages")))
 

@@ -118,7 +118,7 @@ def load_benchmark(bench: DataFrame, text: str = "text", ngram: int = 8,
     """Measure the benchmark and derive its anchors.
 
     Only a benchmark within both bounds comes to the driver. Of a larger one the shingle kinds do (at most
-    two per ``ngram``) and the Bloom filter (2 bytes an anchor, 64 MB at most); its anchors are stored once.
+    two per ``ngram``) and the Bloom filter (4 bytes an anchor, 1 to 64 MB); its anchors are stored once.
     """
     anchors = benchmark_anchors(bench, text, ngram)
     size = bench.agg(F.count(F.lit(1)).alias("n"),

@@ -110,6 +110,11 @@ def _statistics(decisions: DataFrame, full_layers: int, by: Sequence[str], label
     right = (F.col("token") == F.col(label)).cast("double") if label else F.lit(None).cast("double")
     grouped = decisions.groupBy(*by, "chosen_exit").agg(
         F.count(F.lit(1)).alias("positions"), F.avg(right).alias("accuracy"))
+    return _shares(grouped, full_layers, by, label)
+
+
+def _shares(grouped: DataFrame, full_layers: int, by: Sequence[str], label: str | None) -> DataFrame:
+    """Shares, mean layers and saved compute from ``(*by, chosen_exit, positions, accuracy)``."""
     # One row per exit is left: the window below never holds more than the exits of a model.
     total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     mean_layers = (F.sum(F.col("chosen_exit") * F.col("positions")).over(total)
@@ -143,3 +148,55 @@ def threshold_sweep(preds: DataFrame, thresholds: Sequence[float], full_layer: i
         "d.threshold", F.col("d.c.exit_layer").alias("chosen_exit"), F.col("d.c.token").alias("token"),
         *[F.col(f"d.c.{name}").alias(name) for name in carried])
     return _statistics(rows, full_layer, ("threshold",), label)
+
+
+def exit_curve(preds: DataFrame, thresholds: Sequence[float], full_layer: int,
+               label: str | None = "label") -> DataFrame:
+    """``threshold_sweep`` for any number of thresholds.
+
+    Going down the exits of a position, an exit is chosen for the thresholds from the largest
+    confidence before it up to its own: one interval an exit. Where intervals begin and end is added up
+    per exit and threshold (a difference array, combined before its exchange), and running sums over
+    that small table give every threshold. The rows exchanged are the predictions, however many thresholds.
+    """
+    points = sorted({float(t) for t in thresholds})
+    if not points:
+        raise ValueError("no threshold given")
+    # One literal, cut when the plan is built.
+    bounds = F.split(F.lit(",".join(map(repr, points))), ",").cast("array<double>")
+    steps = F.lit([1 << i for i in reversed(range(len(points).bit_length()))]).cast("array<int>")
+
+    def below(value: Column) -> Column:
+        """How many thresholds are smaller, by binary search."""
+        return let(F.struct(bounds.alias("t"), value.alias("v")), lambda s: F.aggregate(
+            steps, F.lit(0), lambda low, step: F.when(F.get(s["t"], low + step - 1) < s["v"], low + step).otherwise(low)))
+
+    position = Window.partitionBy("seq_id", "pos").orderBy("exit_layer")
+    before = F.max("confidence").over(position.rowsBetween(Window.unboundedPreceding, -1))
+    right = (F.col("token") == F.col(label)).cast("bigint") if label else F.lit(None).cast("bigint")
+    last = F.col("exit_layer") == full_layer
+    reached = preds.where(F.col("exit_layer") <= full_layer).select("exit_layer", "confidence", last.alias("last"),
+                                                                  before.alias("before"), right.alias("right"))
+    intervals = reached.select(
+        "exit_layer", "right", F.when(F.col("before").isNull(), 0).otherwise(below(F.col("before"))).alias("low"),
+        F.when(F.col("last"), len(points)).when(F.col("confidence").isNull(), 0)
+        .otherwise(below(F.col("confidence"))).alias("high")).where(F.col("low") < F.col("high"))
+
+    def edge(at: str, sign: int) -> Column:
+        return F.struct(F.col(at).alias("at"), F.lit(sign).cast("bigint").alias("n"),
+                        (F.coalesce("right", F.lit(0)) * sign).alias("right"),
+                        (F.col("right").isNotNull().cast("bigint") * sign).alias("known"))
+
+    edges = intervals.select(F.col("exit_layer").alias("chosen_exit"),
+                             F.explode(F.array(edge("low", 1), edge("high", -1))).alias("e")).select("chosen_exit", "e.*")
+    changes = edges.groupBy("chosen_exit", "at").agg(*[F.sum(c).alias(c) for c in ("n", "right", "known")])
+    # At most a row per exit and threshold from here on.
+    along = Window.partitionBy("chosen_exit").orderBy("at")
+    level = {c: F.sum(c).over(along.rowsBetween(Window.unboundedPreceding, 0)) for c in ("n", "right", "known")}
+    until = F.coalesce(F.lead("at").over(along), F.lit(len(points)))
+    runs = changes.select("chosen_exit", "at", until.alias("until"), *[v.alias(c) for c, v in level.items()])
+    filled = runs.where((F.col("n") > 0) & (F.col("until") > F.col("at"))).select(
+        F.explode(F.sequence("at", F.col("until") - 1)).alias("at"), "chosen_exit", F.col("n").alias("positions"),
+        F.when(F.col("known") > 0, F.col("right") / F.col("known")).alias("accuracy"))
+    grouped = filled.select(F.get(bounds, F.col("at")).alias("threshold"), "chosen_exit", "positions", "accuracy")
+    return _shares(grouped, full_layer, ("threshold",), label)

@@ -75,6 +75,14 @@ def write_shards(spark, d):
     return spark.read.parquet(path)
 
 
+def write_shards_sized(spark, d):
+    """Files of about a megabyte."""
+    path = scratch_path(spark, "shards")
+    docs = table(spark, d, "documents")
+    tables.write_shards(docs, path, "doc_id", target_bytes=1 << 20)
+    return spark.read.parquet(path).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
 def prepare_or_load(spark, d):
     path = scratch_path(spark, "prepared")
     docs = examples(table(spark, d, "documents"))
@@ -466,6 +474,13 @@ def exit_sweep(spark, d):
         _rounded("mean_layers"), _rounded("compute_saved"))
 
 
+def exit_curve(spark, d):
+    """A thousand thresholds."""
+    return exits.exit_curve(_predictions(spark, d), [t / 1000 for t in range(1000)], FULL_LAYER).select(
+        "threshold", "chosen_exit", "positions", _rounded("share"), _rounded("accuracy"),
+        _rounded("mean_layers"), _rounded("compute_saved"))
+
+
 def invalid_exits(spark, d):
     """Layers asked for: one per label, ten apart; built: those of the heads."""
     asked = table(spark, d, "embeddings").select(((F.col("label") + 1) * 8).alias("exit_layer"))
@@ -604,7 +619,7 @@ def exit_report(spark, d):
 
 QUERIES = {
     "scan_project": scan_project, "mix_sources": mix_sources, "mix_by_column": mix_by_column,
-    "write_shards": write_shards, "prepare_or_load": prepare_or_load,
+    "write_shards": write_shards, "write_shards_sized": write_shards_sized, "prepare_or_load": prepare_or_load,
     "stream_examples": stream_examples, "write_metrics": write_metrics,
     "messages": messages, "conversation_messages": conversation_messages,
     "conversation_parts": conversation_parts, "system_msg": system_msg,
@@ -626,7 +641,7 @@ QUERIES = {
     "metric_pivot": metric_pivot, "metric_window": metric_window,
     "dataset_summary": dataset_summary, "exit_pred": exit_pred,
     "exit_pred_top3": exit_pred_top3, "fixed_exit": fixed_exit, "early_exit": early_exit,
-    "exit_stats": exit_stats, "exit_sweep": exit_sweep, "invalid_exits": invalid_exits,
+    "exit_stats": exit_stats, "exit_sweep": exit_sweep, "exit_curve": exit_curve, "invalid_exits": invalid_exits,
     "stream_prepare": stream_prepare, "stream_prepare_large": stream_prepare_large, "stream_metrics": stream_metrics,
     "map_examples": map_examples, "filter_batches": filter_batches,
     "prepare_corpus": prepare_corpus, "prepare_corpus_full": prepare_corpus_full, "evaluate_step": evaluate_step,

@@ -107,8 +107,7 @@ LOSSES = KL_ROWS + _LOSSES
 PREDICTED = f"""{LOGITS},
     pred AS (SELECT seq_id, pos, exit_layer, label, token_id AS token, exp(log_p) AS confidence FROM lp
         QUALIFY row_number() OVER (PARTITION BY vec_id, exit_layer ORDER BY logit DESC, token_id) = 1)"""
-DECIDED = f"""{PREDICTED},
-    th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::DOUBLE AS threshold),
+_DECIDED = f"""
     dec AS (SELECT threshold, seq_id, pos, exit_layer AS chosen_exit, token, confidence, label FROM pred, th
         WHERE confidence > threshold OR exit_layer = {FULL_LAYER}
         QUALIFY row_number() OVER (PARTITION BY threshold, seq_id, pos ORDER BY exit_layer) = 1),
@@ -119,6 +118,10 @@ DECIDED = f"""{PREDICTED},
         round(accuracy, 4) AS accuracy, round(mean_layers, 4) AS mean_layers,
         round(1.0 - mean_layers / {FULL_LAYER}, 4) AS compute_saved FROM stat JOIN tot USING (threshold))"""
 
+DECIDED = f"""{PREDICTED},
+    th AS (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::DOUBLE AS threshold), {_DECIDED}"""
+CURVE = f"""{PREDICTED}, th AS (SELECT (i / 1000.0)::DOUBLE AS threshold FROM range(1000) r(i)), {_DECIDED}"""
+
 # The same with a head of 2,000 tokens and learned norms; the target is the vector's own class.
 VOCABULARY_LOGITS = f"""{NORMED},
     nw AS (SELECT i, avg(abs(embedding[i]::DOUBLE) * 8.0) AS w FROM embeddings, range(1, {FULL_LAYER + 1}) g(i) GROUP BY i),
@@ -161,6 +164,7 @@ ORACLE = {
     "mix_sources": f"SELECT doc_id, lang, n_chars FROM documents WHERE {MIXED}",
     "mix_by_column": f"SELECT doc_id, lang, n_chars FROM documents WHERE {MIXED}",
     "write_shards": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
+    "write_shards_sized": "SELECT doc_id, lang, md5(text) AS text_md5 FROM documents",
     "prepare_or_load": f"SELECT doc_id, md5({TEMPLATED}) AS text_md5 FROM documents",
     "stream_examples": "SELECT doc_id, lang, n_chars FROM documents",
     "write_metrics": """SELECT 'events' AS run_id, event_type AS metric, count(*) AS n,
@@ -279,6 +283,7 @@ ORACLE = {
     "early_exit": EARLY_EXIT,
     "exit_stats": f"WITH {DECIDED} SELECT * EXCLUDE (threshold) FROM stats WHERE threshold = 0.3",
     "exit_sweep": f"WITH {DECIDED} SELECT * FROM stats",
+    "exit_curve": f"WITH {CURVE} SELECT * FROM stats",
     "invalid_exits": f"""WITH {HIDDEN} SELECT DISTINCT (label + 1) * 8 AS exit_layer FROM embeddings
         WHERE (label + 1) * 8 NOT IN (SELECT exit_layer FROM hid)""",
     "stream_prepare": f"""WITH {_templated_hits(TEMPLATED_SYSTEM)} SELECT doc_id, md5(text) AS text_md5 FROM t

@@ -5,14 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from offramp.functions.hashing import hash_below
+from offramp.operators.ordering import bucket_of
+from offramp.session import scratch_path
 
 
 def read_examples(spark: SparkSession, path: str, columns: Sequence[str] = ("prompt", "text"),
@@ -67,15 +71,66 @@ def mix_by_column(df: DataFrame, column: str, fractions: Mapping[str, float], se
     return df.where(F.col(column).isin(wanted)).where(kept)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row before compression."""
+    def of(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        if "<" in kind:
+            return F.octet_length(F.to_json(F.struct(name)))
+        return F.lit(8)
+
+    sizes = [F.coalesce(of(name, kind), F.lit(1)).cast("bigint") for name, kind in df.dtypes]
+    return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("bigint"))
+
+
+def shards_by_size(df: DataFrame, keys: Sequence[str], target_bytes: int) -> tuple[int, Column]:
+    """The number of files of about ``target_bytes`` that the rows make, and the file of each row.
+
+    The hash range of the keys is cut into cells, the bytes of the rows are summed per cell (a histogram
+    of 65,536 or about a million numbers), and cells are joined to ranges of about equal bytes. What compression
+    makes of the bytes is measured on one range that is written on trial.
+    """
+    bits = 16
+    while True:
+        cell = F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits).cast("int")
+        found = df.select(cell.alias("cell"), _row_bytes(df).alias("n")).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cells, sizes = found["cell"].to_numpy(), found["n"].to_numpy()
+        order = np.argsort(cells)
+        cells, ends = cells[order], np.cumsum(sizes[order])
+        total = int(ends[-1]) if len(ends) else 0
+        if bits == 20 or total <= target_bytes << (bits - 4):
+            break
+        bits = 20
+    if not total:
+        return 1, F.lit(0)
+    # the trial: the first cells with about a file's bytes
+    some = int(cells[np.searchsorted(ends, min(total, 2 * target_bytes))])
+    path = scratch_path(df.sparkSession, "trial")
+    df.where(cell <= some).coalesce(1).write.parquet(path)
+    location, system = _file_system(df.sparkSession, path)
+    written = system.getContentSummary(location).getLength()
+    factor = written / int(ends[np.searchsorted(cells, some)])
+    shards = max(1, round(total * factor / target_bytes))
+    cuts = cells[np.searchsorted(ends, total * np.arange(1, shards) / shards, "right")]
+    return shards, bucket_of(cell, sorted({int(c) for c in cuts}))
+
+
 def write_shards(df: DataFrame, path: str, key: str | Sequence[str], num_shards: int = 64,
-                 partition_by: Sequence[str] = ()) -> None:
-    """Write the prepared rows as ``num_shards`` files (per value of ``partition_by``).
+                 partition_by: Sequence[str] = (), target_bytes: int | None = None) -> None:
+    """Write the prepared rows as ``num_shards`` files (per value of ``partition_by``), or with
+    ``target_bytes`` as as many files of about that size as the rows make.
 
     Rows go to shards by the hash of ``key``, never round-robin, so a retried task writes the
     same file again. Use a key that is close to unique: rows of one key share a shard.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    writer = df.repartition(num_shards, *keys).write.mode("overwrite")
+    if target_bytes is None:
+        spread = df.repartition(num_shards, *keys)
+    else:
+        shards, shard = shards_by_size(df, keys, target_bytes)
+        spread = df.repartitionById(shards, shard.cast("int"))
+    writer = spread.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

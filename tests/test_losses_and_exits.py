@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -149,6 +150,38 @@ def test_known_exit_counts(spark, medium):
     assert once.count() == once.select("seq_id", "pos").distinct().count() == 500
 
 
+def test_the_curve_is_the_sweep(spark):
+    """Ties between confidences and thresholds, missing exits and full models, null and NaN confidences."""
+    rng = random.Random(9)
+    rows = []
+    for s in range(60):
+        for p in range(4):
+            for e in (4, 8, 12, 16):
+                if rng.random() < 0.85:
+                    confidence = rng.choice([None, float("nan"), 0.0, 1.0] + [k / 10 for k in range(1, 10)] * 3)
+                    rows.append((s, p, e, rng.randint(0, 2), confidence, rng.choice([None, 0, 1, 2])))
+    preds = spark.createDataFrame(rows, "seq_id long, pos int, exit_layer int, token int, confidence double, label int")
+    thresholds = [k / 20 for k in range(-1, 22)]
+    for full in (16, 12):
+        kept = preds.where(F.col("exit_layer") <= full)
+        for label in ("label", None):
+            want, got = (sorted((tuple(None if v is None else round(v, 9) for v in r)
+                                 for r in f(kept, thresholds, full, label).collect()), key=repr)
+                         for f in (E.threshold_sweep, E.exit_curve))
+            assert got == want and len(got) > 50
+    assert E.exit_curve(preds.limit(0), thresholds, 16).count() == 0
+    with pytest.raises(ValueError):
+        E.exit_curve(preds, [], 16)
+
+
+def test_a_thousand_thresholds_exchange_no_more_rows(spark, medium):
+    preds = E.exit_prediction(exit_logits(spark, medium))
+    plans = [E.exit_curve(preds, [k / n for k in range(n)], FULL_LAYER)._jdf.queryExecution().executedPlan().toString()
+             for n in (2, 1000)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange")
+    assert plans[0].count("Generate") == plans[1].count("Generate")
+
+
 def test_threshold_is_exclusive_and_order_is_by_depth(spark):
     preds = spark.createDataFrame(
         [(0, 0, 8, 1, 0.5), (0, 0, 4, 2, 0.5), (0, 0, 12, 3, 0.1), (0, 1, 4, 5, 0.6), (0, 1, 8, 6, 0.9), (0, 1, 12, 7, 1.0)],

@@ -59,6 +59,22 @@ def test_shards(spark, documents):
     assert sorted(back.collect()) == sorted(documents.select("doc_id", "lang").collect())
 
 
+@pytest.mark.parametrize("rows", [3_000, 30_000, 120_000])
+def test_shards_of_a_size(spark, rows):
+    """Whatever the number of rows, and with a tenth of them a hundred times as long."""
+    import os
+    length = F.when(F.col("id") % 10 == 0, 400).otherwise(4)
+    words = F.transform(F.sequence(F.lit(1), length), lambda i: F.hex(F.xxhash64("id", i)))
+    df = spark.range(rows).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    path, target = scratch_path(spark, "t-sized"), 600_000
+    T.write_shards(df, path, "doc_id", target_bytes=target)
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{path}/part-*.parquet")]
+    assert len(sizes) > 1 and target / 2 <= min(sizes) and max(sizes) <= 2 * target
+    assert spark.read.parquet(path).count() == rows
+    T.write_shards(df.limit(0), path, "doc_id", target_bytes=target)
+    assert spark.read.parquet(path).count() == 0
+
+
 def test_read_examples_split(spark, documents):
     path = scratch_path(spark, "t-split")
     labelled = T.assign_split(examples(documents), "doc_id", 0.2, 1)

@@ -65,6 +65,26 @@ def test_no_group_exceeds_the_bound(spark):
     assert turns.agg(F.max(F.size("messages"))).first()[0] == 3
 
 
+def test_a_long_conversation_spreads_and_short_ones_are_exchanged_once(spark, tmp_path):
+    long = spark.range(200_000).selectExpr("7L AS conv_id", "id AS turn", "'user' AS role", "concat('m', id) AS text")
+    short = spark.range(3_000).selectExpr("id div 3 + 100 AS conv_id", "id % 3 AS turn", "'user' AS role", "concat('s', id) AS text")
+    long.unionByName(short).write.parquet(f"{tmp_path}/turns")
+    turns = collect_turns(spark.read.parquet(f"{tmp_path}/turns"))
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.size("messages")).alias("n"),
+                                        F.max(F.size("messages")).alias("most"),
+                                        F.sum(F.col("is_first").cast("int")).alias("first"),
+                                        F.sum(F.col("is_last").cast("int")).alias("last")).collect()
+    assert all(r["first"] == r["last"] == 1 for r in sizes) and len(sizes) == 1_001
+    assert {(r["parts"], r["n"]) for r in sizes} == {(1, 3), (196, 200_000)} and max(r["most"] for r in sizes) == 1024
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert turns.where("conv_id = 7").select(F.spark_partition_id().alias("p")).distinct().count() >= 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_build_messages_drops_inputs(spark):
     df = build_messages(spark.createDataFrame([(1, "p", "t")], "doc_id long, prompt string, text string"))
     assert df.columns == ["doc_id", "messages"]
