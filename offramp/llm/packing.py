@@ -11,7 +11,6 @@ then dealt out to step groups of equal token counts.
 from __future__ import annotations
 
 import heapq
-import re
 import sys
 import zlib
 from bisect import bisect_right, insort
@@ -24,6 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from offramp.llm.tokens import batch_encoder
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 4096
@@ -33,85 +34,10 @@ EOS = 2
 UNIT_CHARS = 2_000_000
 #: Tokens of a step group.
 STEP_TOKENS = 65_536
-#: Distinct parts, and distinct words, whose ids a worker remembers before it starts anew.
-WORD_CACHE = 600_000
 
 PIECES = ("doc_id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, window bigint, step_id bigint")
 
-_ENCODERS: dict[str, object] = {}
-
-
-class _WordEncoder:
-    """Ids of a text by a word-level BPE tokenizer: white space is dropped and never joins
-    tokens, so a text's ids are its space-separated parts' ids, and parts are encoded once.
-
-    A part of plain letters, perhaps with a full stop or comma, is its lower-cased letters' ids and
-    the mark's: letters and marks are never one token. New words of plain letters are encoded in
-    one call; each of them is one run of letters, and only the last token of a run ends in the
-    tokenizer's end-of-word mark. Every other part is encoded by itself.
-    """
-
-    def __init__(self, path: str):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.plain = re.compile("([A-Za-zß-öø-ÿ]+)([.,]?)").fullmatch
-
-    def _alone(self, part: str) -> bytes:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u2")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(some):  # not the tokenizer described above
-                self.words.update((w, self._alone(w)) for w in some)
-                continue
-            raw = ids.tobytes()
-            start = 0
-            for word, end in zip(some, ends):
-                self.words[word] = raw[2 * start:2 * end]
-                start = end
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as unsigned 16-bit numbers."""
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        split = {}
-        for part in set(parts).difference(self.known):
-            found = self.plain(part)
-            if found:
-                split[part] = found[1].lower(), found[2]
-            else:
-                self.known[part] = self._alone(part)
-        self._learn(list({word for word, _ in split.values()}.difference(self.words)))
-        marks = {"": b"", ".": self._alone("."), ",": self._alone(",")}
-        for part, (word, mark) in split.items():
-            self.known[part] = self.words[word] + marks[mark]
-        return b"".join(map(self.known.__getitem__, parts))
-
-
-def encoder(path: str) -> _WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = _WordEncoder(path)
-    return _ENCODERS[path]
-
-
 def crc_of_ids(ids: bytes) -> int:
     """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
@@ -121,7 +47,7 @@ def _tokenized(path: str, window: int, eos: int):
     end = np.array([eos], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = batch_encoder(path)
         names = ["key", "unit", "text_hash", "start", "doc_tokens", "length", "crc", "ids"]
         kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -132,8 +58,10 @@ def _tokenized(path: str, window: int, eos: int):
 
         for batch in batches:
             at, columns, held = [], [[] for _ in range(5)], 0
-            for i, text in enumerate(batch.column(3)):
-                ids = encode(text.as_py() or "") + end
+            texts = ((first + i, found[bounds[i]:bounds[i + 1]].tobytes())
+                     for first, found, bounds in encode(batch.column(3)) for i in range(len(bounds) - 1))
+            for i, ids in texts:
+                ids += end
                 n = len(ids) // 2
                 for start in range(0, n, window):
                     part = ids[2 * start:2 * (start + window)]

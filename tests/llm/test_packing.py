@@ -5,11 +5,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from offramp.llm.packing import balanced_steps, encoder, pack_documents, plan_unit
+from offramp.llm.packing import balanced_steps, pack_documents, plan_unit
 from offramp.llm.queries import tokenizer_path
+from offramp.llm.tokens import batch_encoder
 from tests.llm.conftest import SCHEMA
 
 
@@ -105,9 +107,10 @@ def test_steps_are_balanced():
 
 
 def test_words_are_tokenized_as_whole_texts():
-    rng, encode = random.Random(6), encoder(tokenizer_path())
+    rng, encode = random.Random(7), batch_encoder(tokenizer_path())
     alphabet = list("aAbΣσςİıḰ \n\t\r\x0b\x0c\x1c\x85 　'smt059.,!#<|>‍가ßﬁ") + ["<|endoftext|>", "'s", " ", " ́"]
     for _ in range(5000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
         whole = encode.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encode(text), "<u2").tolist() == whole
+        ((_, ids, bounds),) = encode(pa.array([text]))
+        assert ids.tolist() == whole and bounds.tolist() == [0, len(whole)]
