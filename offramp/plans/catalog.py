@@ -519,6 +519,17 @@ def stream_metrics(spark, d):
     return streams.read_window_means(spark, path).select("run_id", "window", "metric", _rounded("value"), "n")
 
 
+def stream_metrics_ended(spark, d):
+    """Windows of two steps, each written once it has ended."""
+    source = scratch_path(spark, "losses")
+    rows = _loss_rows(spark, d)
+    rows.repartitionByRange(4, "step").write.parquet(source)
+    stream = tables.stream_examples(spark, source, rows.schema)
+    path, checkpoint = scratch_path(spark, "ended"), scratch_path(spark, "ended-state")
+    streams.run_ended_windows(streams.ended_windows(stream, every=2), path, checkpoint).awaitTermination()
+    return streams.read_ended_windows(spark, path).select("run_id", "window", "metric", _rounded("value"), "n")
+
+
 def map_examples(spark, d):
     docs = _documents(spark, d).select("doc_id", "lang", "text")
 
@@ -642,7 +653,7 @@ QUERIES = {
     "dataset_summary": dataset_summary, "exit_pred": exit_pred,
     "exit_pred_top3": exit_pred_top3, "fixed_exit": fixed_exit, "early_exit": early_exit,
     "exit_stats": exit_stats, "exit_sweep": exit_sweep, "exit_curve": exit_curve, "invalid_exits": invalid_exits,
-    "stream_prepare": stream_prepare, "stream_prepare_large": stream_prepare_large, "stream_metrics": stream_metrics,
+    "stream_prepare": stream_prepare, "stream_prepare_large": stream_prepare_large, "stream_metrics": stream_metrics, "stream_metrics_ended": stream_metrics_ended,
     "map_examples": map_examples, "filter_batches": filter_batches,
     "prepare_corpus": prepare_corpus, "prepare_corpus_full": prepare_corpus_full, "evaluate_step": evaluate_step,
     "evaluate_step_no_kl": evaluate_step_no_kl, "evaluate_step_teacher": evaluate_step_teacher,

@@ -141,12 +141,18 @@ VOCABULARY_LOGITS = f"""{NORMED},
 CE_NAMES = ", ".join(f"round(max(ce_loss) FILTER (exit_layer = {k}), 4) AS ce_loss_{k}" for k in LAYERS)
 KL_NAMES = ", ".join(f"round(max(kl_loss) FILTER (exit_layer = {k}), 4) AS kl_loss_{k}" for k in EXITS)
 
-METRIC_WINDOW = f"""WITH {LOSSES}, m AS (
+_METRIC_ROWS = f"""WITH {LOSSES}, m AS (
         SELECT batch_id, exit_layer, 'ce_loss' AS metric, ce_loss AS value FROM losses UNION ALL
         SELECT batch_id, exit_layer, 'kl_loss', kl_loss FROM losses WHERE kl_loss IS NOT NULL),
-    r AS (SELECT 'a' AS run_id, * FROM m UNION ALL SELECT 'b', * REPLACE (value * 2 AS value) FROM m)
+    r AS (SELECT 'a' AS run_id, * FROM m UNION ALL SELECT 'b', * REPLACE (value * 2 AS value) FROM m)"""
+METRIC_WINDOW = f"""{_METRIC_ROWS}
     SELECT run_id, batch_id // 10 AS "window", metric || '_' || exit_layer AS metric, round(avg(value), 4) AS value,
     count(value) AS n FROM r GROUP BY ALL"""
+ENDED_WINDOWS = f"""{_METRIC_ROWS},
+    s AS (SELECT run_id, batch_id // 2 AS "window", metric || '_' || exit_layer AS metric, value,
+        max(batch_id) OVER (PARTITION BY run_id, metric, exit_layer) // 2 AS open FROM r)
+    SELECT run_id, "window", metric, round(avg(value), 4) AS value, count(value) AS n FROM s
+    WHERE "window" < open GROUP BY ALL"""
 BATCH_PLAN = """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)
         SELECT doc_id, i AS index, i // 64 AS step, (i // 32) % 2 AS micro_step, (i // 4) % 8 AS rank, i % 4 AS slot
         FROM r"""
@@ -289,6 +295,7 @@ ORACLE = {
     "stream_prepare": f"""WITH {_templated_hits(TEMPLATED_SYSTEM)} SELECT doc_id, md5(text) AS text_md5 FROM t
         WHERE doc_id NOT IN (SELECT doc_id FROM hits)""",
     "stream_metrics": METRIC_WINDOW,
+    "stream_metrics_ended": ENDED_WINDOWS,
     "map_examples": "SELECT doc_id, upper(lang) AS lang FROM documents",
     "filter_batches": "SELECT doc_id, n_chars FROM documents WHERE length(text) > 1000",
     "prepare_corpus": f"""WITH {_templated_hits(TEMPLATED_SYSTEM)} SELECT doc_id, md5(text) AS text_md5 FROM t

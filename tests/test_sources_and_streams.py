@@ -1,4 +1,5 @@
 import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,46 @@ def test_stream_metrics_equal_batch(spark, medium):
     assert got == want
 
 
+def test_windows_end_once_and_leave_no_state(spark):
+    """Two runs at different steps, files in order, a restart in between, then late rows."""
+    source, out, state = (scratch_path(spark, f"t-ended-{n}") for n in ("in", "out", "state"))
+    schema = "run_id string, step bigint, metric string, exit_layer int, value double"
+
+    def rows(run, low, high):
+        return [(run, s, m, e, (s * 7 + e) % 13 / 4) for s in range(low, high) for m in ("ce_loss", "kl_loss") for e in (4, 8)]
+
+    def add(*parts):
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+            time.sleep(0.05)  # files are read in the order of their time
+
+    def run():
+        stream = T.stream_examples(spark, source, schema)
+        query = streams.run_ended_windows(streams.ended_windows(stream, late_steps=5), out, state)
+        query.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+
+    def wanted(high):
+        want = log_window(spark.read.schema(schema).parquet(source)).collect()
+        return {(r["run_id"], r["window"], r["metric"]): (round(r["value"], 9), r["n"])
+                for r in want if r["window"] < (high[r["run_id"]] - 5) // 10}
+
+    def got():
+        return {(r["run_id"], r["window"], r["metric"]): (round(r["value"], 9), r["n"])
+                for r in streams.read_ended_windows(spark, out).collect()}
+
+    add(rows("a", 1000, 1033), rows("b", 0, 17))
+    assert max(run()) == 8  # one state for each run and metric, whatever the steps
+    assert got() == wanted({"a": 1032, "b": 16}) and len(got()) == 12
+    add(rows("a", 1033, 1090), rows("b", 17, 41))
+    assert max(run()) == 8 and got() == wanted({"a": 1089, "b": 40})
+    written = spark.read.parquet(out)
+    assert written.count() == written.select("run_id", "window", "metric").distinct().count()  # each once
+    add([("b", 3, "ce_loss", 4, 100.0)])
+    run()
+    assert got() == wanted({"a": 1089, "b": 40}) and spark.read.parquet(out).count() == written.count() + 1
+
+
 def test_user_functions(spark):
     df = spark.range(30).withColumn("text", F.concat(F.lit("t"), "id"))
     mapped = userfuncs.map_examples(df, lambda d: d.withColumn("n", F.length("text")), remove_columns=["text"])
