@@ -29,9 +29,11 @@ WORDS = 5
 PERCENT = 75
 #: 32 bands of 3 slots: a pair at a similarity of 0.75 shares no band once in 4e7 pairs.
 BANDS, ROWS = 32, 3
-#: Buckets with so many members besides the pivot, or with so few outside their largest component that
-#: they make no more pairs (the square), are compared through; other ones are split.
-SMALL = 64
+#: Members of a pivot that are held against it, or against what its group has in common, in one go; a
+#: pivot with more is copied for each so many.
+HUB = 512
+#: 64-bit maps of a member's shared elements.
+MAPS = 4
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -115,7 +117,7 @@ def _features(words: int, bands: int, rows: int):
 
 def _compared(words: int):
     """Kernel over ``a, b, deep, left_text, right_text``: the set sizes, the size of the intersection
-    and, where ``deep``, the shingles of ``b`` that ``a`` lacks."""
+    and, where ``deep``, the shingles that only one of the two has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -136,10 +138,10 @@ def _compared(words: int):
                 lists[0].append(len(a))
                 lists[1].append(len(b))
                 lists[2].append(shared_count(a, b))
-                lists[3].append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if batch.column(2)[i].as_py() else None)
+                lists[3].append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if batch.column(2)[i].as_py() else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in lists[:3]), pa.array(lists[3], pa.list_(pa.int64()))],
-                names=["a", "b", "n_a", "n_b", "both", "rest"])
+                names=["a", "b", "n_a", "n_b", "both", "diff"])
 
     return run
 
@@ -160,38 +162,98 @@ def _several(buckets: DataFrame) -> DataFrame:
 
 
 def _pivoted(buckets: DataFrame) -> DataFrame:
-    """``bucket, path, v, n, pivot, pivot_n, large``: every member beside the bucket's most popular one,
-    which is left out. Popular is who shares most buckets with most others: the text that a group's
-    copies were made from shares more with each than they do among themselves."""
+    """``a, b, n, m, deep``: every member ``b`` beside the most popular one of a bucket, ``a``, once for all
+    their buckets; ``deep`` where the pivot has several. Popular is who shares most buckets with most others:
+    the text that a group's copies were made from shares more with each than they do among themselves."""
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     fame = buckets.join(sizes, "bucket").groupBy("v").agg(F.sum("size").alias("fame"))
     best = buckets.join(fame, "v").groupBy("bucket").agg(
-        F.max(F.struct("fame", -F.col("v"), F.col("v").alias("pivot"), F.col("n").alias("pivot_n"))).alias("m"),
-        (F.count(F.lit(1)) > SMALL + 1).alias("large"))
-    return stored(buckets.join(best.select("bucket", "m.pivot", "m.pivot_n", "large"), "bucket").where("v <> pivot"), "pivots")
+        F.max(F.struct("fame", -F.col("v"), F.col("v").alias("pivot"), F.col("n").alias("pivot_n"))).alias("m"))
+    met = buckets.join(best.select("bucket", F.col("m.pivot").alias("a"), F.col("m.pivot_n").alias("m")), "bucket").where("v <> a")
+    met = met.groupBy("a", F.col("v").alias("b")).agg(F.first("n").alias("n"), F.first("m").alias("m"))
+    met = stored(met, "met")
+    several = met.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("deep"))
+    return met.join(several, "a")
+
+
+def _dealt(rows: DataFrame, *groups: DataFrame) -> list[DataFrame]:
+    """``rows`` with a number ``deal`` by which large groups ``a`` fall into parts of about ``HUB`` rows, and
+    each of ``groups`` (one row per ``a``) once for every part."""
+    parts = rows.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("parts"))
+    large = parts.where("parts > 1")
+    rows = rows.join(large, "a", "left").withColumn(
+        "deal", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return [rows, *(g.join(large, "a", "left").withColumn(
+        "deal", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts") for g in groups)]
+
+
+def _centred(open_: DataFrame) -> DataFrame:
+    """``a, b, n, component, diff``: differences to what most of the group hold in place of its pivot. An
+    element of the differences of more than half of the members leaves those and enters the others'."""
+    sizes = open_.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    counts = open_.select("a", F.explode("diff").alias("x")).groupBy("a", "x").agg(F.count(F.lit(1)).alias("df"))
+    common = counts.where("df > 1").join(sizes, "a").where("2 * df > size").groupBy("a").agg(F.collect_list("x").alias("common"))
+    rows, common = _dealt(open_, common)
+    rows = rows.join(common, ["a", "deal"], "left")
+    turned = F.concat(F.array_except("diff", "common"), F.array_except("common", "diff"))
+    return stored(rows.select("a", "b", "n", "component", F.when(F.col("common").isNull(), F.col("diff")).otherwise(turned).alias("diff")), "centred")
+
+
+def _weighed(centred: DataFrame, percent: int) -> DataFrame:
+    """The members with ``size`` of their difference, ``w``, ``outer`` and the group's ``near``.
+
+    Sets s and b are linked if the sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum
+    of their sizes. With differences S and B to one common set they differ in |S| + |B| - 2 |S & B|; so with
+    ``w = (100 + percent) * |S| - (100 - percent) * |s|`` they are linked just if their w
+    add up to no more than ``2 * (100 + percent) * |S & B|``. Thus who has w up to that of the smallest one
+    turned negative is linked with that one (``near``), and these links unite all pairs whose w add up to zero or
+    less. ``outer`` are the others that ``near`` is not yet united with.
+    """
+    rows = centred.withColumn("size", F.size("diff").cast("bigint"))
+    rows = rows.withColumn("w", (100 + percent) * F.col("size") - (100 - percent) * F.col("n"))
+    least = rows.groupBy("a").agg(F.min(F.struct("w", F.col("b").alias("near"), "component")).alias("least"))
+    rows, least = _dealt(rows, least)
+    return rows.join(least, ["a", "deal"]).select(
+        "a", "b", "n", "component", "diff", "size", "w", "least.near", F.col("least.w").alias("least"),
+        ((F.col("component") != F.col("least.component")) & (F.col("w") + F.col("least.w") > 0)).alias("outer"))
 
 
-def _residual_buckets(rests: DataFrame, percent: int) -> DataFrame:
-    """``bucket, path, v, n``, ``component``: the members of a pivot's buckets under shingles the pivot
-    lacks. ``path`` tells the pivots that were left out on the way here, in any order: buckets meet
-    again only behind the same pivots, so every round leaves one more member out and the rounds end.
+def _candidates(weighed: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of which one at least is outer, whose differences share an element early enough.
 
-    A link of s needs an intersection of at least ``percent`` of s; what it does not share with
-    the pivot must come from outside, and so must that part of b. Of two sets of which so many
-    shingles are equal, all but so many of each one's rarest shingles hold a common one; so a member
-    stands under its rarest shingles only, and under none that no other member has.
+    Of two differences that need k equal elements, the first equal one (rarest first) has at least k - 1 behind
+    it on both sides. A member stands under the elements that can be first for some partner; a pair meets where
+    the element can be first for both and bit maps of the shared elements leave enough of them possible.
     """
-    rest = rests.select("path", "a", F.col("b").alias("v"), F.col("n_b").alias("n"), "both", "component", F.explode("rest").alias("shingle"))
-    counts = rest.groupBy("path", "a", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rest = rest.join(counts, ["path", "a", "shingle"])
-    by = Window.partitionBy("path", "a", "v")
-    outside = F.col("n") - F.col("both")
-    needed = F.greatest(F.ceil(percent * F.col("n") / 100).cast("bigint") - F.col("both"), F.lit(1))
-    alone = outside - F.count(F.lit(1)).over(by)  # shingles that no other member has: the rarest
-    rank = alone + F.row_number().over(by.orderBy("df", "shingle"))
-    rest = rest.withColumns({"rank": rank, "most": outside - needed + 1}).where("rank <= most")
-    path = F.col("path").bitwiseXOR(F.xxhash64("a"))
-    return rest.select(F.xxhash64(path, "shingle").alias("bucket"), path.alias("path"), "v", "n", "component")
+    def needed(w: Column, other: Column) -> Column:
+        return F.greatest(F.ceil((w + other) / (2 * (100 + percent))).cast("bigint"), F.lit(1))
+
+    outer = weighed.where("outer").groupBy("a").agg(F.min("w").alias("least_outer"))
+    rows, outer = _dealt(weighed, outer)
+    rows = rows.join(outer, ["a", "deal"])  # groups without an outer member are done
+    most = F.col("size") + 1 - needed(F.col("w"), F.when(F.col("outer"), F.col("least")).otherwise(F.col("least_outer")))
+    rows = rows.withColumn("most", most).where("most > 0")
+    posts = rows.select("a", "b", "n", "component", "size", "w", "outer", "most", F.explode("diff").alias("x"))
+    counts = posts.groupBy("a", "x").agg(F.count(F.lit(1)).alias("df"), F.max("outer").alias("any")).where("df > 1")
+    posts = posts.join(counts, ["a", "x"])
+    by = Window.partitionBy("a", "b")
+    shared = F.count(F.lit(1)).over(by)  # elements that somebody else has too; the others come first
+    posts = posts.withColumns({"rank": F.col("size") - shared + F.row_number().over(by.orderBy("df", "x")), "shared": shared, **{
+        f"map{k}": F.bit_or(F.when(F.pmod(F.shiftright("x", 6), F.lit(MAPS)) == k, F.expr("shiftleft(1L, cast(x & 63 as int))")).otherwise(
+            F.lit(0).cast("bigint"))).over(by) for k in range(MAPS)}})
+    posts = stored(posts.where("rank <= most and any").drop("df", "any", "most"), "posts")
+    left = posts.where("outer").select("a", "x", *(F.col(c).alias(f"{c}_l") for c in posts.columns if c not in ("a", "x", "outer")))
+    behind = F.least(F.col("size") - F.col("rank"), F.col("size_l") - F.col("rank_l")) + 1
+
+    def possible(mine: str, other: str) -> Column:
+        """Shared elements less one for every bit that only this side's map has set."""
+        only = (F.bit_count(F.col(f"map{k}{mine}").bitwiseAND(F.bitwise_not(F.col(f"map{k}{other}")))) for k in range(MAPS))
+        return F.col(f"shared{mine}") - sum(only, F.lit(0))
+
+    met = left.join(posts, ["a", "x"]).where(
+        (F.col("component") != F.col("component_l")) & (~F.col("outer") | (F.col("b_l") < F.col("b")))
+        & (2 * (100 + percent) * F.least(behind, possible("", "_l"), possible("_l", "")) >= F.col("w") + F.col("w_l")) & _may_link(F.col("n"), F.col("n_l"), percent))
+    return met.select(*_pair(F.col("b_l"), F.col("b"))).distinct()
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -206,13 +268,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
       smallest key of the class), so groups of copies cost nothing.
     * Classes meet in the buckets of equal bands. Every member of a bucket is held against one
       pivot, on full shingle sets taken from the texts, and confirmed links are united.
-    * A bucket whose other members still lie in different components goes on. A small one, or
-      one with few members outside its largest component, is compared through. In another one, take members s and b and the pivot m, s not linked to m. If
-      s and b share no shingle outside m, their intersection is no larger than that of s and m, so
-      they cannot be linked unless b is that much smaller than m. So the members go on into the
-      buckets of their rarest shingles that m lacks (for copies with edits of their own, these
-      hold one member each and end there), and only the few with the smaller sizes are compared.
-      This holds for every bucket however large, and loses no link that the bands find.
+    * Groups of a pivot whose members still lie in different components go on, as differences to
+      what most of the group hold (``_centred``). Whether two members are linked depends on the sizes
+      of their differences and on what these share: many links follow from the sizes alone
+      (``_weighed``), and others need a shared element early among the rarest (``_candidates``). Copies with
+      edits of their own share none, so they meet nobody; the pairs that meet are confirmed on full sets. Two
+      rounds of comparison do for groups of any size, and no link is lost that the bands find.
 
     Null, empty or blank text: no shingle, linked with nothing. A null key takes part through its
     text and is kept only if no row of its group has a key. Rows that share a key are looked at one
@@ -225,64 +286,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = features.where("class is not null and id is not null").groupBy("class").agg(
         F.min("id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
-    buckets = _several(classes.select("v", "n", F.lit(0).cast("bigint").alias("path"), F.explode("bands").alias("bucket")))
+    buckets = _several(classes.select("v", "n", F.explode("bands").alias("bucket")))
     members = buckets.select(F.col("v").alias("text_id")).distinct()
     texts = given.where("id is not null").select(F.col("id").alias("text_id"), "text")
     texts = stored(texts.join(members, "text_id", "left_semi"), "texts")
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tested = None
 
     def compare(pairs: DataFrame) -> DataFrame:
         """Hold the sets of ``a, b, deep`` against each other."""
-        nonlocal tested
+        lefts = pairs.select("a").distinct().join(texts.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
+        pairs, lefts = _dealt(pairs, lefts)
         # pairs are small beside their sets, so they are dealt by number, not by size
-        pairs = pairs.repartition(tasks, "a").sortWithinPartitions("a", "b")
-        met = pairs.join(texts.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b")
-        met = met.join(texts.withColumnsRenamed({"text_id": "a", "text": "left_text"}), "a")
-        done = stored(met.select("a", "b", "deep", "left_text", "right_text").mapInArrow(
-            _compared(words), "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, rest array<bigint>"), "compared")
-        mine = done.select(*_pair(F.col("a"), F.col("b")), "n_a", "n_b", "both")
-        tested = mine if tested is None else tested.unionByName(mine)
-        return done
-
-    while True:
-        members = _pivoted(buckets)
-        held = compare(members.groupBy(F.col("pivot").alias("a"), F.col("v").alias("b")).agg(
-            F.max("large").alias("deep"), F.first("n").alias("n"), F.first("pivot_n").alias("m")).where(
-            F.col("deep") | _may_link(F.col("n"), F.col("m"), percent)))
-        found = components(_links(tested, percent))
-        named = members.join(found.withColumnRenamed("node", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-        shares = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        shares = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
-        apart = F.col("size") - F.col("main.size")
-        shares = shares.where(apart > 0).select("bucket", F.col("main.component").alias("main"), (apart * F.col("size") <= SMALL * SMALL).alias("few"))
-        open_ = stored(named.join(shares, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        few = open_.where("few or not large")
-        outside = few.where("component <> main").select("bucket", "v", "n", "component")
-        inside = few.select("bucket", F.col("v").alias("w"), F.col("n").alias("m"), F.col("component").alias("other"))
-        pairs = outside.join(inside, "bucket").where((F.col("component") != F.col("other")) & _may_link(F.col("n"), F.col("m"), percent))
-        large = open_.where("large and not few").select("path", F.col("pivot").alias("a"), F.col("v").alias("b"), "component").distinct()
-        rests = stored(large.join(held, ["a", "b"]), "rests")
-        # s apart from its pivot, b smaller than the pivot: sizes for which the bound leaves a link possible
-        most = F.floor(((100 + percent) * F.col("both") - percent * F.col("n_b")) / percent).cast("bigint")
-        least = F.ceil(percent * F.col("n_b") / 100).cast("bigint")
-        apart = rests.where(100 * F.col("both") < percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).where(most >= least)
-        apart = apart.select("path", "a", F.col("b").alias("s"), F.col("n_b").alias("n_s"), F.col("component").alias("own"),
-                             F.explode(F.sequence(least, most)).alias("n_b"))
-        smaller = apart.join(rests.select("path", "a", "b", "n_b", "both", "component"), ["path", "a", "n_b"]).where(
-            (F.col("own") != F.col("component")) & (percent * (F.col("n_s") + F.col("n_b")) <= (100 + percent) * F.col("both")))
-        pairs = pairs.select(*_pair(F.col("v"), F.col("w"))).unionByName(smaller.select(*_pair(F.col("s"), F.col("b")))).distinct()
-        texts = stored(texts.join(open_.select(F.col("v").alias("text_id")).distinct(), "text_id", "left_semi"), "open-texts")
-        compare(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").withColumn("deep", F.lit(False)))
-        rest = stored(_residual_buckets(rests, percent), "rest")
-        span = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        buckets = stored(rest.join(span.select("bucket"), "bucket", "left_semi").select("v", "n", "path", "bucket").distinct(), "buckets")
-        if buckets.isEmpty():
-            found = components(_links(tested, percent))
-            break
+        pairs = pairs.repartition(tasks, "a", "deal").sortWithinPartitions("a", "b")
+        met = pairs.join(texts.withColumnsRenamed({"text_id": "b", "text": "right_text"}), "b").join(lefts, ["a", "deal"])
+        return stored(met.select("a", "b", "deep", "left_text", "right_text").mapInArrow(
+            _compared(words), "a bigint, b bigint, n_a bigint, n_b bigint, both bigint, diff array<bigint>"), "compared")
+
+    held = compare(stored(_pivoted(buckets), "pivots").where(F.col("deep") | _may_link(F.col("n"), F.col("m"), percent)))
+    links = _links(held, percent)
+    found = stored(components(links), "found")
+    own = found.withColumnsRenamed({"node": "a", "component": "main"})
+    named = held.where("diff is not null").join(found.withColumnRenamed("node", "b"), "b", "left").join(own, "a", "left").withColumns(
+        {"component": F.coalesce("component", "b"), "main": F.coalesce("main", "a")})
+    several = named.where("component <> main").select("a").distinct()
+    open_ = named.join(several, "a", "left_semi")
+    pivots = open_.groupBy("a").agg(F.first("n_a").alias("n"), F.first("main").alias("component")).select(
+        "a", F.col("a").alias("b"), "n", "component", F.array().cast("array<bigint>").alias("diff"))
+    open_ = stored(open_.select("a", "b", F.col("n_b").alias("n"), "component", "diff").unionByName(pivots), "open")
+    if not open_.isEmpty():
+        weighed = stored(_weighed(_centred(open_), percent), "weighed")
+        sure = weighed.where("w + least <= 0 and b <> near").select(*_pair(F.col("near"), F.col("b")))
+        pairs = stored(_candidates(weighed, percent), "candidates")
+        tested = compare(pairs.withColumn("deep", F.lit(False)))
+        found = components(links.unionByName(sure).unionByName(_links(tested, percent)))
     rows_ = features.join(classes.select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     rows_ = rows_.join(found, F.col("v") == F.col("node"), "left")
     component = F.coalesce("component", "v", "id")

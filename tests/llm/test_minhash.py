@@ -62,9 +62,9 @@ def test_documents_match_brute_force(spark, small):
     assert any(not kept for *_, kept in found)
 
 
-@pytest.mark.parametrize("small", [4, 16])
-def test_chains_hubs_and_copies_match_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize("hub", [4, 512])
+def test_chains_hubs_and_copies_match_brute_force(spark, monkeypatch, hub):
+    monkeypatch.setattr(minhash, "HUB", hub)
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     base = [str(w) for w in rng.choice(words, 120)]
@@ -151,3 +151,50 @@ def test_early_stop_changes_nothing(n):
 def test_long_text_in_chunks():
     text = ("word " * 300_000 + "é" * 2_000_000 + " end\n" + "Other  Text " * 10).encode()
     assert len(shingle_set(text, 5)) == len(shingles(text.decode()))
+
+
+def varied(rng, words, base, n, low, high):
+    """Copies of a text, each with its own words replaced, left out or put in."""
+    for _ in range(n):
+        text = list(base)
+        for at in sorted(rng.choice(len(base), int(rng.integers(low, high)), replace=False), reverse=True):
+            change = int(rng.integers(0, 3))
+            text[at:at + (change < 2)] = [str(rng.choice(words))] * (change != 1)
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("with_base", [False, True])
+def test_copies_with_edits_of_their_own(spark, monkeypatch, with_base):
+    """Around the threshold to a base that may be missing: some linked, most of them not."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]  # edits are alike now and then
+    base = [str(w) for w in rng.choice(words, 130)]
+    rows = list(enumerate([" ".join(base)] * with_base + list(varied(rng, words, base, 250, 1, 9))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    wanted = expected(rows)
+    assert 20 < sum(kept for *_, kept in wanted) < 250
+    assert result(near_duplicates(docs)) == wanted
+
+
+def test_unlinked_copies_meet_few_others(spark, monkeypatch):
+    """No round, table or pair for each member of a group of copies that are not linked."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(5_000)]
+    base = [str(w) for w in rng.choice(words, 400)]
+    rows = []
+    for key in range(400):
+        text = list(base)
+        for at in rng.choice(400, 12, replace=False):
+            text[at] = str(rng.choice(words))
+        rows.append((key, " ".join(text)))
+    tables, written = {}, minhash.stored
+
+    def counted(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert result(near_duplicates(docs)) == expected(rows)
+    assert len(tables) <= 15
+    assert tables["candidates"].count() < 400
