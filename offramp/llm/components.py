@@ -66,7 +66,8 @@ def components(links: DataFrame) -> DataFrame:
     pair = "a bigint, b bigint"
     edges = stored(links.where("a <> b").mapInArrow(_united, pair), "links")
     forests = 1 + edges.count() // FOREST_LINKS
-    edges = stored(edges.repartition(forests, "a").mapInArrow(_united, pair), "forests")
+    edges = edges.repartition(forests, "a") if forests > 1 else edges.repartition(1)  # all in one, or the stars below
+    edges = stored(edges.mapInArrow(_united, pair), "forests")
     if forests == 1:  # every node of the only forest stands next to its smallest
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
             edges.select("b", "b").toDF("node", "component").distinct())
