@@ -104,22 +104,25 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mix itself: every document as often as the plan takes it, all columns as they were.
 
-    Documents meet their copies by key and text hash; repeated rows are numbered on both sides, so
-    each takes its own. The texts are shuffled once.
+    Documents meet their copies by a hash of key, text and source: documents and plan rows go through one
+    exchange together, are numbered in the same order on both sides, and each document takes the copies of the
+    plan row of its number. Rows that repeat key, text and source are told apart by their other columns (maps
+    left aside), so reruns agree. The texts are shuffled once.
     """
     ident = F.xxhash64(docs[text], docs[source])
-    plan = mix_plan(docs, key, text, source, identity=ident, **settings).select(
-        F.col(key).alias("plan_key"), F.col("identity").alias("plan_identity"), "copies")
-    plan = plan.withColumn("plan_turn", F.row_number().over(
-        Window.partitionBy("plan_key", "plan_identity").orderBy("copies"))).where("copies > 0")
-    names = {c: fresh(docs, plan, base=f"_{c}") for c in ("identity", "turn")}
-    rows = docs.withColumn(names["identity"], ident)
-    rows = rows.withColumn(names["turn"], F.row_number().over(
-        Window.partitionBy(key, names["identity"]).orderBy(names["identity"])))
-    met = rows.join(plan, rows[key].eqNullSafe(plan["plan_key"]) & (rows[names["identity"]] == plan["plan_identity"])
-                    & (rows[names["turn"]] == plan["plan_turn"]))
-    columns = [rows[c] for c in docs.columns]
-    return met.select(*columns, F.explode(F.sequence(F.lit(1), plan["copies"].cast("int"))).alias(fresh(docs, base="_copy"))).select(*docs.columns)
+    plan = mix_plan(docs, key, text, source, identity=ident, **settings)
+    met, side, ident_, copies, place, turn, rest, hit = (fresh(docs, base=f"_{b}") for b in (
+        "met", "side", "identity", "copies", "place", "turn", "rest", "hit"))
+    plan = plan.select(F.col(key).alias(place), F.col("identity").alias(ident_), F.col("copies").alias(copies))
+    plan = plan.withColumns({met: F.xxhash64(place, ident_), side: F.lit(0), rest: F.lit(0).cast("bigint")})
+    told = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({place: docs[key], ident_: ident, side: F.lit(1), rest: F.xxhash64(*told)})
+    rows = rows.withColumn(met, F.xxhash64(place, ident_))
+    both = rows.unionByName(plan, allowMissingColumns=True).repartition(met)
+    both = both.withColumn(turn, F.row_number().over(Window.partitionBy(met, side).orderBy(place, ident_, rest, copies)))
+    both = both.withColumn(hit, F.lag(copies).over(Window.partitionBy(met).orderBy(turn, side)))
+    taken = both.where((F.col(side) == 1) & (F.col(hit) > 0))
+    return taken.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(hit).cast("int")))).select(*docs.columns)
 
 
 def mix_query(docs: DataFrame) -> DataFrame:

@@ -87,3 +87,19 @@ def test_edge_cases(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in plan.items() if n})
     empty = spark.createDataFrame([], SCHEMA)
     assert mix_query(empty).count() == 0 and mix_documents(empty).count() == 0
+
+
+def test_repeated_rows_with_other_columns_agree_between_reruns(spark):
+    rows = [(1, "a b c", "s", i, [i]) for i in range(7)] + [(None, "a b c", "s", i, None) for i in range(5)] + [(2, "d " * 40, None, 0, [])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, turn int, copies array<int>")
+    first = sorted(map(repr, mix_documents(docs).collect()))
+    assert first == sorted(map(repr, mix_documents(docs.repartition(5).orderBy("turn")).collect()))
+    taken = {(r.doc_id, r.taken) for r in mix_query(docs.select("doc_id", "text", "source")).collect()}
+    assert len(first) == sum(r.taken // r.size for r in mix_query(docs.select("doc_id", "text", "source")).collect()), taken
+
+
+def test_texts_are_shuffled_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plan = mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+    assert plan.split("REPARTITION_BY_COL")[0].count("Exchange hashpartitioning") == 1  # none between it and the result
