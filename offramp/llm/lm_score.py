@@ -5,8 +5,8 @@ embeddings and gives probabilities of word classes, and a class gives its words
 it in the corpus. The sum of the conditional log-probabilities of all words scores a document.
 
 Words are hashed into a fixed number of units. Unit counts, from which classes and within-class
-shares follow, are summed over all documents. The network is trained over all documents too: in
-every round each task runs stochastic gradient steps, in numpy, over the windows of its own part, and
+shares follow, are summed over all documents. The network is trained on every window of every document:
+in a round each task runs stochastic gradient steps, in numpy, over that round's windows of its own part, and
 the tasks' parameters are averaged by their numbers of windows.
 """
 
@@ -29,9 +29,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNITS, CONTEXTS, CLASSES = 1 << 16, 1 << 12, 64
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-#: Every how manieth window of a document is trained on, in how many rounds.
-STRIDE, ROUNDS = 16, 2
-_BATCH, _CHUNK = 256, 1 << 13
+#: A round takes every STRIDE-th window of a document, the next round the ones after them: all of
+#: them are taken once in STRIDE rounds.
+STRIDE, ROUNDS = 2, 2
+_BATCH, _CHUNK = 1 << 10, 1 << 13
 _MERGERS = 8
 
 
@@ -94,15 +95,17 @@ def train(net: Network, contexts: np.ndarray, classes: np.ndarray, squares: list
     x = net.embed[contexts].reshape(n, -1)
     h = np.tanh(x @ net.w1 + net.b1)
     z = h @ net.w2 + net.b2
-    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     z[np.arange(n), classes] -= 1
     z /= n
     dh = (z @ net.w2.T) * (1 - h * h)
     dx = (dh @ net.w1.T).reshape(-1, WIDTH)
-    rows, place = np.unique(contexts.ravel(), return_inverse=True)
-    by_row = np.zeros((len(rows), WIDTH), np.float32)
-    np.add.at(by_row, place.ravel(), dx)
+    order = np.argsort(contexts.ravel().astype(np.int16), kind="stable")  # a radix sort
+    ids = contexts.ravel()[order]
+    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+    rows, by_row = ids[starts], np.add.reduceat(dx[order], starts, axis=0)
     for k, g in ((1, x.T @ dh), (2, dh.sum(axis=0)), (3, h.T @ z), (4, z.sum(axis=0))):
         squares[k] += g * g
         own = net.arrays()[k]
@@ -126,7 +129,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["unit", "n"])
 
 
-def _trained(net: Network, classes: WordClasses, stride: int):
+def _trained(net: Network, classes: WordClasses, stride: int, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(*(a.copy() for a in net.arrays()))
         squares = [np.full_like(a, 1e-3) for a in own.arrays()]
@@ -134,7 +137,7 @@ def _trained(net: Network, classes: WordClasses, stride: int):
         waiting = windows = 0
         for data in _texts(batches, 0):
             units = units_of(data)
-            at = np.arange(int(units[0]) % stride if len(units) else 0, len(units), stride)
+            at = np.arange((int(units[0]) + turn) % stride if len(units) else 0, len(units), stride)
             if not len(at):
                 continue
             held.append((contexts_of(units, at), classes.of[units[at]]))
@@ -168,16 +171,19 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_pseudo_lm(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, stride: int = STRIDE, seed: int = 7) -> tuple[Network, WordClasses]:
-    """Unit counts over all texts, then ``rounds`` of training over all texts. The driver gets one
-    row per unit and, from each round, the sums of a fixed number of tasks."""
+    """Unit counts over all texts, then ``rounds`` of training over all texts, in which every window is
+    taken at least once. The driver gets one row per unit and, from each round, the sums of a fixed
+    number of tasks."""
+    if not 1 <= stride <= rounds:
+        raise ValueError("with a stride from 1 to the number of rounds every window is taken")
     texts = docs.select(docs[text].alias("text"))
     counts = np.zeros(UNITS)
     for row in texts.mapInArrow(_counted, "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect():
         counts[row["unit"]] = row["n"]
     classes, net = word_classes(counts), new_network(seed)
     schema = "windows bigint, merger int, parameters binary"
-    for _ in range(rounds):
-        parts = texts.mapInArrow(_trained(net, classes, stride), schema).repartition(_MERGERS, "merger")
+    for turn in range(rounds):
+        parts = texts.mapInArrow(_trained(net, classes, stride, turn), schema).repartition(_MERGERS, "merger")
         sums = parts.mapInArrow(_summed, "windows bigint, parameters binary").collect()
         windows = sum(r["windows"] for r in sums)
         if not windows:

@@ -1,6 +1,7 @@
 """Pseudo-likelihood scores against a word-by-word recomputation, gradients, and what training learns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from offramp.llm import lm_score as lm
@@ -76,6 +77,24 @@ def test_steps_learn_a_batch_by_heart():
     assert loss() < 0.6 * before
 
 
+def test_every_window_is_trained_on(spark):
+    start, lengths = lm.new_network(), (1, 2, 3, 40, 101)
+    for n in lengths:
+        text = " ".join(f"word{n}x{i}" for i in range(n))
+        net, _ = lm.fit_pseudo_lm(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))
+        units = lm.units_of(text.encode())
+        used = np.unique(lm.contexts_of(units, np.arange(n)))
+        assert (net.embed[used] != start.embed[used]).any(axis=1).all()
+    classes, taken = lm.word_classes(np.zeros(lm.UNITS)), 0
+    texts = [" ".join(f"w{i}" for i in range(n)).encode() for n in lengths]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for turn in range(lm.STRIDE):
+        taken += next(lm._trained(start, classes, lm.STRIDE, turn)([batch])).column(0)[0].as_py()
+    assert taken == sum(lengths)
+    with pytest.raises(ValueError):
+        lm.fit_pseudo_lm(spark.createDataFrame([], SCHEMA), rounds=2, stride=3)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (None, "one"), (3, "a b a b a b"), (3, "a b a b a b"), (4, "long text " * 100_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as key", "2 as score", "3 as n_words")
