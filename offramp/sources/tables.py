@@ -104,10 +104,10 @@ def shards_by_size(df: DataFrame, keys: Sequence[str], target_bytes: int) -> tup
         bits = 20
     if not total:
         return 1, F.lit(0)
-    # the trial: the first cells with about a file's bytes
+    # the trial: the first cells with about two files' bytes, found by all tasks and written by one
     some = int(cells[np.searchsorted(ends, min(total, 2 * target_bytes))])
     path = scratch_path(df.sparkSession, "trial")
-    df.where(cell <= some).coalesce(1).write.parquet(path)
+    df.where(cell <= some).repartition(1).write.parquet(path)
     location, system = _file_system(df.sparkSession, path)
     written = system.getContentSummary(location).getLength()
     factor = written / int(ends[np.searchsorted(cells, some)])

@@ -76,6 +76,17 @@ def test_shards_of_a_size(spark, rows):
     assert spark.read.parquet(path).count() == 0
 
 
+def test_sizing_reads_in_many_tasks(spark):
+    """The trial file's rows come from a shuffle: no task reads the whole table for them."""
+    import os
+    path = scratch_path(spark, "t-many")
+    spark.range(4_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).repartition(8).write.parquet(path)
+    df = spark.read.parquet(path).withColumn("reader", F.spark_partition_id())
+    T.shards_by_size(df, ["id"], 20_000)
+    trials = sorted(glob.glob(f"{scratch_path(spark, 'x').rsplit('/', 1)[0]}/trial-*"), key=os.path.getmtime)
+    assert spark.read.parquet(trials[-1]).select("reader").distinct().count() > 1
+
+
 def test_read_examples_split(spark, documents):
     path = scratch_path(spark, "t-split")
     labelled = T.assign_split(examples(documents), "doc_id", 0.2, 1)
