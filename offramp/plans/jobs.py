@@ -73,7 +73,8 @@ def prepare_corpus(spark: SparkSession, sources: Mapping[str, DataFrame], path:
 
     Each source with a fraction above zero has a set of its own, named after what it was made from:
     its settings, its rows and the benchmark's. When one source, or its fraction, changes, only that one is
-    prepared again; a changed benchmark prepares all of them.
+    prepared again; a changed benchmark prepares all of them. ``num_shards`` are shared out over the sources;
+    a source with more bytes gets more, as in ``prepare_or_load``.
     """
     fractions = dict(settings.mixer) or {name: 1.0 for name in sources}
     unknown = sorted(set(fractions) - set(sources))
@@ -82,10 +83,14 @@ def prepare_corpus(spark: SparkSession, sources: Mapping[str, DataFrame], path:
     wanted = [name for name, f in fractions.items() if f != 0.0] or list(fractions)[:1]
     loaded: list[Benchmark] = []
 
-    def build(name: str) -> DataFrame:
+    def mixed_rows(name: str) -> DataFrame:
         mixed = mix_datasets({name: (sources[name], fractions[name])}, settings.seed, key)
         if "split" in mixed.columns:
             mixed = mixed.where(F.col("split") == settings.split).drop("split")
+        return mixed
+
+    def build(name: str) -> DataFrame:
+        mixed = mixed_rows(name)
         if settings.decontaminate and benchmark is not None and not loaded:
             loaded.append(load_benchmark(benchmark, "text", settings.ngram))
         return template_corpus(mixed, settings, loaded[0] if loaded else None, key)
@@ -98,7 +103,7 @@ def prepare_corpus(spark: SparkSession, sources: Mapping[str, DataFrame], path:
         if settings.decontaminate and benchmark is not None:
             inputs["benchmark"] = benchmark
         parts.append(prepare_or_load(spark, f"{path.rstrip('/')}/{fingerprint({'source': name})}", partial(build, name),
-                                     common | {"source": name, "fraction": fractions[name]}, key, shards, inputs))
+                                     common | {"source": name, "fraction": fractions[name]}, key, shards, inputs, [mixed_rows(name)]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -19,6 +19,10 @@ from offramp.operators.ordering import bucket_of
 from offramp.session import scratch_path
 
 
+# Bytes of rows before compression that a task of a prepared set gets, on average at most.
+MAX_SHARD_BYTES = 128 << 20
+
+
 def read_examples(spark: SparkSession, path: str, columns: Sequence[str] = ("prompt", "text"),
                   split: str | None = None) -> DataFrame:
     """Read only the listed columns, optionally of one split (a ``split`` column)."""
@@ -84,6 +88,12 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, sizes, F.lit(0).cast("bigint"))
 
 
+def shards_at_least(least: int, rows: Sequence[DataFrame]) -> int:
+    """``least``, or as many shards as it takes for the bytes of the rows at ``MAX_SHARD_BYTES`` each."""
+    total = sum(df.agg(F.sum(_row_bytes(df))).first()[0] or 0 for df in rows)
+    return max(least, -(-total // MAX_SHARD_BYTES))
+
+
 def shards_by_size(df: DataFrame, keys: Sequence[str], target_bytes: int) -> tuple[int, Column]:
     """The number of files of about ``target_bytes`` that the rows make, and the file of each row.
 
@@ -235,12 +245,17 @@ def _digest_of(parts: Sequence[tuple[int, int, int]]) -> str:
 
 def prepare_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                     settings: Mapping[str, object], key: str | Sequence[str] = "doc_id",
-                    num_shards: int = 64, inputs: Mapping[str, DataFrame] | None = None) -> DataFrame:
+                    num_shards: int = 64, inputs: Mapping[str, DataFrame] | None = None,
+                    sizes: Sequence[DataFrame] = ()) -> DataFrame:
     """Load the set prepared with these settings; build and write it first if there is none.
 
     The folder name carries the fingerprint of the settings and of the rows of ``inputs``, so
     changed settings or inputs never read a stale set, and a write that did not finish is done
     again. Inputs whose files are unchanged are not read to find that out.
+
+    ``num_shards`` files are written, or more, so that a file's task has about ``MAX_SHARD_BYTES`` to read at
+    most: the bytes of ``inputs`` are summed for that, or without them those of the built rows. ``sizes`` may
+    give other rows to sum instead, such as the part of the inputs that the set is made from.
     """
     if not path:
         raise ValueError("prepare_or_load needs a path")
@@ -250,7 +265,9 @@ def prepare_or_load(spark: SparkSession, path: str, build: Callable[[], DataFram
         described["inputs"] = {name: content_digest(df, f"{root}/manifest") for name, df in inputs.items()}
     target = f"{root}/set-{fingerprint(described)}"
     if not is_complete(spark, target):
-        write_shards(build(), target, key, num_shards)
+        built = build()
+        measured = list(sizes) or (list(inputs.values()) if inputs else [built])
+        write_shards(built, target, key, shards_at_least(num_shards, measured))
     return spark.read.parquet(target)
 
 

@@ -156,6 +156,22 @@ def test_only_what_changed_is_prepared_again(spark):
         prepared(mixer={"c": 1.0})
 
 
+def test_prepared_sets_have_more_files_when_larger(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_SHARD_BYTES", 20_000)
+    folder, path = scratch_path(spark, "t-in"), scratch_path(spark, "t-out")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.hex(F.xxhash64("id", i))))
+    spark.range(600).select(F.col("id").alias("doc_id"), F.lit("p").alias("prompt"), text.alias("text")).write.parquet(f"{folder}/a")
+    spark.range(5).select(F.col("id").alias("doc_id"), F.lit("p").alias("prompt"), F.lit("t").alias("text")).write.parquet(f"{folder}/b")
+    sources = {n: spark.read.parquet(f"{folder}/{n}") for n in ("a", "b")}
+    assert jobs.prepare_corpus(spark, sources, path, jobs.CorpusSettings(), num_shards=4).count() == 605
+    files = sorted(len(glob.glob(f"{s.rsplit('/', 1)[0]}/part-*.parquet")) for s in _sets(path))
+    assert files[0] <= 2 and 10 <= files[1] <= 12
+    # the built rows are summed where no inputs are given
+    plain = scratch_path(spark, "t-plain")
+    assert T.prepare_or_load(spark, plain, lambda: sources["a"], {}, num_shards=2).count() == 600
+    assert [len(glob.glob(f"{s.rsplit('/', 1)[0]}/part-*.parquet")) for s in _sets(plain)] == [11]
+
+
 def test_content_digests(spark):
     folder = scratch_path(spark, "t-digest")
     df = spark.range(50).selectExpr("id", "if(id % 7 = 0, null, concat('x', id)) AS t", "array(id, id + 1) AS v", "map('k', id) AS m")
