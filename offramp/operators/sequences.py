@@ -42,6 +42,11 @@ def fit_vocab(df: DataFrame, text: str = "text", size: int = 32_000,
     return reserved.unionByName(fitted)
 
 
+def _low_int(x: Column) -> Column:
+    """The lower half of a BIGINT, with its sign."""
+    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, unk: int = 0, text: str = "text",
                   key: str = "doc_id", out: str = "input_ids",
                   max_local_vocab: int = MAX_LOCAL_VOCAB, salts: int = 32) -> DataFrame:
@@ -49,24 +54,33 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, unk: int = 0, text: str = "te
 
     The vocabulary is fetched first, up to the bound. Within it, each row is encoded where it
     is, one hash lookup per word over Arrow batches and no shuffle. Beyond it, the words
-    of each distinct text are joined with the vocabulary, gathered again by the text's digest and
-    brought back to the rows by it. So both ways give every row the ids of its own text, whatever
-    its ``key`` (null, repeated), and null for a null text. The join is salted by the digest, so that
-    the most frequent word is spread over ``salts`` tasks, and adaptive execution can split these again.
+    of each distinct text are joined with the vocabulary, gathered again by the text's number and
+    brought back to the rows by its digest. So both ways give every row the ids of its own text, whatever
+    its ``key`` (null, repeated), and null for a null text. Texts get their numbers in a stored table, so that
+    a word travels with 8 bytes of its text; a found word is its place and id in 8 more. The join is salted by
+    the number, so that the most frequent word is spread over ``salts`` tasks, and adaptive execution can
+    split these again.
     """
     rows = vocab.select("token", "token_id").limit(max_local_vocab + 1).collect()
     if len(rows) <= max_local_vocab:
         encode = token_encoder([r["token"] for r in rows], [r["token_id"] for r in rows], unk)
         return df.withColumn(out, encode(words(text)))
-    digest = F.sha2(F.col(text), 256)
+    digest = F.unhex(F.sha2(F.col(text), 256))
     texts = df.where(F.col(text).isNotNull()).groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
-    exploded = texts.select("_digest", F.pmod(F.hash("_digest"), F.lit(salts)).alias("_salt"),
-                            F.posexplode(words("_text")).alias("pos", "token"))
+    path = scratch_path(df.sparkSession, "texts")
+    texts.withColumn("_number", F.monotonically_increasing_id()).write.parquet(path)
+    texts = df.sparkSession.read.parquet(path)
+    exploded = texts.select("_number", F.posexplode(words("_text")).alias("pos", "token")).withColumn(
+        "_salt", F.pmod(F.hash("_number"), F.lit(salts)))
     copies = vocab.select("token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    ids = (exploded.join(copies, ["token", "_salt"], "left")
-           .groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct(
-               "pos", F.coalesce("token_id", F.lit(unk)).alias("id")))).alias("_ids"))
-           .select("_digest", F.transform("_ids", lambda e: e["id"].cast("int")).alias(out)))
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    place = F.shiftleft(F.col("pos").cast("bigint"), 32).bitwiseOR(
+        F.coalesce("token_id", F.lit(unk)).cast("bigint").bitwiseAND(low))
+    # the words go to their text's task before they are collected: a list of one word would be larger than the word
+    ids = (exploded.join(copies, ["token", "_salt"], "left").select("_number", place.alias("_place"))
+           .repartition("_number").groupBy("_number").agg(F.array_sort(F.collect_list("_place")).alias("_ids"))
+           .select("_number", F.transform("_ids", lambda e: _low_int(e)).alias(out))
+           .join(texts.select("_number", "_digest"), "_number").drop("_number"))
     return (df.withColumn("_digest", digest).join(ids, "_digest", "left").drop("_digest")
             .withColumn(out, F.coalesce(F.col(out), F.when(F.col(text).isNotNull(),
                                                            F.array().cast("array<int>")))))

@@ -24,6 +24,15 @@ def test_encoding(spark):
     assert len(local) == len(ROWS)
 
 
+def test_joined_words_travel_by_number(spark):
+    """A word of the join carries its text's number, not its digest, and ids keep their sign."""
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    encoded = encode_tokens(df, fit_vocab(df, size=12), -1, max_local_vocab=1)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("_digest" in line for line in plan.splitlines() if "posexplode" in line or "collect_list" in line)
+    assert _rows(encoded, "doc_id", "text", "input_ids") == _rows(encode_tokens(df, fit_vocab(df, size=12), -1), "doc_id", "text", "input_ids")
+
+
 def test_contamination(spark):
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string")
     bench = spark.createDataFrame([(1, ITEM), (2, "fully different benchmark item of ten words or so here")], "item_id bigint, text string")
