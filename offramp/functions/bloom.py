@@ -25,6 +25,8 @@ MIN_BYTES, MAX_BYTES = 1 << 20, 64 << 20
 # An odd multiplier for each word.
 _SALTS = [pow(0x9E3779B1, i + 1, 1 << 32) for i in range(WORDS)]
 _LOW = (1 << 31) - 1
+# Parts whose runs are hashed at a time (a longer row stays whole).
+_PARTS = 1 << 18
 
 
 def build_filter(keys: DataFrame, column: str, count: int, max_bytes: int = MAX_BYTES) -> np.ndarray:
@@ -93,6 +95,15 @@ def passing_runs(blocks: np.ndarray, kinds: list[list[int]], parts: Column) -> C
 
     @F.arrow_udf("array<struct<at:int,key:bigint>>")
     def test(rows: pa.Array) -> pa.Array:
+        # rows are taken some at a time: the hashes take many times the bytes of the parts
+        sizes = np.zeros(len(rows), np.int64)
+        for number in range(len(kinds)):
+            sizes += pc.fill_null(pc.list_value_length(pc.list_element(rows, number)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _PARTS, prepend=0)).tolist()
+        starts = sorted({0, *cuts})
+        return pa.concat_arrays([tested(rows.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(rows)])])
+
+    def tested(rows: pa.Array) -> pa.Array:
         n, found = len(rows), []
         for number, wanted in enumerate(kinds):
             lists = pc.list_element(rows, number)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from offramp.functions import bloom
 from offramp.functions.bloom import build_filter, held_by, run_hashes
 from offramp.functions.text import normalize_text
 from offramp.operators import decontaminate as D
@@ -181,3 +182,22 @@ def test_columns_of_any_name(spark):
     bench = spark.createDataFrame([(0, LONG)], "item_id long, text string")
     kept = decontaminate(df, bench, max_local_items=0)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", "c", "d")]
+
+
+def test_hits_are_found_some_rows_at_a_time(spark, monkeypatch):
+    """The same runs whether a batch is hashed at once or in slices, with long, empty and null rows."""
+    import numpy as np
+    parts = F.when(F.col("id") == 5, F.lit(None)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("id") * 7 % 40), lambda i: F.xxhash64(i)))
+    rows = spark.range(30).coalesce(1).select("id", F.array(F.when(F.col("id") % 4 > 0, parts).otherwise(F.array().cast("array<bigint>"))).alias("p"))
+    blocks = np.full((4, 8), 0x55555555, np.uint32)
+    blocks[:2] = 0xFFFFFFFF
+
+    def found():
+        return rows.select("id", bloom.passing_runs(blocks, [[2, 3]], F.col("p")).alias("hits")).orderBy("id").collect()
+
+    whole = found()
+    assert any(r["hits"] for r in whole)
+    for size in (1, 50):
+        monkeypatch.setattr(bloom, "_PARTS", size)
+        assert found() == whole
