@@ -35,8 +35,10 @@ def token_encoder(tokens: list[str], ids: list[int], unk: int) -> Callable:
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(batch: pa.Array) -> pa.Array:
         flat = batch.flatten()
-        index = pc.index_in(flat, value_set=known.cast(flat.type))
-        found = pc.fill_null(pc.take(known_ids, index), pa.scalar(unk, pa.int32()))
+        value_set = known.cast(flat.type)
+        found = pa.concat_arrays([pa.array([], pa.int32())] + [
+            pc.fill_null(pc.take(known_ids, pc.index_in(flat.slice(at, _CHUNK), value_set=value_set)), pa.scalar(unk, pa.int32()))
+            for at in range(0, len(flat), _CHUNK)])
         sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
         return pa.ListArray.from_arrays(offsets, found, mask=batch.is_null())

@@ -99,3 +99,14 @@ def test_token_budget(spark):
                             "steps_available": 2, "steps_used": 1}
     empty = S.token_budget(df.where(F.lit(False)), 1, 1, 2).first()
     assert (empty["sequences"], empty["tokens"], empty["steps_available"]) == (0, 0, 0)
+
+
+def test_words_are_looked_up_in_slices(spark, monkeypatch):
+    """The same ids whether the words of a batch are looked up at once or some at a time."""
+    from offramp.functions import kernels
+    rows = [(i, None if i == 4 else " ".join(f"w{j % 9}" for j in range(i * 5 % 23))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    vocab = S.fit_vocab(df, size=8)
+    whole = S.encode_tokens(df, vocab).orderBy("doc_id").collect()
+    monkeypatch.setattr(kernels, "_CHUNK", 3)
+    assert S.encode_tokens(df, vocab).orderBy("doc_id").collect() == whole
