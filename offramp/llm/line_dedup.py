@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offramp.functions.columns import int_div, let
-from offramp.llm.common import fresh, stored
+from offramp.llm.common import fresh, sieved, stored
 
 #: Shorter lines are left alone: within one edit of each other they are words, not copies.
 MIN_CHARS = 16
@@ -88,28 +88,27 @@ def _shared(rows: DataFrame, key: str, *, shorter: bool = False) -> DataFrame:
     return (found.where("least = 0") if shorter else found).select(key)
 
 
-def near_lines(occurrences: DataFrame, lines: DataFrame) -> DataFrame:
+def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
     """``h1, h2`` of the lines that an earlier line is within one edit of.
 
-    ``occurrences``: ``id, text_hash, line_no, h1, h2, halves``; ``lines``: ``h1, h2, line``.
+    ``firsts``, stored, one row per line: ``h1, h2, place, spot, halves``; ``lines``: ``h1, h2, spot, line``. Of
+    a line that occurs often, only the text at its first place is shuffled.
     """
-    halves = occurrences.select("h1", "h2", F.explode("halves").alias("half"))
-    some = halves.join(_shared(halves, "half"), "half", "left_semi").select("h1", "h2").distinct()
+    halves = firsts.select("h1", "h2", "spot", F.explode("halves").alias("half"))
+    some = halves.join(_shared(halves, "half"), "half", "left_semi").select("h1", "h2", "spot").distinct()
     some = stored(some, "half-lines")
-    texts = lines.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = stored(texts, "half-texts")
+    texts = sieved(lines, "spot", some).join(some, ["h1", "h2", "spot"])
+    texts = stored(texts.groupBy("h1", "h2").agg(F.first("line").alias("line")), "half-texts")
 
     n = F.length("line")
     blocks = texts.select("h1", "h2", F.explode(F.array(
         F.struct(F.lit(0).alias("longer"), _blocks(F.col("line"), n, 0).alias("all")),
         F.struct(F.lit(1).alias("longer"), _blocks(F.col("line"), n, 1).alias("all")))).alias("side"))
     blocks = blocks.select("h1", "h2", "side.longer", F.explode("side.all").alias("b")).select("h1", "h2", "longer", "b.*")
+    blocks = stored(blocks, "blocks")  # cutting them costs more than reading them twice
     close = stored(blocks.join(_shared(blocks, "block", shorter=True), "block", "left_semi"), "close-lines")
 
-    ids = close.select("h1", "h2").distinct()
-    first = occurrences.join(ids, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(
-        F.min(F.struct("id", "text_hash", "line_no")).alias("place"))
-    first = stored(first, "close-places")
+    first = firsts.select("h1", "h2", "place").join(close.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
     variants = close.select("h1", "h2", F.explode(_variants(F.col("block"), F.col("middle"), F.col("longer"))).alias("v"))
     variants = stored(variants.select("h1", "h2", "v.*").join(first, ["h1", "h2"]), "variants")
 
@@ -142,10 +141,16 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     halves = [let(F.length("line"), lambda n: _half_keys(F.col("line"), n)).alias("halves")] if max_edits else []
     found = stored(lines.select("id", "text_hash", "line_no", "h1", "h2", *halves), "lines")
 
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = found.groupBy("h1", "h2").agg(
+        F.min(F.struct("id", "text_hash", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"),
+        *([F.first("halves").alias("halves")] if max_edits else []))
     if max_edits:
-        near = near_lines(found, lines.select("h1", "h2", "line")).withColumn("near", F.lit(True))
-        firsts = firsts.join(near, ["h1", "h2"], "left")
+        # equal h1 and h2 are equal lines, so that a spot need only tell most places of a line apart
+        spot = lambda *place: F.xxhash64(F.lit("spot"), *place)
+        firsts = stored(firsts.withColumn("spot", spot("first.id", "first.text_hash", "first.line_no")), "first-lines")
+        near = near_lines(firsts.withColumnRenamed("first", "place"), lines.select(
+            "h1", "h2", spot("id", "text_hash", "line_no").alias("spot"), "line")).withColumn("near", F.lit(True))
+        firsts = firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
     firsts = firsts.where((F.col("n") > 1) | F.col("near"))

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from offramp.llm import line_dedup
+from offramp.llm.common import sieved, stored
 from offramp.llm.line_dedup import dedup_lines
 from tests.llm.conftest import SCHEMA
 
@@ -87,3 +89,33 @@ def test_edge_cases(spark):
                           (None, line.upper(), 1, 0, 0), (5, "\n", 3, 1, 0), (6, "x\nx", 2, 0, 0)], key=repr)
     assert {"h1", "id", "near", "exact"} < set(out.columns)
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_sieve_misses_nothing(spark):
+    lines = spark.range(2000).selectExpr("id", "xxhash64(id) as h1")
+    wanted = stored(lines.where("id < 50").select("h1"), "t-wanted")
+    left = {r.id for r in sieved(lines, "h1", wanted).collect()}
+    assert set(range(50)) <= left and len(left) < 400
+    nulls = lines.selectExpr("id", "if(id % 2 = 0, h1, null) as h1")
+    assert {r.id for r in sieved(nulls, "h1", stored(nulls, "t-nulls")).collect()} == set(range(0, 2000, 2))
+    assert sieved(lines, "h1", wanted.where("false")).count() == 0
+    plan = sieved(lines, "h1", wanted).join(wanted.distinct().hint("merge"), "h1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(h1") < plan.index("BroadcastHashJoin")
+
+
+def test_a_text_of_a_repeated_line_is_shuffled_once(spark, monkeypatch):
+    """Lines that occur in every document meet the join with their texts at about one place each."""
+    met = []
+
+    def counted(rows, key, wanted):
+        out = sieved(rows, key, wanted)
+        met.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "sieved", counted)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(50)) + "z" for _ in range(8)]
+    base += [line[:-1] + "y" for line in base]
+    rows = [(i, "\n".join(base)) for i in range(100)]
+    assert result(dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))) == expected(rows)
+    assert len(met) == 1 and met[0][0] == 1600 and met[0][1] < 400
