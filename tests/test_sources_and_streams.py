@@ -1,5 +1,7 @@
+import gc
 import glob
 import time
+import weakref
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +323,41 @@ def test_user_functions(spark):
 def test_corpus_settings(spark, documents):
     with pytest.raises(ValueError):
         jobs.template_corpus(examples(documents), jobs.CorpusSettings(decontaminate=True))
+
+
+def test_reference_cycles_of_user_functions_do_not_pile_up(spark):
+    name, refs = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def left_alive():
+        """How many objects of earlier calls are alive; leaves one in a cycle. No collection comes by itself."""
+        class Node:
+            pass
+
+        gc.disable()
+        alive = sum(r() is not None for r in refs)
+        node = Node()
+        node.me = node
+        refs.append(weakref.ref(node))
+        return alive
+
+    df = spark.range(50).repartition(1)
+    size = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        mapped = userfuncs.map_examples(df, lambda b: b.assign(alive=left_alive()), "id bigint, alive bigint")
+        assert [r["alive"] for r in mapped.collect()] == [0] * 50
+        kept = userfuncs.filter_batches(df, lambda s: [left_alive() == 0] * len(s), ["id"])
+        assert kept.count() == 50
+    finally:
+        spark.conf.set(name, size)
+
+
+def test_map_examples_gives_long_rows_in_parts(spark):
+    df = spark.range(30).repartition(1).withColumn("text", F.repeat(F.lit("x"), 1 << 20))
+
+    def shape(batch):
+        return batch.assign(n=len(batch), first=batch.index[0], text=batch["text"].str.len().astype(str))
+
+    rows = userfuncs.map_examples(df, shape, "id bigint, text string, n bigint, first bigint").collect()
+    assert sorted(r["id"] for r in rows) == list(range(30)) and {r["text"] for r in rows} == {str(1 << 20)}
+    assert max(r["n"] for r in rows) <= 4 and {r["first"] for r in rows} == {0}
