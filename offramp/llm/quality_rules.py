@@ -61,7 +61,7 @@ def policy_mask(policy: str | Iterable[str], rules: tuple[Rule, ...] = RULES) ->
     return sum(1 << bits[n] for n in set(names))
 
 
-def _repeat_words(data: bytes) -> int:
+def repeated_words(data: bytes) -> int:
     words = word_hashes(data)
     windows = window_hashes(words, REPEAT_WINDOW)
     if len(windows) < 2:
@@ -81,7 +81,7 @@ def _repeat_words(data: bytes) -> int:
 @F.arrow_udf(LongType())
 def repeat_words(texts: pa.Array) -> pa.Array:
     """Words that lie in a window of five words found at least twice in the same text."""
-    return pa.array([0 if t is None else _repeat_words(t)
+    return pa.array([0 if t is None else repeated_words(t)
                      for t in pc.cast(texts, pa.large_binary()).to_pylist()], pa.int64())
 
 

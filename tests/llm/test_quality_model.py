@@ -1,8 +1,10 @@
 """The quality classifier: label model on known accuracies, agreement with held-back labels."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from offramp.llm.quality_model import LABELLERS, fit_label_model, quality_model_query, votes_of
+from offramp.llm.quality_model import LABELLERS, fit_label_model, measures, quality_model_query, votes_of
+from offramp.llm.quality_rules import measure
 from tests.llm.conftest import SCHEMA
 
 
@@ -50,3 +52,24 @@ def test_edge_cases(spark):
     assert len({(r.score, r.weak_label) for r in out if r.doc_id == 3}) == 1
     assert len({r.score for r in out if r.doc_id in (1, 2)}) == 1
     assert quality_model_query(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_measurements_agree_with_their_expressions(spark):
+    texts = [None, "", " ", "a", " a ", "one. two! three?", "end.\n", "end.\r\n", "end.\r", "end.\u0085", "end! ", "end? ", "end ",
+             " ", ".\u0085x.", "?", "..", ". .", "a\nb\na\n \na", "x\r\nx\r\n\n", "#*$%&|<>", "\x00\x01@[`{\x7f", "naïve café straße", "слово 漢字 😀 é",
+             "a b c", "\x0b\x0c\x1c\x1d", "one two three four five " * 3, "\u0085", "z\u0085\n", " .", ".\t"]
+    rng = np.random.default_rng(5)
+    pool = list("aZé漢😀 .!?#<\n\t\r\x0b\x00\u0085  ")
+    texts += ["".join(rng.choice(pool, size=int(n))) for n in rng.integers(1, 60, 400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    text = F.coalesce("text", F.lit(""))
+    expected = docs.select("text", *measure(text), F.regexp_count(text, F.lit(r"[.!?][\x20\x09-\x0D]|[.!?]$")).cast("bigint").alias("n_ends"),
+                           F.length(F.regexp_replace(text, r"[\x00-@\[-`{-\x7f]+", "")).cast("bigint").alias("n_letters"))
+    assert measures(docs).columns == expected.columns
+    assert measures(docs).collect() == expected.collect()
+
+
+def test_texts_are_measured_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, "a fine text. " * 5)], "doc_id bigint, text string")
+    plan = measures(docs)._jdf.queryExecution().toString().lower()
+    assert "regexp" not in plan and "translate" not in plan and plan.split("== physical plan ==")[1].count("arrowevalpython") == 1
