@@ -69,14 +69,18 @@ def _without(text: Column, i: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), i), F.substring(text, i + 2, F.length(text)))
 
 
-def _variants(block: Column, middle: Column, longer: Column) -> Column:
-    """Deletion variants as ``struct(kind, variant)``: kind 0 replaced, 1 shorter line, 2 longer line."""
-    places = F.sequence(F.lit(0), F.length(middle) - 1)
-    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("variant"))
-    replaced = F.transform(places, lambda i: item(0, F.xxhash64(block, F.lit("r"), i, _without(middle, i))))
-    inserted = F.transform(places, lambda i: item(2, F.xxhash64(block, F.lit("i"), _without(middle, i))))
-    whole = F.array(item(1, F.xxhash64(block, F.lit("i"), middle)))
-    return F.when(longer == 1, inserted).otherwise(F.concat(whole, F.when(F.length(middle) > 0, replaced).otherwise(F.slice(whole, 1, 0))))
+def _variants(rows: DataFrame) -> DataFrame:
+    """Deletion variants of the blocks ``block, middle, longer``: their other columns, ``kind`` (0 replaced, 1 shorter
+    line, 2 longer line) and ``variant``. A row per place comes first, as whole rows are worked on in
+    compiled code and array elements are not; place -1 of a shorter line is the middle as it is."""
+    others = [c for c in rows.columns if c not in ("block", "middle", "longer")]
+    block, middle, longer, i = F.col("block"), F.col("middle"), F.col("longer"), F.col("i")
+    places = rows.withColumn("i", F.explode(F.sequence(F.when(longer == 1, 0).otherwise(-1), F.length(middle) - 1)))
+    kind = F.when(longer == 1, 2).when(i < 0, 1).otherwise(0)
+    variant = (F.when(longer == 1, F.xxhash64(block, F.lit("i"), _without(middle, i)))
+               .when(i < 0, F.xxhash64(block, F.lit("i"), middle))
+               .otherwise(F.xxhash64(block, F.lit("r"), i, _without(middle, i))))
+    return places.select(*others, kind.alias("kind"), variant.alias("variant"))
 
 
 def _shared(rows: DataFrame, key: str, *, shorter: bool = False) -> DataFrame:
@@ -109,8 +113,7 @@ def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
     close = stored(blocks.join(_shared(blocks, "block", shorter=True), "block", "left_semi"), "close-lines")
 
     first = firsts.select("h1", "h2", "place").join(close.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    variants = close.select("h1", "h2", F.explode(_variants(F.col("block"), F.col("middle"), F.col("longer"))).alias("v"))
-    variants = stored(variants.select("h1", "h2", "v.*").join(first, ["h1", "h2"]), "variants")
+    variants = stored(_variants(close.select("h1", "h2", "block", "middle", "longer")).join(first, ["h1", "h2"]), "variants")
 
     member = F.struct("place", "h1", "h2")
     earliest = variants.groupBy("variant").agg(

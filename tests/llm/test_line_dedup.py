@@ -6,7 +6,7 @@ import pytest
 
 from offramp.llm import line_dedup
 from offramp.llm.common import sieved, stored
-from offramp.llm.line_dedup import dedup_lines
+from offramp.llm.line_dedup import _variants, dedup_lines
 from tests.llm.conftest import SCHEMA
 
 
@@ -119,3 +119,17 @@ def test_a_text_of_a_repeated_line_is_shuffled_once(spark, monkeypatch):
     rows = [(i, "\n".join(base)) for i in range(100)]
     assert result(dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))) == expected(rows)
     assert len(met) == 1 and met[0][0] == 1600 and met[0][1] < 400
+
+
+def test_variants_are_made_row_by_row(spark):
+    blocks = spark.createDataFrame([(1, 7, "abcb", 0), (2, 7, "abcb", 1), (3, 8, "", 0), (4, 9, "é", 1)],
+                                   "h1 bigint, block bigint, middle string, longer int")
+    found = _variants(blocks)
+    rows = found.collect()
+    assert sorted((r.h1, r.kind) for r in rows) == [(1, 0)] * 4 + [(1, 1)] + [(2, 2)] * 4 + [(3, 1), (4, 2)]
+    by = {(h, k): [r.variant for r in rows if (r.h1, r.kind) == (h, k)] for h in (1, 2, 3, 4) for k in (0, 1, 2)}
+    assert len(set(by[1, 0])) == 4  # each with its place
+    assert not set(by[1, 1]) & set(by[2, 2])
+    whole = _variants(spark.createDataFrame([(5, 7, "acb", 0)], blocks.schema)).where("kind = 1").first().variant
+    assert by[2, 2].count(whole) == 1
+    assert "lambda" not in found._jdf.queryExecution().toString()
