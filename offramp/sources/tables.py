@@ -272,13 +272,16 @@ def prepare_or_load(spark: SparkSession, path: str, build: Callable[[], DataFram
 
 
 def stream_examples(spark: SparkSession, path: str, schema: StructType | str,
-                    max_files: int = 1) -> DataFrame:
-    """The prepared set as a stream, ``max_files`` files to a micro-batch.
+                    max_files: int = 1, max_bytes: int | None = None) -> DataFrame:
+    """The prepared set as a stream, ``max_files`` files to a micro-batch, or with ``max_bytes`` as many
+    as have about these bytes. The latter is for streams whose micro-batches each cost something besides their rows.
 
     ``path`` is a folder or a single file; a stream can only watch folders, so for a file
     its folder is watched for that name.
     """
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.schema(schema)
+    reader = (reader.option("maxFilesPerTrigger", max_files) if max_bytes is None
+              else reader.option("maxBytesPerTrigger", max_bytes))
     location, files = _file_system(spark, path)
     if files.exists(location) and files.getFileStatus(location).isFile():
         return (reader.option("pathGlobFilter", location.getName())

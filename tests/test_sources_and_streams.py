@@ -361,3 +361,15 @@ def test_map_examples_gives_long_rows_in_parts(spark):
     rows = userfuncs.map_examples(df, shape, "id bigint, text string, n bigint, first bigint").collect()
     assert sorted(r["id"] for r in rows) == list(range(30)) and {r["text"] for r in rows} == {str(1 << 20)}
     assert max(r["n"] for r in rows) <= 4 and {r["first"] for r in rows} == {0}
+
+
+def test_micro_batches_cut_by_bytes(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id as doc_id", "'a prompt' as prompt", "'a text' as text").repartition(4)
+    rows.write.parquet(str(tmp_path / "in"))
+    size = sum(f.stat().st_size for f in (tmp_path / "in").glob("*.parquet"))
+    for name, bound, batches in (("all", 10 * size, 1), ("some", size // 2, 2), ("each", 1, 4)):
+        stream = T.stream_examples(spark, str(tmp_path / "in"), rows.schema, max_bytes=bound)
+        streams.run_prepare(stream, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination()
+        assert streams.read_prepared(spark, str(tmp_path / name)).count() == 400
+        found = len(list((tmp_path / name).glob("batch_id=*")))
+        assert found == batches or (name == "some" and 1 < found < 4)
