@@ -76,6 +76,8 @@ def _tokenized(path: str, window: int, eos: int):
                     at, columns, held = [], [[] for _ in range(5)], 0
             if at:
                 yield batch_of(batch, at, columns)
+        batch = texts = None
+        pa.default_memory_pool().release_unused()  # the worker lives on beside later stages
 
     return run
 

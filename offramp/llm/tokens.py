@@ -19,10 +19,13 @@ from offramp.llm.common import mix64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 2_000_000
-#: Bytes of text that are encoded at a time (a longer text is encoded alone).
-BLOCK_BYTES = 4 << 20
+#: Distinct pieces that a worker remembers before it starts anew. What it remembers stays while the worker lives,
+#: beside the work of all later stages.
+REMEMBERED = 500_000
+#: Bytes of text that are encoded at a time (a longer text is encoded alone): some 100 bytes of arrays each.
+BLOCK_BYTES = 1 << 20
+#: Characters of pieces that are merged at a time, with some 50 bytes of arrays each.
+MERGE_CELLS = 1 << 18
 #: Longer pieces are left to the tokenizer.
 LONGEST = 48
 
@@ -129,7 +132,7 @@ class BatchEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def _learn(self, raw, given, hashes, starts, ends, odd) -> None:
-        """Add pieces: odd ones by the tokenizer from the bytes as given, the others by merging."""
+        """Add pieces, sorted by hash: odd ones by the tokenizer from the bytes as given, the others by merging."""
         sizes = ends - starts
         counts = np.zeros(len(starts), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -142,8 +145,9 @@ class BatchEncoder:
         for high in (6, 9, 12, 18, LONGEST):
             some = np.flatnonzero(~odd & (sizes > low) & (sizes <= high))
             low = high
-            for at in range(0, len(some), 1 << 16):
-                chosen = some[at:at + (1 << 16)]
+            step = MERGE_CELLS // high
+            for at in range(0, len(some), step):
+                chosen = some[at:at + step]
                 tokens, n = self._merge(raw, starts[chosen], sizes[chosen])
                 parts.append(tokens)
                 counts[chosen] = n
@@ -155,10 +159,9 @@ class BatchEncoder:
         self.starts = np.concatenate([self.starts, ends_of])
         places = np.empty(len(order), np.int64)
         places[order] = known + np.arange(len(order))
-        all_hashes = np.concatenate([self.hashes, hashes])
-        by_hash = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[by_hash]
-        self.places = np.concatenate([self.places, places])[by_hash]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.places = np.insert(self.places, at, places)
 
     # -- texts --------------------------------------------------------------------------------
     def _pieces(self, raw: np.ndarray, bounds: np.ndarray):
@@ -217,7 +220,9 @@ class BatchEncoder:
         if len(self.hashes) > REMEMBERED:
             self._forget()
         if len(distinct):
-            new = ~np.isin(distinct, self.hashes, assume_unique=True)
+            at = np.searchsorted(self.hashes, distinct)
+            new = at == len(self.hashes)
+            new[~new] = self.hashes[at[~new]] != distinct[~new]
             if new.any():
                 at = first[new]
                 self._learn(raw, data, distinct[new], starts[at], ends[at], odd[at])

@@ -1,6 +1,7 @@
 """Packing: an exact round trip of every id, full windows, balanced steps."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -9,9 +10,10 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from offramp.llm import tokens
 from offramp.llm.packing import balanced_steps, pack_documents, plan_unit
 from offramp.llm.queries import tokenizer_path
-from offramp.llm.tokens import batch_encoder
+from offramp.llm.tokens import BatchEncoder, batch_encoder
 from tests.llm.conftest import SCHEMA
 
 
@@ -114,3 +116,28 @@ def test_words_are_tokenized_as_whole_texts():
         whole = encode.tokenizer.encode(text, add_special_tokens=False).ids
         ((_, ids, bounds),) = encode(pa.array([text]))
         assert ids.tolist() == whole and bounds.tolist() == [0, len(whole)]
+
+
+def test_encoder_works_in_bounded_memory():
+    """A worker outlives its stage, so what the encoder took stands beside the work of all later ones."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"{rng.getrandbits(40):x}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(200))
+                      for _ in range(3000)])
+    encode = BatchEncoder(tokenizer_path())
+    tracemalloc.start()
+    try:
+        n = sum(len(bounds) - 1 for _, _, bounds in encode(texts))
+        left, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 150 << 20 and left < 80 << 20
+
+
+def test_encoder_starts_anew_without_a_change_of_ids(monkeypatch):
+    rng, encode = random.Random(9), BatchEncoder(tokenizer_path())
+    for name, value in {"BLOCK_BYTES": 200, "REMEMBERED": 20, "MERGE_CELLS": 100}.items():
+        monkeypatch.setattr(tokens, name, value)
+    texts = ["".join(rng.choice("abcdefgst 'é.,4 ") for _ in range(rng.randint(0, 90))) for _ in range(200)] + ["y" * 60 + " a"]
+    found = [ids[bounds[i]:bounds[i + 1]].tolist() for _, ids, bounds in encode(pa.array(texts)) for i in range(len(bounds) - 1)]
+    assert found == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
